@@ -1,14 +1,17 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontamination, packing, simhash, tokenfile
+from . import decontamination, packing, simhash, tokenfile, urls, warc
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op4_simhash": simhash.op4_simhash,
     "op5_tokens": tokenfile.op5_tokens,
+    "op7_urls": urls.op7_urls,
     "op9_packing": packing.op9_packing,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL = {
     "op2_decontamination": decontamination.OP2_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
