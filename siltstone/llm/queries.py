@@ -1,12 +1,13 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontamination, packing, quality, simhash, tokenfile, toxicity, urls, warc
+from . import decontamination, forest, packing, quality, simhash, tokenfile, toxicity, urls, warc
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_simhash": simhash.op4_simhash,
     "op5_tokens": tokenfile.op5_tokens,
+    "op6_forest": forest.op6_forest,
     "op7_urls": urls.op7_urls,
     "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
