@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, size: int = 1024, end_id: int = 0, vocabulary: str |
         task, encode, seen = TaskContext.get().partitionId(), encoder(vocabulary), np.zeros(size + 1, np.int64)
         for ids, texts in chunks(batches):
             rows = []
-            for doc_id, own in zip(ids, encode.encode([bytes(t).decode() for t in texts])):
+            for doc_id, own in zip(ids, encode.encode(texts)):
                 raw = np.append(own.astype("<u4"), np.array([end_id], "<u4"))
                 for at in range(0, len(raw), size):
                     part = raw[at : at + size]

@@ -139,7 +139,7 @@ def write(docs: DataFrame, end_id: int = 2, length: int = 1024, rows: int = 256,
         shard, writer, encode = TaskContext.get().partitionId(), None, encoder(vocabulary)
         uri = f"{path}/shard-{shard:06d}.arrow"
         for ids, texts in chunks(batches):
-            for doc_id, own in zip(ids, encode.encode([bytes(t).decode() for t in texts])):
+            for doc_id, own in zip(ids, encode.encode(texts)):
                 writer = writer or ShardWriter(uri, encode.type, length, rows)
                 writer.add(doc_id, np.append(own, np.array([end_id], own.dtype)))
         if writer:
