@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontamination, forest, packing, quality, simhash, tokenfile, toxicity, urls, warc
+from . import decontamination, forest, packing, quality, simhash, suffixes, tokenfile, toxicity, urls, warc
 
 QUERIES = {
+    "op1_suffixes": suffixes.op1_suffixes,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_simhash": simhash.op4_simhash,
