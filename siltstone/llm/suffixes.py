@@ -90,9 +90,9 @@ def anchors(texts: list, least: int, seed: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _parts(batches: Iterable[pa.RecordBatch], limit: int = 256 << 10) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of about `limit` bytes of text (column 1)."""
+    """Slices of about `limit` bytes of text (the first field of column 1)."""
     for batch in batches:
-        texts, at = strings(batch.column(1)), 0
+        texts, at = strings(batch.column(1).field(0)), 0
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (end == at or size + len(texts[end]) <= limit):
@@ -300,10 +300,16 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)].tolist()))
 
 
-def apply_runs(docs: DataFrame, finish: Callable[[int | None, bytes, list[tuple[int, int]]], tuple], schema: str, least: int = 100, seed: int = 24, hot: int = 1024) -> DataFrame:
-    """finish(doc_id, text, removed runs) of every row, as a DataFrame of the given schema."""
-    rows = text_rows(docs)
-    digests = rows.filter("doc_id is not null").select("doc_id", F.md5("text").alias("digest"))
+def apply_runs(docs: DataFrame, finish: Callable[[int | None, bytes, list[tuple[int, int]]], tuple], schema: str, least: int = 100, seed: int = 24, hot: int = 1024, carry: bool = False) -> DataFrame:
+    """finish(doc_id, text, removed runs) of every row, as a DataFrame of the given schema; with
+    carry also `rest`, the row itself as a struct.
+
+    Text and carried columns travel as one struct, so that all readers share one shuffle.
+    """
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] if carry else []
+    whole = F.struct(F.coalesce("text", F.lit("")).alias("text"), *[x for x, c in zip(others, docs.columns) if c != "text"], *([F.col("text").isNull().alias("none")] if carry else [])).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole)
+    digests = text_rows(docs).filter("doc_id is not null").select("doc_id", F.md5("text").alias("digest"))
     pairs = written(digests.groupBy("doc_id", "digest").count().drop("count"), "suffix-digests")
     ids = pairs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.max(F.abs("doc_id")).alias("top")).first()
     if (ids.most or 1) > 1:  # ids with different texts: number the texts of an id
@@ -311,34 +317,37 @@ def apply_runs(docs: DataFrame, finish: Callable[[int | None, bytes, list[tuple[
             raise ValueError("ids are too large to number their texts")
         numbered = pairs.withColumn("doc", F.col("doc_id") * ids.most + F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")) - 1)
         pairs = written(numbered, "suffix-digests")
-        rows = rows.withColumn("digest", F.md5("text")).join(pairs, ["doc_id", "digest"], "left").select("doc", "text", "doc_id")
+        rows = rows.withColumn("digest", F.md5("row.text")).join(pairs, ["doc_id", "digest"], "left").select("doc", "row", "doc_id")
     else:
         pairs = pairs.withColumn("doc", F.col("doc_id"))
-        rows = rows.select(F.col("doc_id").alias("doc"), "text", "doc_id")
+        rows = rows.select(F.col("doc_id").alias("doc"), "row", "doc_id")
     firsts = written(pairs.groupBy("digest").agg(F.min("doc").alias("doc")).select("doc"), "suffix-firsts").withColumn("first", F.lit(True))
     base = rows.join(firsts.hint("shuffle_hash"), "doc", "left")
-    own = base.filter("first").select("doc", "text")
+    own = base.filter("first").select("doc", "row")
     repeated = own.mapInArrow(_count(least, seed), "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     marks = own.mapInArrow(_mark(least, seed), "h long, doc long, at long").join(repeated.hint("shuffle_hash"), "h")
     listed = marks.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n")).alias("marks"))
-    contexts = base.join(listed, "doc", "left").filter("first and marks is not null").select("doc", "text", "marks").mapInArrow(_contexts(least, hot), CONTEXT)
+    contexts = base.join(listed, "doc", "left").filter("first and marks is not null").select("doc", "row", "marks").mapInArrow(_contexts(least, hot), CONTEXT)
     spans = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_judge(least), SPAN)
     runs = spans.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    final = base.join(runs, "doc", "left").select("doc_id", "text", "doc", "first", "starts", "stops")
+    final = base.join(runs, "doc", "left").select("doc_id", "row", "doc", "first", "starts", "stops")
     kinds = docs.sparkSession.createDataFrame([], schema)
     names, types = kinds.columns, pa.schema([(f.name, pa.binary() if f.dataType.typeName() == "binary" else pa.string() if f.dataType.typeName() == "string" else pa.int64()) for f in kinds.schema])
 
     def cut(batches):
         for batch in batches:
             out = []
-            for doc_id, text, doc, first, starts, stops in zip(batch.column(0).to_pylist(), strings(batch.column(1)), *(batch.column(i).to_pylist() if i < 4 else batch.column(i) for i in range(2, 6))):
+            for doc_id, text, doc, first, starts, stops in zip(batch.column(0).to_pylist(), strings(batch.column(1).field(0)), *(batch.column(i).to_pylist() if i < 4 else batch.column(i) for i in range(2, 6))):
                 if doc is not None and not first:
                     own = [(0, len(text))] if len(text) >= least else []
                 else:
                     own = merged(starts.values.to_numpy(), stops.values.to_numpy()) if starts.is_valid else []
                 out.append(finish(doc_id, bytes(text), own))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), types)] if out else [pa.array([], t.type) for t in types], names)
+            columns = [pa.array(c, t.type) for c, t in zip(zip(*out), types)] if out else [pa.array([], t.type) for t in types]
+            yield pa.RecordBatch.from_arrays([*columns, *([batch.column(1)] if carry else [])], [*names, *(["rest"] if carry else [])])
 
+    if carry:
+        return final.mapInArrow(cut, kinds.schema.add("rest", final.schema["row"].dataType))
     return final.mapInArrow(cut, schema)
 
 
@@ -354,13 +363,12 @@ def _digest(doc_id, text, runs):
     return doc_id, len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept(text, runs)).hexdigest()
 
 
-def _text(doc_id, text, runs):
-    return doc_id, kept(text, runs).decode(errors="ignore") if runs else text.decode(), len(runs)
-
-
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, text, n_spans: what is left of every row's text. A character cut in two is dropped."""
-    return apply_runs(docs, _text, "doc_id long, text string, n_spans long", **options)
+    """docs with what is left of every row's text. A character cut in two is dropped; a null text
+    stays null."""
+    cut = apply_runs(docs, lambda doc_id, text, runs: (kept(text, runs).decode(errors="ignore"),), "left_text string", carry=True, **options)
+    text = F.when(~F.col("rest.none"), F.col("left_text"))
+    return cut.select(*[(text if c == "text" else F.col(f"rest.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
