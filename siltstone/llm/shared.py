@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
+BATCH_ROWS = 1024  # texts in an Arrow batch: a worker holds one batch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch to BATCH_ROWS: texts are long, and JVM and
+    Python hold a batch each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and the text, null texts as empty ones; other columns are pruned from the scan."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
 
 
@@ -49,8 +59,7 @@ def strings(column: pa.Array) -> list[memoryview]:
     """The UTF-8 bytes of each value, without a copy; null is empty."""
     if len(column) == 0:
         return []
-    column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     view = memoryview(data) if data is not None else memoryview(b"")
     return [view[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]

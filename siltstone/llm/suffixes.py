@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Powers, mixed, strings, table, text_rows, written
+from .shared import Powers, bounded_batches, mixed, strings, table, text_rows, written
 
 _PLACE = 28  # bits of a place within a chunk
 _A, _B = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93)
@@ -55,8 +55,19 @@ def rolled(raw: np.ndarray, size: int, powers: Powers) -> np.ndarray:
     return mixed((total[size:] - total[:-size]) * down[: len(raw) - size + 1])
 
 
-def anchors(texts: list, least: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor: its hash, its text's number, and place << 16 | bytes before it << 8 | windows - 1."""
+def anchors(texts: list, least: int, seed: int, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor: its hash, its text's number, and place << 16 | bytes before it << 8 | windows - 1.
+
+    Long texts are cut into pieces of `piece` windows; an anchor at a cut appears once for either side.
+    """
+    if max(map(len, texts), default=0) <= piece:
+        return _anchors(texts, least, seed)
+    parts = [(k, at, t[at : at + piece + least - 1]) for k, t in enumerate(texts) for at in range(0, max(1, len(t) - least + 1), piece)]
+    found = [(_anchors([t], least, seed), k, at) for k, at, t in parts]
+    return tuple(np.concatenate(c) for c in zip(*((h, np.full(len(h), k), packed + (at << 16)) for (h, _, packed), k, at in found)))
+
+
+def _anchors(texts: list, least: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(t) for t in texts])
     raw = np.frombuffer(b"".join(texts), np.uint8)
     if len(raw) < least:
@@ -189,7 +200,7 @@ def _mark(least: int, seed: int):
     return run
 
 
-def _contexts(least: int, hot: int, block: int = 100_000):
+def _contexts(least: int, hot: int, block: int = 50_000):
     """The bytes around repeated anchors. Of equal contexts in a block of rows only the first one is
     sent; the others are spans already: rows without ctx, from `at` to `g`."""
 
@@ -300,14 +311,15 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)].tolist()))
 
 
-def apply_runs(docs: DataFrame, finish: Callable[[int | None, bytes, list[tuple[int, int]]], tuple], schema: str, least: int = 100, seed: int = 24, hot: int = 1024, carry: bool = False) -> DataFrame:
+def apply_runs(docs: DataFrame, finish: Callable[[int | None, bytes, list[tuple[int, int]]], tuple], schema: str, least: int = 100, seed: int = 24, hot: int = 4096, carry: bool = False) -> DataFrame:
     """finish(doc_id, text, removed runs) of every row, as a DataFrame of the given schema; with
     carry also `rest`, the row itself as a struct.
 
     Text and carried columns travel as one struct, so that all readers share one shuffle.
     """
     others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] if carry else []
-    whole = F.struct(F.coalesce("text", F.lit("")).alias("text"), *[x for x, c in zip(others, docs.columns) if c != "text"], *([F.col("text").isNull().alias("none")] if carry else [])).alias("row")
+    bounded_batches(docs.sparkSession)
+    whole = F.struct(F.coalesce("text", F.lit("")).alias("text"), *[x for x, c in zip(others, docs.columns) if c != "text"], *([F.col("text").isNull().alias("none")] if carry else []), F.col("doc_id").cast("long").alias("id")).alias("row")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole)
     digests = text_rows(docs).filter("doc_id is not null").select("doc_id", F.md5("text").alias("digest"))
     pairs = written(digests.groupBy("doc_id", "digest").count().drop("count"), "suffix-digests")
@@ -317,12 +329,13 @@ def apply_runs(docs: DataFrame, finish: Callable[[int | None, bytes, list[tuple[
             raise ValueError("ids are too large to number their texts")
         numbered = pairs.withColumn("doc", F.col("doc_id") * ids.most + F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")) - 1)
         pairs = written(numbered, "suffix-digests")
-        rows = rows.withColumn("digest", F.md5("row.text")).join(pairs, ["doc_id", "digest"], "left").select("doc", "row", "doc_id")
+        rows = rows.withColumn("digest", F.md5("row.text")).join(pairs, ["doc_id", "digest"], "left").select("doc", "row")
     else:
         pairs = pairs.withColumn("doc", F.col("doc_id"))
-        rows = rows.select(F.col("doc_id").alias("doc"), "row", "doc_id")
+        rows = rows.select(F.col("doc_id").alias("doc"), "row")
     firsts = written(pairs.groupBy("digest").agg(F.min("doc").alias("doc")).select("doc"), "suffix-firsts").withColumn("first", F.lit(True))
-    base = rows.join(firsts.hint("shuffle_hash"), "doc", "left")
+    # The same filter for every reader: else the optimizer gives each its own text shuffle.
+    base = rows.filter("doc is not null").join(firsts.hint("shuffle_hash"), "doc", "left")
     own = base.filter("first").select("doc", "row")
     repeated = own.mapInArrow(_count(least, seed), "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     marks = own.mapInArrow(_mark(least, seed), "h long, doc long, at long").join(repeated.hint("shuffle_hash"), "h")
@@ -330,21 +343,23 @@ def apply_runs(docs: DataFrame, finish: Callable[[int | None, bytes, list[tuple[
     contexts = base.join(listed, "doc", "left").filter("first and marks is not null").select("doc", "row", "marks").mapInArrow(_contexts(least, hot), CONTEXT)
     spans = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_judge(least), SPAN)
     runs = spans.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    final = base.join(runs, "doc", "left").select("doc_id", "row", "doc", "first", "starts", "stops")
+    final = base.join(runs, "doc", "left").select("row", "doc", "first", "starts", "stops")
+    nameless = rows.filter("doc is null").select("row", "doc", F.lit(None).cast("boolean"), *[F.lit(None).cast("array<long>")] * 2)
+    final = final.union(nameless)
     kinds = docs.sparkSession.createDataFrame([], schema)
     names, types = kinds.columns, pa.schema([(f.name, pa.binary() if f.dataType.typeName() == "binary" else pa.string() if f.dataType.typeName() == "string" else pa.int64()) for f in kinds.schema])
 
     def cut(batches):
         for batch in batches:
             out = []
-            for doc_id, text, doc, first, starts, stops in zip(batch.column(0).to_pylist(), strings(batch.column(1).field(0)), *(batch.column(i).to_pylist() if i < 4 else batch.column(i) for i in range(2, 6))):
+            for doc_id, text, doc, first, starts, stops in zip(batch.column(0).field("id").to_pylist(), strings(batch.column(0).field(0)), *(batch.column(i).to_pylist() if i < 3 else batch.column(i) for i in range(1, 5))):
                 if doc is not None and not first:
                     own = [(0, len(text))] if len(text) >= least else []
                 else:
                     own = merged(starts.values.to_numpy(), stops.values.to_numpy()) if starts.is_valid else []
                 out.append(finish(doc_id, bytes(text), own))
             columns = [pa.array(c, t.type) for c, t in zip(zip(*out), types)] if out else [pa.array([], t.type) for t in types]
-            yield pa.RecordBatch.from_arrays([*columns, *([batch.column(1)] if carry else [])], [*names, *(["rest"] if carry else [])])
+            yield pa.RecordBatch.from_arrays([*columns, *([batch.column(0)] if carry else [])], [*names, *(["rest"] if carry else [])])
 
     if carry:
         return final.mapInArrow(cut, kinds.schema.add("rest", final.schema["row"].dataType))
