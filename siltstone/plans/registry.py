@@ -1,4 +1,12 @@
 """All queries of the reference's operators, and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from importlib import import_module
+
+FAMILIES = ["texts", "curation"]
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+for _name in FAMILIES:
+    _family = import_module(f"siltstone.plans.{_name}").REGISTRY
+    QUERIES |= _family.queries
+    ORACLE_SQL |= _family.sql
