@@ -8,8 +8,13 @@ feature.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from siltstone.functions import text as T
 
@@ -135,12 +140,6 @@ def _band(fp: Column, b: Column) -> Column:
 
 def fingerprints(df: DataFrame, size: int = 4) -> DataFrame:
     """df with fp: SimHash of the set of character n-grams by blake2b-64, a bit being set at sum >= 0."""
-    import hashlib
-
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.types import LongType
-
     @F.pandas_udf(LongType())
     def run(compact: pd.Series) -> pd.Series:
         out = []

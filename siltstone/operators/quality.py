@@ -57,40 +57,41 @@ def document_reason(text: Column, language_score: Column, script: str = T.BENGAL
     )
 
 
-def quality_score(text: Column, raw: Column, synthetic: Column, original: Column, script: str = T.BENGALI) -> Column:
-    """The struct (score, flags, removal): additive penalties, a blend for synthetic rows, clamped.
+def with_quality_score(df: DataFrame, text: str, raw: Column, synthetic: Column, original: Column, script: str = T.BENGALI, most_latin: float | None = 0.3) -> DataFrame:
+    """df with score, flags and removal: additive penalties, a blend for synthetic rows, clamped.
 
-    Scores are kept to nine places, so that sums of tenths compare with thresholds as written.
+    The statistics are columns of a first step, so that each is computed once. Scores are kept to
+    nine places, so that sums of tenths compare with thresholds as written.
     """
-    solid = F.greatest(F.lit(1), T.count(text, r"[^\s]"))
-    in_script = T.count(text, f"[{script}]")
-    tokens, length = F.size(T.words(text)), F.length(text)
+    value = F.col(text)
+    stats = df.withColumn("_s", F.struct(
+        F.greatest(F.lit(1), T.count(value, r"[^\s]")).alias("solid"), T.count(value, f"[{script}]").alias("script"), T.count(value, "[A-Za-z]").alias("latin"), T.count(value, r"[\p{P}\p{S}]").alias("marks"),
+        F.size(T.words(value)).alias("tokens"), F.length(value).alias("length"), T.longest_run(value).alias("run"), T.ngram_repetition(value).alias("repetition"), (F.trim(F.coalesce(value, F.lit(""))) == "").alias("empty"),
+    ))
+    s = lambda name: F.col(f"_s.{name}")
     conditions = {
-        "low_bangla_ratio": (in_script / solid < 0.5, 0.35),
-        "high_latin_ratio": (T.count(text, "[A-Za-z]") / solid > 0.3, 0.20),
+        "low_bangla_ratio": (s("script") / s("solid") < 0.5, 0.35),
         "artifact_placeholder_removed": (raw.rlike("<>|&lt;&gt;"), 0.10),
-        "very_short": (length <= 1, 0.25),
-        "short_utterance": ((length > 1) & (length <= 3), 0.08),
-        "single_short_token": ((tokens == 1) & (length <= 4), 0.10),
-        "excessive_same_char_run": (T.longest_run(text) >= 6, 0.20),
-        "high_token_repetition": (T.ngram_repetition(text) >= 0.30, 0.25),
-        "punctuation_symbol_dominant": (T.count(text, r"[\p{P}\p{S}]") / solid > 0.60, 0.40),
+        "very_short": (s("length") <= 1, 0.25),
+        "short_utterance": ((s("length") > 1) & (s("length") <= 3), 0.08),
+        "single_short_token": ((s("tokens") == 1) & (s("length") <= 4), 0.10),
+        "excessive_same_char_run": (s("run") >= 6, 0.20),
+        "high_token_repetition": (s("repetition") >= 0.30, 0.25),
+        "punctuation_symbol_dominant": (s("marks") / s("solid") > 0.60, 0.40),
     }
-    score = F.lit(1.0) - F.when(in_script < 1, 0.70).otherwise(0.0)
+    if most_latin is not None:
+        conditions["high_latin_ratio"] = (s("latin") / s("solid") > most_latin, 0.20)
+    score = F.lit(1.0) - F.when(s("script") < 1, 0.70).otherwise(0.0)
     for condition, penalty in conditions.values():
         score = score - F.when(condition, penalty).otherwise(0.0)
     made = F.coalesce(synthetic, F.lit(False))
-    score = F.when(made & original.isNotNull(), 0.7 * score + 0.3 * original).otherwise(score) - F.when(made & (tokens <= 2), 0.10).otherwise(0.0)
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 9)
-    empty = F.trim(F.coalesce(text, F.lit(""))) == ""
+    score = F.when(made & original.isNotNull(), 0.7 * score + 0.3 * original).otherwise(score) - F.when(made & (s("tokens") <= 2), 0.10).otherwise(0.0)
+    score = F.when(s("empty"), F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 9))
     none = F.array().cast("array<string>")
-    return F.when(empty, F.struct(F.lit(0.0).alias("score"), none.alias("flags"), F.array(F.lit("empty_after_cleaning")).alias("removal"))).otherwise(
-        F.struct(
-            score.alias("score"),
-            flags(**{k: c for k, (c, _) in conditions.items()}, synthetic_too_short=made & (tokens <= 2)).alias("flags"),
-            flags(no_bangla_characters=in_script < 1, quality_below_minimum=score < 0.4, synthetic_quality_below_minimum=made & (score < 0.6)).alias("removal"),
-        )
-    )
+    named = flags(**{k: c for k, (c, _) in conditions.items()}, synthetic_too_short=made & (s("tokens") <= 2))
+    removal = flags(no_bangla_characters=s("script") < 1, quality_below_minimum=F.col("score") < 0.4, synthetic_quality_below_minimum=made & (F.col("score") < 0.6))
+    out = stats.withColumn("score", score).withColumn("flags", F.when(s("empty"), none).otherwise(named))
+    return out.withColumn("removal", F.when(s("empty"), F.array(F.lit("empty_after_cleaning"))).otherwise(removal)).drop("_s")
 
 
 def split_by_reason(df: DataFrame, reason: Column, task: str, id_col: str) -> tuple[DataFrame, DataFrame]:

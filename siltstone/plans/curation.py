@@ -80,14 +80,12 @@ f AS (SELECT doc_id, syn, len(w) AS n, len(regexp_extract_all(text, '[A-Za-z]'))
   regexp_matches(text, '(?s)a{6}|b{6}|c{6}|d{6}|e{6}|h{6}|!{6}|\*{6}|#{6}|\${6}|%{6}|&{6}|-{6}|={6}|\.{6}|_{6}|0{6}|1{6}|x{6}|X{6}|A{6}| {6}|\n{6}') AS run FROM g),
 s AS (SELECT *, 1.0 - (s < 1)::INT * 0.7 - low::INT * 0.35 - (s / greatest(1, c) > 2)::INT - (c <= 1)::INT * 0.25 - (c > 1 AND c <= 3)::INT * 0.08 - (n = 1 AND c <= 4)::INT * 0.1 - run::INT * 0.2 - rep::INT * 0.25 - punct::INT * 0.4 AS q FROM f),
 t AS (SELECT doc_id, syn, rep, low, round(greatest(0.0, least(1.0, q - (syn AND n <= 2)::INT * 0.1)), 9) AS q FROM s)
-SELECT syn, low, rep, count(*) AS n, round(sum(q), 5) AS score_sum, count(*) FILTER (q < 0.4) AS removed FROM t GROUP BY ALL""")
+SELECT syn, low, rep, count(*) AS n, round(CAST(sum(q) AS DOUBLE), 5) AS score_sum, count(*) FILTER (q < 0.4) AS removed FROM t GROUP BY ALL""")
 def quality_scores(read):
-    """Additive quality scores, summed up by synthetic origin and two flags. Latin letters are the script, so high_latin_ratio is left out."""
+    """Additive quality scores, summed up by synthetic origin and two flags (a-z is the script here)."""
     syn = F.substr(F.col("source"), F.lit(4)).cast("int") % 3 == 0
-    d = read("documents").select(syn.alias("syn"), Q.quality_score(F.col("text"), F.lit(""), syn, F.lit(None).cast("double"), SCRIPT).alias("q"))
-    high = F.array_contains("q.flags", "high_latin_ratio")
-    score = F.round(F.col("q.score") + F.when(high & (F.col("q.score") < 1), 0.2).otherwise(0.0), 9)
-    return d.groupBy("syn", F.array_contains("q.flags", "low_bangla_ratio").alias("low"), F.array_contains("q.flags", "high_token_repetition").alias("rep")).agg(F.count("*").alias("n"), F.round(F.sum(score), 5).alias("score_sum"), F.count_if(score < 0.4).alias("removed"))
+    d = Q.with_quality_score(read("documents").select("text", syn.alias("syn")), "text", F.lit(""), F.col("syn"), F.lit(None).cast("double"), SCRIPT, None)
+    return d.groupBy("syn", F.array_contains("flags", "low_bangla_ratio").alias("low"), F.array_contains("flags", "high_token_repetition").alias("rep")).agg(F.count("*").alias("n"), F.round(F.sum("score"), 5).alias("score_sum"), F.count_if(F.col("score") < 0.4).alias("removed"))
 
 
 @query("""SELECT doc_id, lang IN ('en', 'de') AND length(text) BETWEEN 100 AND 20000 AS trainable, doc_id % 10 < 2 AS evaluable, lang NOT IN ('fr') AND doc_id % 10 >= 2 AS tokenizer,
@@ -264,7 +262,7 @@ def loose_group_report(read):
     from pyspark.sql import Window
 
     m = _members(read)
-    size = m.groupBy("k").agg(F.count("*").alias("group_size"), F.count_if("not syn").alias("real_count"), F.count_if("syn").alias("synthetic_count"), F.countDistinct("text").alias("unique_texts"), F.countDistinct("source").alias("unique_sources"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.min("n_chars").alias("min_chars"), F.max("n_chars").alias("max_chars")).filter("group_size > 1")
+    size = m.groupBy("k").agg(F.count("*").alias("group_size"), F.count_if(F.expr("not syn")).alias("real_count"), F.count_if("syn").alias("synthetic_count"), F.countDistinct("text").alias("unique_texts"), F.countDistinct("source").alias("unique_sources"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.min("n_chars").alias("min_chars"), F.max("n_chars").alias("max_chars")).filter("group_size > 1")
     top = m.select("k", "prio", "doc_id", F.substr(F.md5("text"), F.lit(1), F.lit(6)).alias("p")).withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("prio", "doc_id"))).filter("r <= 5")
     examples = top.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "p"))), lambda x: x["p"]), " || ").alias("examples"))
     kind = F.when((F.col("real_count") > 0) & (F.col("synthetic_count") > 0), "real_synthetic_collision").when(F.col("real_count") > 0, "real_only_loose_duplicate").otherwise("synthetic_only_loose_duplicate")
@@ -308,5 +306,5 @@ def data_gate(read):
     """Named checks over the whole table."""
     d = read("documents").select("doc_id", "lang", "text", F.md5("text").alias("k"))
     leaks = d.filter("doc_id % 10 = 0").join(d.filter("doc_id % 10 > 1").select("k"), "k", "left_semi").agg(F.count("*").alias("leaks"))
-    checks = d.agg(F.count("*").alias("rows"), (F.count("*") - F.countDistinct("k")).alias("repeated"), F.count_if("lang is null or lang = 'UNK'").alias("unknown_label"), F.count_if("text is null or text = ''").alias("missing_text"), (F.countDistinct("doc_id") == F.count("*")).alias("unique_ids"))
+    checks = d.agg(F.count("*").alias("rows"), (F.count("*") - F.countDistinct("k")).alias("repeated"), F.count_if(F.expr("lang is null or lang = 'UNK'")).alias("unknown_label"), F.count_if(F.expr("text is null or text = ''")).alias("missing_text"), (F.countDistinct("doc_id") == F.count("*")).alias("unique_ids"))
     return checks.join(leaks)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["texts", "curation"]
+FAMILIES = ["texts", "curation", "analytics"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
