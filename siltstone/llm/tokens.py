@@ -10,6 +10,7 @@ token's string are encoded whole.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 
 import numpy as np
@@ -21,6 +22,7 @@ LETTER, NUMBER, OTHER, SPACE, BREAK = range(5)
 _SPACES = {9, 10, 11, 12, 13, 32, 0x85, 0xA0}
 _LAST = 0x24F
 _CLASS = np.array([SPACE if c in _SPACES else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(_LAST + 1)] + [BREAK], np.uint8)
+_BLANK = re.compile(r"[a-z] [a-z]")
 _POWERS = Powers(0x9E3779B97F4A7C15)
 
 
@@ -49,8 +51,14 @@ def pretokens(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Two tables, sorted by their first columns, as one."""
+    place = np.searchsorted(a[0], b[0])
+    return [np.insert(x, place, y) for x, y in zip(a, b)]
+
+
 class Encoder:
-    def __init__(self, path: str | None = None, cache: int = 2_000_000):
+    def __init__(self, path: str | None = None, cache: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -62,8 +70,10 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.checks, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.at, self.ids, self.used = np.zeros(0, np.int64), np.zeros(1 << 16, self.type), 0
+        # Columns: key, check, number of ids, place of the ids. New rows go to the small table.
+        empty = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int32, np.int64)]
+        self.large, self.small = empty, empty
+        self.ids, self.used = np.zeros(1 << 16, self.type), 0
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.type) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,11 +85,24 @@ class Encoder:
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(flat), self.type)])
         self.ids[self.used : self.used + len(flat)] = flat
-        place = np.searchsorted(self.keys, keys)
         at = self.used + np.concatenate([[0], np.cumsum(size[:-1])]).astype(np.int64)
-        self.keys, self.checks, self.size, self.at = (np.insert(x, place, y) for x, y in ((self.keys, keys), (self.checks, checks), (self.size, size), (self.at, at)))
+        self.small = _merged(self.small, [keys, checks, size, at])
+        if 4 * len(self.small[0]) > len(self.large[0]) + (1 << 16):
+            self.large, self.small = _merged(self.large, self.small), [c[:0] for c in self.small]
         self.used += len(flat)
 
+    def _look(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which keys are known, and their checks, numbers of ids and places."""
+        known, out = np.zeros(len(keys), bool), [np.zeros(len(keys), t) for t in (np.uint64, np.int32, np.int64)]
+        for part in (self.large, self.small):
+            if len(part[0]):
+                place = np.minimum(np.searchsorted(part[0], keys), len(part[0]) - 1)
+                here = part[0][place] == keys
+                known |= here
+                for column, values in zip(out, part[1:]):
+                    column[here] = values[place[here]]
+        return known, out
+
     def _split(self, texts: list[str]) -> list[np.ndarray]:
         joined = "".join(["ɐ", *(f"{t}ɐ" for t in texts)])
         codes = np.frombuffer(joined.encode("utf-16-le"), np.uint16)
@@ -100,23 +123,33 @@ class Encoder:
         unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
         if (checks[first][which] != checks).any():
             return self._ids(texts)
-        if len(self.keys) + len(unique) > self.limit:
+        if len(self.large[0]) + len(self.small[0]) + len(unique) > self.limit:
             self._clear()
-        place = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
-        missing = self.keys[place] != unique if len(self.keys) else np.ones(len(unique), bool)
-        if missing.any():
-            words = [joined[a:b] for a, b in zip(start[first[missing]].tolist(), end[first[missing]].tolist())]
-            self._learn(words, unique[missing], checks[first[missing]])
-            place = np.searchsorted(self.keys, unique)
-        if (self.checks[place] != checks[first]).any():
+        known, found = self._look(unique)
+        if not known.all():
+            new = first[~known]
+            self._learn([joined[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())], unique[~known], checks[new])
+            known, found = self._look(unique)
+        if (found[0] != checks[first]).any():
             return self._ids(texts)
-        place = place[which]
-        size = self.size[place].astype(np.int64)
+        size, place = found[1][which].astype(np.int64), found[2][which]
         before = np.cumsum(size) - size
-        out = self.ids[np.repeat(self.at[place] - before, size) + np.arange(int(size.sum()))]
+        out = self.ids[np.repeat(place - before, size) + np.arange(int(size.sum()))]
         last = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per_text)])]
         return [out[a:b] for a, b in zip(last[:-1].tolist(), last[1:].tolist())]
 
+    def _long(self, text: str, piece: int = 1 << 19) -> np.ndarray:
+        """The ids of a long text, in pieces that end before a single blank between two words."""
+        out, at = [], 0
+        while at < len(text):
+            end = at + piece
+            if end < len(text):
+                cut = _BLANK.search(text, end)
+                end = cut.start() + 1 if cut else len(text)
+            out += self._split([text[at:end]])
+            at = end
+        return np.concatenate(out)
+
     def encode(self, texts: list[bytes | memoryview]) -> list[np.ndarray]:
         """The ids of each text, given in UTF-8."""
         plain, odd, out = [], [], [None] * len(texts)
@@ -126,8 +159,12 @@ class Encoder:
             (plain if latin and not any(s in text for s in self.special) else odd).append((k, text))
         for part, how in ((plain, self._split), (odd, self._ids)):
             if part:
-                for (k, _), ids in zip(part, how([t for _, t in part])):
+                short = [x for x in part if how == self._ids or len(x[1]) <= 1 << 20]
+                for (k, _), ids in zip(short, how([t for _, t in short]) if short else []):
                     out[k] = ids
+        for k, text in plain:
+            if out[k] is None:
+                out[k] = self._long(text)
         return out
 
 
