@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["texts", "curation", "analytics"]
+FAMILIES = ["texts", "curation", "analytics", "evaluation"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
