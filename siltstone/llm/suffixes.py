@@ -13,12 +13,12 @@
 4. A document's removed runs are merged and applied to its text.
 
 Hot anchors: copies of a whole text are settled first by a digest, with a partial aggregate. An
-anchor of more than `hot` occurrences gives each of its windows as a row of its own, dealt by the
-hash of the window; of equal rows in a task only the first is sent, the others being removed for
-certain. So a task gathers `hot` contexts of a hash at most, or one row for a window and task.
+anchor of more than `hot` occurrences gives each of its windows as a row of its own, its MD5
+digest, dealt by the hash of the window; of equal rows in a task only the first is sent, the
+others being removed for certain. So a task gathers `hot` contexts of a hash at most, or one row for a window and task.
 
-Every comparison is of bytes; hashes only deal out rows. The plan has one text shuffle, which
-its four readers share.
+Comparisons are of bytes, for hot anchors of digests; other hashes only deal out rows. The plan has one text shuffle, which
+its three readers share.
 
 Defined cases: null texts are empty; texts shorter than `least` keep everything; a row with a
 null id keeps everything and removes nothing; repeated rows are one document, each reported; of
@@ -40,6 +40,7 @@ from .shared import Powers, bounded_batches, mixed, strings, table, text_rows, w
 _PLACE = 28  # bits of a place within a chunk
 _A, _B = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93)
 _VALUE = mixed(np.arange(1, 257, dtype=np.uint64))
+_DIGEST = 255  # stands for the bytes before an anchor where ctx is the digest of one window
 CONTEXT = "g long, doc long, at long, ctx binary"
 _CONTEXT = pa.schema([("g", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("ctx", pa.binary())])
 SPAN = "doc long, start long, stop long"
@@ -209,19 +210,20 @@ def _contexts(least: int, hot: int, block: int = 50_000):
         spans: list[tuple[int, int, int]] = []
 
         def put(g: int, doc: int, at: int, ctx: bytes) -> None:
-            key, own = (g, at >> 8 & 255, ctx), (doc, at)
+            before = at >> 8 & 255
+            key, own = (g, before, ctx), (doc, at)
             first = best.get(key)
             if first is None:
                 best[key] = own
             elif own != first:
                 if own < first:
                     best[key], own = own, first
-                start = (own[1] >> 16) - (own[1] >> 8 & 255)
-                spans.append((start + len(ctx), own[0], start))
+                start = (own[1] >> 16) - (0 if before == _DIGEST else before)
+                spans.append((own[0], start, start + (least if before == _DIGEST else len(ctx))))
 
         def out():
-            rows = list(best.items())
-            columns = [[k[0] for k, _ in rows] + [s[0] for s in spans], [v[0] for _, v in rows] + [s[1] for s in spans], [v[1] for _, v in rows] + [s[2] for s in spans], [k[2] for k, _ in rows] + [None] * len(spans)]
+            rows, certain = list(best.items()), joined(spans)
+            columns = [[k[0] for k, _ in rows] + [s[2] for s in certain], [v[0] for _, v in rows] + [s[0] for s in certain], [v[1] for _, v in rows] + [s[1] for s in certain], [k[2] for k, _ in rows] + [None] * len(certain)]
             best.clear()
             spans.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONTEXT)], schema=_CONTEXT)
@@ -243,7 +245,7 @@ def _contexts(least: int, hot: int, block: int = 50_000):
                     for at in ats[many].tolist():
                         start = (at >> 16) - (at >> 8 & 255)
                         for s in range(start, start + (at & 255) + 1):
-                            put(int(keys[s]), doc, s << 16, text[s : s + least])
+                            put(int(keys[s]), doc, s << 16 | _DIGEST << 8, hashlib.md5(text[s : s + least]).digest())
                 if len(best) + len(spans) >= block:
                     yield out()
         if best or spans:
@@ -252,9 +254,22 @@ def _contexts(least: int, hot: int, block: int = 50_000):
     return run
 
 
-def judged(rows: list[tuple[int, int, bytes]], least: int) -> Iterator[tuple[int, int, int]]:
-    """Spans (doc, start, stop) of later occurrences among contexts (doc, at, ctx) of one anchor hash."""
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (doc, start, stop) with those that touch made one."""
+    out: list[tuple[int, int, int]] = []
+    for doc, start, stop in sorted(spans):
+        if out and out[-1][0] == doc and start <= out[-1][2]:
+            out[-1] = (doc, out[-1][1], max(stop, out[-1][2]))
+        else:
+            out.append((doc, start, stop))
+    return out
+
+
+def judged(rows: list[tuple[int, int, bytes]], least: int) -> list[tuple[int, int, int]]:
+    """Spans (doc, start, stop) of later occurrences among contexts (doc, at, ctx) of one hash: one
+    for a context at most, as all repeats around an anchor overlap in it."""
     classes: dict[tuple[int, bytes], tuple[int, int]] = {}
+    spans = []
     for doc, at, ctx in rows:
         before = at >> 8 & 255
         key, own = (before, ctx), (doc, (at >> 16))
@@ -262,14 +277,19 @@ def judged(rows: list[tuple[int, int, bytes]], least: int) -> Iterator[tuple[int
         if first != own:
             if own < first:
                 classes[key], own = own, first
-            yield own[0], own[1] - before, own[1] - before + len(ctx)
-    if len(classes) > 1:
-        places = list(classes.values())
-        for left, right, group in maximal_repeats([c[:b][::-1] for b, c in classes], [c[b:] for b, c in classes], least):
+            spans.append((own[0], own[1], own[1] + least) if before == _DIGEST else (own[0], own[1] - before, own[1] - before + len(ctx)))
+    contexts = [(b, c, place) for (b, c), place in classes.items() if b != _DIGEST]
+    if len(contexts) > 1:
+        places = [x[2] for x in contexts]
+        wide: dict[int, tuple[int, int]] = {}
+        for left, right, group in maximal_repeats([c[:b][::-1] for b, c, _ in contexts], [c[b:] for b, c, _ in contexts], least):
             first = min(places[m] for m in group)
             for m in group:
                 if places[m] != first:
-                    yield places[m][0], places[m][1] - left, places[m][1] + right
+                    l, r = wide.get(m, (0, 0))
+                    wide[m] = (max(l, left), max(r, right))
+        spans += [(places[m][0], places[m][1] - l, places[m][1] + r) for m, (l, r) in wide.items()]
+    return spans
 
 
 def _judge(least: int):
@@ -293,9 +313,9 @@ def _judge(least: int):
                         spans.append((docs[i], ats[i], int(g[i])))
                     else:
                         rest.append((docs[i], ats[i], ctxs[i]))
-            if spans:
+            if spans := joined(spans):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*spans)], ["doc", "start", "stop"])
-        if len(rest) > 1 and (spans := list(judged(rest, least))):
+        if len(rest) > 1 and (spans := judged(rest, least)):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*spans)], ["doc", "start", "stop"])
 
     return run
@@ -337,7 +357,11 @@ def apply_runs(docs: DataFrame, finish: Callable[[int | None, bytes, list[tuple[
     # The same filter for every reader: else the optimizer gives each its own text shuffle.
     base = rows.filter("doc is not null").join(firsts.hint("shuffle_hash"), "doc", "left")
     own = base.filter("first").select("doc", "row")
-    repeated = own.mapInArrow(_count(least, seed), "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+    # Counts are taken over all rows, copies of whole texts too: that needs no shuffle of texts, and
+    # a hash that only copies share brings a context that meets no other. Written, so that the join
+    # has plain shuffles on either side and a hot hash can be split.
+    counted = rows.filter("doc is not null").select("doc", "row").mapInArrow(_count(least, seed), "h long, n long")
+    repeated = written(counted.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "suffix-hashes")
     marks = own.mapInArrow(_mark(least, seed), "h long, doc long, at long").join(repeated.hint("shuffle_hash"), "h")
     listed = marks.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n")).alias("marks"))
     contexts = base.join(listed, "doc", "left").filter("first and marks is not null").select("doc", "row", "marks").mapInArrow(_contexts(least, hot), CONTEXT)
