@@ -119,8 +119,10 @@ def compact_word(text: Column) -> Column:
     return F.regexp_replace(F.lower(raw_text(text)), r"[^\p{L}\p{N}_]", "")
 
 
-def count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("long")
+def count(text: Column, kinds: str) -> Column:
+    """How many characters are of these classes (the inside of a bracket expression): what is left
+    when runs of others are cut out. Counting matches would make an object of each character."""
+    return F.length(F.regexp_replace(text, f"[^{kinds}]+", "")).cast("long")
 
 
 def letters(text: Column) -> Column:
@@ -128,7 +130,7 @@ def letters(text: Column) -> Column:
 
 
 def script_letters(text: Column, script: str = BENGALI) -> Column:
-    return count(text, rf"[{script}&&\p{{L}}]")
+    return F.length(F.regexp_replace(text, rf"[[^{script}]\P{{L}}]+", "")).cast("long")
 
 
 def script_ratio(text: Column, script: str = BENGALI) -> Column:
@@ -237,10 +239,14 @@ def diversity(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.size(F.array_distinct(tokens)) / F.size(tokens)).otherwise(F.lit(0.0))
 
 
+def windows(text: Column, n: int) -> Column:
+    """All substrings of n characters, in one pass (substr would count from the start each time)."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
 def character_grams(text: Column, n: int = 4) -> Column:
     """The set of character n-grams; a shorter text is its own gram, an empty one has none."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
-    return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= n, F.array(text)).otherwise(F.array_distinct(grams))
+    return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= n, F.array(text)).otherwise(F.array_distinct(windows(text, n)))
 
 
 def synthetic_variant(text: Column, selector: Column, stop: str = " ।") -> Column:

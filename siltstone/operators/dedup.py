@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from siltstone.functions import text as T
+from siltstone.operators.components import stored
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -106,7 +107,7 @@ def contained(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str,
 def _contained_by_join(docs: DataFrame, used: DataFrame, id_col: str, text_col: str, pattern_id: str, least: int) -> DataFrame:
     """Every place of every text gives its next `least` characters; those that begin a pattern stay."""
     anchored = used.withColumn("_a", F.substr(F.col("_p"), F.lit(1), F.lit(least)))
-    places = docs.filter(F.length(text_col) >= least).select(id_col, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text_col) - least + 1), lambda i: F.substr(F.col(text_col), i, F.lit(least))))).alias("_a"))
+    places = docs.filter(F.length(text_col) >= least).select(id_col, F.explode(F.array_distinct(T.windows(F.col(text_col), least))).alias("_a"))
     found = places.join(anchored.select("_a").distinct(), "_a", "left_semi").join(anchored, "_a")
     return found.join(docs.select(id_col, text_col), id_col).filter(F.col(text_col).contains(F.col("_p"))).select(id_col, F.col("_id").alias(pattern_id)).distinct()
 
@@ -122,13 +123,19 @@ def near_matches(query: DataFrame, reference: DataFrame, shortest: int = 20, ham
     """
     refs = reference.filter("compact <> ''")
     exact = query.filter("compact <> ''").join(refs.groupBy("compact").agg(F.min(F.struct("ordinal", "row_id")).alias("m")), "compact").select("row_id", F.col("m.row_id").alias("match_id"), F.lit(1.0).alias("score"), F.lit("compact_exact").alias("kind"))
-    bands = lambda df: fingerprints(df.filter(F.length("compact") >= shortest), size).select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: _band(F.col("fp"), b))).alias("band", "value"))
-    left = bands(query.join(exact.select("row_id"), "row_id", "left_anti"))
-    right = bands(refs).select(F.col("row_id").alias("match_id"), F.col("compact").alias("other"), F.col("fp").alias("fp2"), F.col("ordinal").alias("ordinal2"), "band", "value")
-    short, long = F.least(F.length("compact"), F.length("other")), F.greatest(F.length("compact"), F.length("other"))
+    # Fingerprints are written: both sides read them, and they are the costly part.
+    sides = query.select("row_id", "compact", "ordinal", F.lit(True).alias("asks")).join(exact.select("row_id"), "row_id", "left_anti").unionByName(refs.select("row_id", "compact", "ordinal", F.lit(False).alias("asks")))
+    prints = stored(fingerprints(sides.filter(F.length("compact") >= shortest), size), "fingerprints")
+    banded = prints.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: _band(F.col("fp"), b))).alias("band", "value"))
+    left = banded.filter("asks").drop("compact")
+    right = banded.filter("not asks").select(F.col("row_id").alias("match_id"), F.col("size").alias("size2"), F.col("fp").alias("fp2"), F.col("ordinal").alias("ordinal2"), "band", "value")
+    short, long = F.least("size", "size2"), F.greatest("size", "size2")
     pairs = left.join(right, ["band", "value"]).filter((short / long >= ratio) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= hamming))
-    first = pairs.groupBy("row_id", "match_id").agg(F.min("band").alias("band"), F.first("compact").alias("compact"), F.first("other").alias("other"), F.first("ordinal2").alias("ordinal2"))
-    scored = first.withColumn("score", T.jaccard(T.character_grams(F.col("compact"), size), T.character_grams(F.col("other"), size))).filter(F.col("score") >= jaccard)
+    first = pairs.groupBy("row_id", "match_id").agg(F.min("band").alias("band"), F.min("ordinal2").alias("ordinal2"))
+    # Texts are joined in only for the pairs that are left.
+    grams = lambda asks, key, name: prints.filter(asks).select(F.col("row_id").alias(key), F.col("compact").alias(name))
+    texts = first.join(grams("asks", "row_id", "compact"), "row_id").join(grams("not asks", "match_id", "other"), "match_id")
+    scored = texts.withColumn("score", T.jaccard(T.character_grams(F.col("compact"), size), T.character_grams(F.col("other"), size))).filter(F.col("score") >= jaccard)
     best = scored.groupBy("row_id").agg(F.min(F.struct(-F.col("score"), "band", "ordinal2", "match_id")).alias("m"))
     near = best.select("row_id", F.col("m.match_id").alias("match_id"), (-F.col("m.col1")).alias("score"), F.lit("simhash_jaccard").alias("kind"))
     return exact.unionByName(near)
@@ -139,19 +146,26 @@ def _band(fp: Column, b: Column) -> Column:
 
 
 def fingerprints(df: DataFrame, size: int = 4) -> DataFrame:
-    """df with fp: SimHash of the set of character n-grams by blake2b-64, a bit being set at sum >= 0."""
+    """df with size and fp: SimHash of the set of character n-grams by blake2b-64, a bit being set at sum >= 0."""
+    known: dict[str, bytes] = {}
+
     @F.pandas_udf(LongType())
     def run(compact: pd.Series) -> pd.Series:
         out = []
         for text in compact:
             grams = {text} if len(text) <= size else {text[i : i + size] for i in range(len(text) - size + 1)}
             grams.discard("")
-            raw = b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams)
-            bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
+            new = grams - known.keys()
+            if len(known) > 500_000:
+                known.clear()
+                new = grams
+            for g in new:
+                known[g] = hashlib.blake2b(g.encode(), digest_size=8).digest()
+            bits = np.unpackbits(np.frombuffer(b"".join(map(known.__getitem__, grams)), np.uint8).reshape(-1, 8), axis=1)
             out.append(int(np.packbits(2 * bits.sum(axis=0) >= len(bits)).view(">i8")[0]) if grams else 0)
         return pd.Series(out, dtype="int64")
 
-    return df.withColumn("fp", run(F.col("compact")))
+    return df.withColumn("fp", run(F.col("compact"))).withColumn("size", F.length("compact"))
 
 
 def thin_groups(df: DataFrame, keys: list[str], order: list[Column], synthetic: Column, beside_real: int = 1, alone: int = 2, least: int = 2) -> DataFrame:

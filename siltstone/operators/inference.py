@@ -36,9 +36,9 @@ def swap_bit(seed: int, group: Column, replicate: Column) -> Column:
 
 
 def cluster_bootstrap(stats: DataFrame, group: str, numerator: str, denominator: str, n: int, seed: int, by: list[str] = ()) -> DataFrame:
-    """(replicate, by, ratio) of weighted sums; one multiplicity a group across all rows of `by`."""
+    """(replicate, by, ratio) of weighted sums, null where no group was drawn; one multiplicity a group across all rows of `by`."""
     w = replicates(stats, n).withColumn("_w", poisson_weight(seed, F.col(group), F.col("replicate")))
-    return w.groupBy(*by, "replicate").agg((F.sum(F.col("_w") * F.col(numerator)) / F.sum(F.col("_w") * F.col(denominator))).alias("ratio"))
+    return w.groupBy(*by, "replicate").agg(F.try_divide(F.sum(F.col("_w") * F.col(numerator)).cast("double"), F.sum(F.col("_w") * F.col(denominator)).cast("double")).alias("ratio"))
 
 
 def paired_randomization(stats: DataFrame, group: str, treatment: str, control: str, n: int, seed: int) -> DataFrame:

@@ -65,7 +65,7 @@ def with_quality_score(df: DataFrame, text: str, raw: Column, synthetic: Column,
     """
     value = F.col(text)
     stats = df.withColumn("_s", F.struct(
-        F.greatest(F.lit(1), T.count(value, r"[^\s]")).alias("solid"), T.count(value, f"[{script}]").alias("script"), T.count(value, "[A-Za-z]").alias("latin"), T.count(value, r"[\p{P}\p{S}]").alias("marks"),
+        F.greatest(F.lit(1), T.count(value, r"\S")).alias("solid"), T.count(value, script).alias("script"), T.count(value, "A-Za-z").alias("latin"), T.count(value, r"\p{P}\p{S}").alias("marks"),
         F.size(T.words(value)).alias("tokens"), F.length(value).alias("length"), T.longest_run(value).alias("run"), T.ngram_repetition(value).alias("repetition"), (F.trim(F.coalesce(value, F.lit(""))) == "").alias("empty"),
     ))
     s = lambda name: F.col(f"_s.{name}")

@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.session import spread
+
+TEXTS = {"documents", "pages"}  # tables whose rows are costly to work on
+
 
 class Registry:
     """Queries of one family: functions of (tables), their names and their SQL."""
@@ -19,7 +23,11 @@ class Registry:
 
         def add(function):
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                return function(lambda name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+                def read(name: str) -> DataFrame:
+                    table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+                    return spread(table) if name in TEXTS else table
+
+                return function(read)
 
             run.__doc__ = function.__doc__
             self.queries[function.__name__] = run

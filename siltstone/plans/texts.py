@@ -91,10 +91,10 @@ SELECT doc_id, CAST(length(text) AS BIGINT) AS char_len, CAST(nonspace AS BIGINT
   CAST(len(w) AS BIGINT) AS tokens, round(len(list_distinct(w)) / greatest(1, len(w)), 6) AS unique_ratio FROM b""")
 def text_char_stats(read):
     text, own = F.col("text"), T.words(F.col("text"))
-    solid = T.count(text, r"[^\s]")
+    solid = T.count(text, r"\S")
     return read("documents").select(
-        "doc_id", F.length(text).cast("long").alias("char_len"), solid.alias("nonspace_len"), T.count(text, r"\p{Nd}").alias("digits"), T.count(text, r"[\p{P}\p{S}]").alias("marks"),
-        F.round(T.count(text, "[A-Za-z]") / F.greatest(F.lit(1), solid), 6).alias("latin_ratio"), F.size(own).cast("long").alias("tokens"), F.round(F.size(F.array_distinct(own)) / F.greatest(F.lit(1), F.size(own)), 6).alias("unique_ratio"),
+        "doc_id", F.length(text).cast("long").alias("char_len"), solid.alias("nonspace_len"), T.count(text, r"\p{Nd}").alias("digits"), T.count(text, r"\p{P}\p{S}").alias("marks"),
+        F.round(T.count(text, "A-Za-z") / F.greatest(F.lit(1), solid), 6).alias("latin_ratio"), F.size(own).cast("long").alias("tokens"), F.round(F.size(F.array_distinct(own)) / F.greatest(F.lit(1), F.size(own)), 6).alias("unique_ratio"),
     )
 
 

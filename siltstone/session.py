@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", **options: str) -> SparkSession:
@@ -12,3 +12,10 @@ def session(master: str = "local[*]", **options: str) -> SparkSession:
     for key, value in (settings | options).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer splits than that (a small table in one file): rows
+    that are costly to work on then don't wait for one task. Large tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

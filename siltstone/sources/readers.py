@@ -56,6 +56,8 @@ def csv_with_encodings(spark: SparkSession, path: str, encodings: tuple[str, ...
 
 
 def _decoded(content: bytes, encoding: str) -> str | None:
+    if encoding.startswith("utf-16") and content[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+        return None  # without its mark, nearly anything decodes
     try:
         return content.decode(encoding)
     except UnicodeDecodeError:
@@ -64,7 +66,7 @@ def _decoded(content: bytes, encoding: str) -> str | None:
 
 def _frame(path: str, member: str, rows) -> pd.DataFrame:
     cells = [{header(k or ""): v for k, v in r.items() if isinstance(v, str)} for r in rows]
-    return pd.DataFrame({"path": path, "member": member, "row": range(len(cells)), "cells": cells})
+    return pd.DataFrame({"path": path, "member": member, "row": range(len(cells)), "cells": pd.Series(cells, dtype=object)})
 
 
 def csv_from_zip(spark: SparkSession, path: str, suffix: str = ".csv") -> DataFrame:
