@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.session import spread
+
 CHUNK_BYTES = 512 << 10
 BATCH_ROWS = 1024  # texts in an Arrow batch: a worker holds one batch
 
@@ -52,7 +54,7 @@ def bounded_batches(spark: SparkSession) -> None:
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and the text, null texts as empty ones; other columns are pruned from the scan."""
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    return spread(docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)))
 
 
 def strings(column: pa.Array) -> list[memoryview]:
