@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["texts", "curation", "analytics", "evaluation"]
+FAMILIES = ["texts", "curation", "analytics", "evaluation", "records"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
