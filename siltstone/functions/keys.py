@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPLIT_RANK = {"test_external": 0, "test_ood": 1, "test": 2, "validation": 3, "train": 4}  # most protected first
+# Splits, most protected first.
+SPLIT_RANK = {"test_external": 0, "test_ood": 1, "test": 2, "validation": 3, "train": 4}
 
 
 def stable_hash(*parts: Column | object) -> Column:

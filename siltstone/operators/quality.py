@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import keys as K
 from siltstone.functions import text as T
 
+# Names of flags that reject a row.
 FATAL = ["empty_after_model_cleaning", "extreme_length", "no_bengali_letter", "low_bengali_letter_ratio", "angle_placeholder", "residual_angle_placeholder", "transcript_too_short"]
 
 
@@ -69,6 +70,7 @@ def with_quality_score(df: DataFrame, text: str, raw: Column, synthetic: Column,
         F.size(T.words(value)).alias("tokens"), F.length(value).alias("length"), T.longest_run(value).alias("run"), T.ngram_repetition(value).alias("repetition"), (F.trim(F.coalesce(value, F.lit(""))) == "").alias("empty"),
     ))
     s = lambda name: F.col(f"_s.{name}")
+    # Flag names and penalties.
     conditions = {
         "low_bangla_ratio": (s("script") / s("solid") < 0.5, 0.35),
         "artifact_placeholder_removed": (raw.rlike("<>|&lt;&gt;"), 0.10),
