@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["texts", "curation", "analytics", "evaluation", "records"]
+FAMILIES = ["texts", "curation", "analytics", "evaluation", "records", "models"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
