@@ -39,17 +39,22 @@ def words_of(text: bytes) -> list[bytes]:
     return _WORD_RE.findall(bytes(text).lower())
 
 
-def word_hashes(texts: list[memoryview]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[memoryview], stretch: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes of all texts, each word's start, end, text number and hash."""
     raw = np.frombuffer(b"\x00".join([b"", *texts, b""]), np.uint8)
     low = _LOW[raw]
     inside = _IS_WORD[low]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     start, end = edges[0::2], edges[1::2]
-    up, down = _BYTES.get(len(low) + 1)
-    total = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    hashes = mixed((total[end] - total[start]) * down[start])
+    hashes, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):  # a stretch of words at a time: sums take 8 bytes and more for each byte
+        j = max(i + 1, int(np.searchsorted(end, start[i] + stretch, "right")))
+        a, b = int(start[i]), int(end[j - 1])
+        up, down = _BYTES.get(b - a + 1)
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum((low[a:b].astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        hashes[i:j] = mixed((total[end[i:j] - a] - total[start[i:j] - a]) * down[start[i:j] - a])
+        i = j
     first = np.cumsum([1] + [len(t) + 1 for t in texts])
     return low, start, end, np.searchsorted(first, start, "right") - 1, hashes
 

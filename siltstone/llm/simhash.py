@@ -39,12 +39,12 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(width, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64)
+    starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        part = hashes[at : at + (1 << 15)]
+    for at in range(0, len(starts), 1 << 15):
+        part = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + (1 << 15)].tolist(), ends[at : at + (1 << 15)].tolist())], np.uint64)
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(starts), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:

@@ -314,3 +314,11 @@ def test_pipeline_edges(spark, corpus, tmp_path):
             docs = stage(spark, docs, sf)
             assert name == "packing" or docs.columns == clashing(spark, []).columns
         docs.count()
+
+
+def test_long_texts():
+    words = prose(11, 90_000)
+    raw = memoryview(words.encode())
+    whole, cut = decontamination.word_hashes([raw], 1 << 30), decontamination.word_hashes([raw], 1000)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, cut))
+    assert simhash.fingerprint(words.encode()) == brute.fingerprint(words)
