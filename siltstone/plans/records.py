@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import keys as K
 from siltstone.functions import text as T
 from siltstone.operators import inference as I
 from siltstone.operators import metrics as M

@@ -305,3 +305,14 @@ def test_streaming_gate_equals_batch(spark, sf_dir, tmp_path):
     got = {r.doc_id for r in spark.read.parquet(f"{tmp_path}/ok").select("doc_id").collect()}
     assert got == {r.doc_id for r in docs.filter(reason.isNull()).collect()}
     assert spark.read.parquet(f"{tmp_path}/bad").count() + len(got) == docs.count()
+
+
+def test_pair_features(spark):
+    from siltstone.operators import models
+
+    x = one(spark, a="the cat 1", b="the dog!", c="the cat 1").select(models.pair_features(F.col("a"), F.col("b"), F.col("c"), F.array(F.lit(2.0), F.lit(1.0), F.lit(1.0)))).first()[0]
+    named = dict(zip(models.PAIR_FEATURES, x))
+    assert len(models.PAIR_FEATURES) == 36 and len(x) == 39 and x[-3:] == [0.5, 0.25, 0.25]
+    assert named["source_characters"] == 9 and named["neural_words"] == 2 and named["source_rewrite_sequence_similarity"] == 1
+    assert (named["neural_equals_source"], named["rewrite_equals_source"], named["neural_punctuation"], named["source_digits"]) == (0, 1, 1, 1)
+    assert named["max_probability"] == 0.5 and named["margin"] == 0.25
