@@ -223,7 +223,7 @@ def test_warc(spark, segment):
     out = warc.read(spark, warc.write(pages, segment_bytes=segment)).collect()
     assert len(out) == len(rows)
     first = {"same": 1, "": 2, "é" * 40_000: 5, "0\r\n\r\nx": 6}
-    want = sorted((str(i), len((h or "").encode()), brute.sha1_base32((h or "").encode()), "response" if i == first[h or ""] or i is None and False else "revisit", None if i == first[h or ""] else first[h or ""]) for i, _, h in rows)
+    want = sorted((str(i), len((h or "").encode()), brute.sha1_base32((h or "").encode()), "response" if i == first[h or ""] else "revisit", None if i == first[h or ""] else first[h or ""]) for i, _, h in rows)
     assert sorted((str(r.page_id), r.payload_bytes, r.digest, r.record_type, r.refers_to) for r in out) == want
     assert all(bytes(r.payload) == (dict((i, h) for i, _, h in rows)[r.page_id] or "").encode() for r in out if r.record_type == "response")
     assert warc.read(spark, warc.write(pages.filter("page_id > 90"))).count() == 0
