@@ -43,7 +43,15 @@ def connected(rows: DataFrame, id_col: str, keys: list[str], blocked: str | None
     raise RuntimeError(f"not connected after {rounds} rounds")
 
 
-def component_ids(labels: DataFrame) -> DataFrame:
-    """(component, component_id, row_count): the id is a digest of the sorted member ids."""
-    grouped = labels.groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return grouped.select("component", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), "\u001f"), 256).alias("component_id"), F.size("ids").cast("long").alias("row_count"))
+def component_ids(labels: DataFrame, width: int = 4096) -> DataFrame:
+    """(component, component_id, row_count): the id is a digest of the sorted member ids.
+
+    A component of up to `width` members is digested at once; a larger one in buckets by hash, whose
+    digests are then digested, so that no row lists all members.
+    """
+    size = labels.groupBy("component").agg(F.count("*").alias("row_count"))
+    rows = labels.join(size, "component").withColumn("bucket", F.pmod(F.xxhash64("id"), F.ceil(F.col("row_count") / width)))
+    whole = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\u001f"), 256)
+    parts = rows.groupBy("component", "row_count", "bucket").agg(whole(F.col("id").cast("string")).alias("digest"))
+    out = parts.groupBy("component", "row_count").agg(F.min("digest").alias("one"), whole(F.col("digest")).alias("all"))
+    return out.select("component", F.when(F.col("row_count") <= width, F.col("one")).otherwise(F.col("all")).alias("component_id"), "row_count")

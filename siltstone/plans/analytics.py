@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import aggregates as A
+from siltstone.operators import sampling as S
 
 from .base import Registry
 
@@ -306,8 +307,7 @@ def bottom_hash_sample(read):
 @query("""WITH r AS (SELECT doc_id, lang, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) SELECT doc_id FROM r WHERE before < 20000""")
 def running_budget(read):
     """Rows admitted while the total before them is below the budget of their label."""
-    w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return read("documents").select("doc_id", F.coalesce(F.sum("n_chars").over(w), F.lit(0)).alias("before")).filter("before < 20000").select("doc_id")
+    return S.running_total(read("documents").select("doc_id", "lang", "n_chars"), ["lang"], "doc_id", "n_chars").filter("before < 20000").select("doc_id")
 
 
 @query("""WITH c AS (SELECT s_nationkey AS run, round(avg(s_acctbal), 2) AS metric, count(*) AS n FROM supplier GROUP BY 1) SELECT run, metric FROM c WHERE metric >= 0.9 * (SELECT max(metric) FROM c) ORDER BY n DESC, metric DESC, run LIMIT 1""")

@@ -316,3 +316,16 @@ def test_pair_features(spark):
     assert named["source_characters"] == 9 and named["neural_words"] == 2 and named["source_rewrite_sequence_similarity"] == 1
     assert (named["neural_equals_source"], named["rewrite_equals_source"], named["neural_punctuation"], named["source_digits"]) == (0, 1, 1, 1)
     assert named["max_probability"] == 0.5 and named["margin"] == 0.25
+
+
+def test_component_ids_and_running_totals(spark):
+    labels = spark.createDataFrame([(i, i % 3) for i in range(300)], "id long, component long")
+    small, large = C.component_ids(labels, 10).collect(), {r.component: r.component_id for r in C.component_ids(labels).collect()}
+    assert large[1] == hashlib.sha256("\x1f".join(sorted(str(i) for i in range(1, 300, 3))).encode()).hexdigest()
+    assert len({r.component_id for r in small}) == 3 and {r.row_count for r in small} == {100}
+    rows = [(i, i % 2, i % 7) for i in range(0, 5000, 3)]
+    got = {r.i: r.before for r in S.running_total(spark.createDataFrame(rows, "i long, g long, v long"), ["g"], "i", "v").collect()}
+    total = {0: 0, 1: 0}
+    for i, g, v in rows:
+        assert got[i] == total[g]
+        total[g] += v
