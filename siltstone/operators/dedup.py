@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from siltstone.functions import text as T
 from siltstone.operators.components import stored
@@ -61,47 +61,44 @@ def inherit_split(df: DataFrame, known: DataFrame, key: str, fallback: Column, r
     return df.join(best, key, "left").withColumn("split", F.coalesce(F.col("_s.split"), fallback)).drop("_s")
 
 
-def contained(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str, pattern_id: str, pattern_col: str, least: int = 20, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """(doc id, pattern id) of patterns of at least `least` characters that occur in a text.
+def with_contained(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str, pattern_id: str, pattern_col: str, least: int = 20, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """docs with `hits`: the sorted ids of patterns of at least `least` characters that occur in a text.
 
     Patterns of up to max_broadcast_bytes in all become one automaton that every task runs over its
-    texts. More are joined by shuffle on their first `least` characters, see _contained_by_join.
+    texts: a column, without a join. More are joined by shuffle on their first `least` characters,
+    see _contained_by_join; ids of documents are then expected to be unique.
     """
     used = patterns.filter(F.length(pattern_col) >= least).select(F.col(pattern_id).alias("_id"), F.col(pattern_col).alias("_p")).distinct()
     size = used.agg(F.coalesce(F.sum(F.octet_length("_p")), F.lit(0))).first()[0]
     if size > max_broadcast_bytes:
-        return _contained_by_join(docs, used, id_col, text_col, pattern_id, least)
-    rows = [(r._p, r._id) for r in used.collect()]
-    if not rows:
-        return docs.select(id_col).join(used.select(F.col("_id").alias(pattern_id)), F.lit(False))
-    shipped = docs.sparkSession.sparkContext.broadcast(rows)
-    machines: dict = {}
-
-    def run(batches):
-        import ahocorasick
-        import pyarrow as pa
-
+        found = _contained_by_join(docs, used, id_col, text_col, pattern_id, least).groupBy(id_col).agg(F.array_sort(F.collect_set(pattern_id)).alias("hits"))
+        return docs.join(found, id_col, "left").withColumn("hits", F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)))
+    owners: dict[str, list] = {}
+    for r in used.collect():
+        owners.setdefault(r._p, []).append(r._id)
+    shipped, machines = docs.sparkSession.sparkContext.broadcast(owners), {}
+
+    @F.pandas_udf(ArrayType(used.schema["_id"].dataType))
+    def run(text: pd.Series) -> pd.Series:
+        if not shipped.value:
+            return pd.Series([[] for _ in text])
         if not machines:
-            machine, owners = ahocorasick.Automaton(), {}
-            for text, key in shipped.value:
-                owners.setdefault(text, []).append(key)
-            for text, keys in owners.items():
-                machine.add_word(text, keys)
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for pattern, keys in shipped.value.items():
+                machine.add_word(pattern, keys)
             machine.make_automaton()
             machines[0] = machine
-        for batch in batches:
-            ids, found = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = {p for _, keys in machines[0].iter(text.as_py() or "") for p in keys}
-                ids += [key] * len(own)
-                found += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found, kind)], [id_col, pattern_id])
-
-    import pyarrow as pa
-
-    schema = docs.select(id_col).schema.add(pattern_id, used.schema["_id"].dataType)
-    kind = pa.string() if used.schema["_id"].dataType.typeName() == "string" else pa.int64()
-    return docs.select(id_col, text_col).mapInArrow(run, schema).distinct()
+        return pd.Series([sorted({k for _, keys in machines[0].iter(t or "") for k in keys}) for t in text])
+
+    return docs.withColumn("hits", run(F.col(text_col)))
+
+
+def contained(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str, pattern_id: str, pattern_col: str, least: int = 20, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """(doc id, pattern id) of patterns of at least `least` characters that occur in a text."""
+    found = with_contained(docs.select(id_col, text_col), patterns, id_col, text_col, pattern_id, pattern_col, least, max_broadcast_bytes)
+    return found.select(id_col, F.explode("hits").alias(pattern_id)).distinct()
 
 
 def _contained_by_join(docs: DataFrame, used: DataFrame, id_col: str, text_col: str, pattern_id: str, least: int) -> DataFrame:

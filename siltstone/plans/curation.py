@@ -52,9 +52,9 @@ def corpus_gate_report(read):
     """Documents by label, outcome of gate and decontamination, and hash split."""
     docs = read("documents").select("doc_id", "lang", reason().alias("reason"), T.collapse(F.coalesce("text", F.lit(""))).alias("clean"))
     protected = read("benchmark").select("item_id", T.collapse(F.col("text")).alias("p"))
-    hits = D.contained(docs.filter("reason is null"), protected, "doc_id", "clean", "item_id", "p").select("doc_id").distinct().withColumn("hit", F.lit("protected_text"))
-    out = docs.drop("clean").join(hits, "doc_id", "left")
-    return out.groupBy("lang", F.coalesce("reason", "hit", F.lit("accepted")).alias("outcome"), K.per_mille_split(F.col("doc_id"), 100).alias("split")).agg(F.count("*").alias("n"))
+    out = D.with_contained(docs, protected, "doc_id", "clean", "item_id", "p")
+    outcome = F.coalesce("reason", F.when(F.size("hits") > 0, "protected_text"), F.lit("accepted"))
+    return out.groupBy("lang", outcome.alias("outcome"), K.per_mille_split(F.col("doc_id"), 100).alias("split")).agg(F.count("*").alias("n"))
 
 
 @query(rf"""WITH c AS (SELECT doc_id, {CLEAN_SQL} AS t FROM documents), f AS (SELECT doc_id, t, len(regexp_extract_all(t, '[A-Za-z]')) AS s, len(regexp_extract_all(t, '\p{{L}}')) AS l FROM c)
