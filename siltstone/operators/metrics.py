@@ -140,24 +140,24 @@ def chrf_score(stats: Column, beta: float = 2.0) -> Column:
 BLEU_ORDER = 4
 
 
+def _distance(a, b) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 @F.pandas_udf(ArrayType(LongType()))
 def edit_statistics(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     """Character edits, characters, word edits, words, hypothesis words, then matches and totals of
     1- to 4-grams: enough for CER, WER and BLEU."""
-
-    def distance(a, b) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
     out = []
     for h, r in zip(hypothesis, reference):
         h, r = h or "", r or ""
         hw, rw = h.split(), r.split()
-        row = [distance(h, r), len(r), distance(hw, rw), len(rw), len(hw)]
+        row = [_distance(h, r), len(r), _distance(hw, rw), len(rw), len(hw)]
         for n in range(1, BLEU_ORDER + 1):
             a, b = _grams(hw, n), _grams(rw, n)
             row += [sum((a & b).values()), sum(a.values())]
@@ -165,6 +165,37 @@ def edit_statistics(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def shift_statistics(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
+    """Edits of words where moving a block counts as one, and reference words: enough for TER.
+
+    Blocks of up to 10 words that the reference has are moved greedily, the move that saves most
+    first, as long as one saves more than it costs.
+    """
+    out = []
+    for h, r in zip(hypothesis, reference):
+        own, ref, moves = (h or "").split(), (r or "").split(), 0
+        blocks = {tuple(ref[i : i + n]) for n in range(1, 11) for i in range(len(ref) - n + 1)}
+        now = _distance(own, ref)
+        while now > 1:
+            best = (0, own)
+            for n in range(1, min(10, len(own)) + 1):
+                for i in range(len(own) - n + 1):
+                    block = own[i : i + n]
+                    if tuple(block) not in blocks or block == ref[i : i + n]:
+                        continue
+                    rest = own[:i] + own[i + n :]
+                    for j in range(len(ref) - n + 1):
+                        if j != i and ref[j : j + n] == block and j <= len(rest):
+                            moved = rest[:j] + block + rest[j:]
+                            best = max(best, (now - _distance(moved, ref), moved), key=lambda x: x[0])
+            if best[0] <= 1:
+                break
+            own, now, moves = best[1], now - best[0], moves + 1
+        out.append([now + moves, len(ref)])
+    return pd.Series(out)
+
+
 def bleu_score(stats: Column) -> Column:
     """Corpus BLEU, 0 to 100, of summed statistics; zero matches of an order count as half of the one before."""
     g = lambda i: F.get(stats, F.lit(i)).cast("double")

@@ -205,6 +205,14 @@ def edit_metrics(read):
     return g.select("turn", (F.get("s", F.lit(0)) / F.get("s", F.lit(1))).alias("cer"), (F.get("s", F.lit(2)) / F.get("s", F.lit(3))).alias("wer"), M.bleu_score(F.col("s")).alias("bleu"), "exact")
 
 
+@query()
+def shifted_edit_rate(read):
+    """TER of the first words of answers against questions by turn: a ratio of sums."""
+    head = lambda c: F.array_join(F.slice(T.words(F.col(c)), 1, 25), " ")
+    p = pairs(read).withColumn("s", M.shift_statistics(head("target"), head("source")))
+    return p.groupBy("turn").agg(F.count("*").alias("n"), (100 * F.sum(F.get("s", F.lit(0))) / F.sum(F.get("s", F.lit(1)))).alias("ter"))
+
+
 @query(rf"""WITH {PAIRS_SQL} SELECT turn, count(*) AS n, round(sum(levenshtein(regexp_replace(substr(target, 1, 60), '[^\x00-\x7F]', '?', 'g'), regexp_replace(substr(source, 1, 60), '[^\x00-\x7F]', '?', 'g'))) / sum(length(substr(source, 1, 60))), 6) AS head_distance FROM pairs GROUP BY turn""")
 def head_distance(read):
     """Edit distance of the first 60 characters over their number (heads are the feature), other signs than ASCII being equal."""

@@ -329,3 +329,9 @@ def test_component_ids_and_running_totals(spark):
     for i, g, v in rows:
         assert got[i] == total[g]
         total[g] += v
+
+
+def test_shifted_edits(spark):
+    rows = [("a b c d", "a b c d", 0), ("c d a b", "a b c d", 1), ("x y", "a b c", 3), ("", "a", 1), ("b c d e a", "a b c d e", 1)]
+    got = [r[0] for r in spark.createDataFrame(rows, "h string, r string, n long").select((F.get(M.shift_statistics("h", "r"), F.lit(0)) == F.col("n")).alias("ok")).collect()]
+    assert got == [True] * 5
