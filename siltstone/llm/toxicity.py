@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -192,10 +193,20 @@ def learn(toxic: list[str], clean: list[str], least: int = 6, share: float = 0.0
     return lexicon
 
 
+def one_of_each(texts: list[str]) -> list[str]:
+    """Texts without further copies and near copies (by the least hash of their three-word
+    shingles): words of a text that was copied often say nothing about the label."""
+    seen = {}
+    for text in texts:
+        words = text.lower().split()
+        seen.setdefault(min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0), text)
+    return list(seen.values())
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out, column: str = "toxic", sample: int = 3000) -> Model:
     """The model; rows where held_out holds teach nothing."""
     rows, counts = labelled(docs, labels, column, held_out, sample)
-    classes = [[t.decode() for t, y in rows if y == k] for k in (0, 1)]
+    classes = [one_of_each([t.decode() for t, y in rows if y == k]) for k in (0, 1)]
     if min(map(len, classes)) < 8:
         return Model(None, np.ones(4), np.zeros(0), counts.get(1, 0) / max(1, sum(counts.values())))
     half = [len(c) // 2 for c in classes]
