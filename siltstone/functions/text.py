@@ -241,7 +241,7 @@ def diversity(tokens: Column) -> Column:
 
 def windows(text: Column, n: int) -> Column:
     """All substrings of n characters, in one pass (substr would count from the start each time)."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def character_grams(text: Column, n: int = 4) -> Column:
