@@ -221,16 +221,27 @@ def text_components(read):
     return C.connected(d, "id", ["a", "b"])
 
 
+def _order_links(read):
+    return read("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") * 1000 + F.col("l_linenumber")).alias("k"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS u, l_suppkey * 1000 + l_linenumber AS k FROM lineitem WHERE l_orderkey % 101 = 0 AND l_linenumber > 5),
 n AS (SELECT DISTINCT u FROM e), p AS (SELECT DISTINCT x.u AS a, y.u AS b FROM e x JOIN e y USING (k)),
 w(u, v) AS (SELECT u, u FROM n UNION SELECT w.u, p.b FROM w JOIN p ON p.a = w.v)
 SELECT u AS id, min(v) AS component FROM w GROUP BY u""")
 def order_components(read):
-    """Orders linked by supplier and line number: components that need several rounds. The filter chooses the graph."""
-    e = read("lineitem").filter("l_orderkey % 101 = 0 and l_linenumber > 5").select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") * 1000 + F.col("l_linenumber")).alias("k"))
+    """A part of the orders (every 101st key, line numbers above 5) linked by supplier and line number, as small as the
+    recursive SQL needs it. whole_order_components links all of them."""
+    e = _order_links(read).filter("id % 101 = 0 and line > 5")
     return C.connected(e, "id", ["k"])
 
 
+@query()
+def whole_order_components(read):
+    """All orders linked by supplier and line number. Recursive SQL is too slow for the whole table."""
+    return C.connected(_order_links(read), "id", ["k"])
+
+
 @query("""WITH k AS (SELECT doc_id, lang, source, md5(text) AS a, SPLIT AS split FROM documents), c AS (SELECT *, min(doc_id) OVER (PARTITION BY a) AS component FROM k)
 SELECT component, count(*) AS row_count, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(DISTINCT lang) AS langs, bool_or(split = 'train') AS contains_train, bool_or(split <> 'train') AS contains_protected FROM c GROUP BY component""".replace("SPLIT AS", SPLIT_SQL + " AS"))
 def component_table(read):
