@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,13 +141,41 @@ def chrf_score(stats: Column, beta: float = 2.0) -> Column:
 BLEU_ORDER = 4
 
 
+def _masks(units) -> dict:
+    """The places of each unit, as the bits of a number."""
+    out: dict = {}
+    for i, x in enumerate(units):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def _advance(masks: dict, size: int, units, state: tuple[int, int, int], most: int | None = None) -> tuple[int, int, int] | None:
+    """The state of the bit-parallel edit distance (Myers, Hyyrö) to `size` units after more units of
+    the other side: bits where the column goes up and down, and its last value. None once that
+    cannot end at `most` or less."""
+    up, down, score = state
+    full, last, left = (1 << size) - 1, 1 << size - 1, len(units)
+    for x in units:
+        same = masks.get(x, 0)
+        zero = (((same & up) + up) ^ up) | same | down
+        plus, minus = (down | ~(zero | up)) & full, zero & up
+        if plus & last:
+            score += 1
+        elif minus & last:
+            score -= 1
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(zero | plus)) & full, plus & zero & full
+        left -= 1
+        if most is not None and score - left > most:
+            return None
+    return up, down, score
+
+
 def _distance(a, b) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Edit distance of whole sequences, a machine word of one side at a time."""
+    if len(a) > len(b):
+        a, b = b, a
+    return _advance(_masks(b), len(b), a, ((1 << len(b)) - 1, 0, len(b)))[2] if a else len(b)
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -165,6 +194,55 @@ def edit_statistics(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _rows(own: list, ref: list) -> np.ndarray:
+    """Edit distances of every prefix of own to every prefix of ref."""
+    ids: dict = {}
+    r, at = np.array([ids.setdefault(x, len(ids)) for x in ref]), np.arange(len(ref) + 1)
+    out = np.empty((len(own) + 1, len(ref) + 1), np.int32)
+    out[0] = at
+    for i, x in enumerate(own):
+        row = out[i] + 1
+        np.minimum(row[1:], out[i][:-1] + (r != ids.get(x, -1)), out=row[1:])
+        out[i + 1] = np.minimum.accumulate(row - at) + at
+    return out
+
+
+def _best_move(own: list, ref: list, places: dict, masks: dict, now: int, most: int) -> tuple[int, list]:
+    """The move that saves most, of equal ones the one of fewest words, then the first by place.
+
+    Moves that cannot save enough aren't tried: taking n words out and putting them back changes a
+    distance by n each, and taking them out alone is known from the distances of both ends.
+    """
+    size, best = len(ref), (1, None)  # a move costs one, so it has to save two
+    ends = _rows(own, ref)
+    tails = _rows(own[::-1], ref[::-1])[::-1, ::-1]
+    states = [((1 << size) - 1, 0, size)]
+    for x in own:
+        states.append(_advance(masks, size, [x], states[-1]))
+    for n in range(min(10, len(own), size), 0, -1):
+        if min(2 * n, most) < max(best[0], 2):
+            break
+        without = (ends[: len(own) - n + 1] + tails[n:]).min(axis=1)
+        level = best[0] - (best[1] is not None)  # fewer words win at equal savings
+        for i in range(len(own) - n + 1):
+            if min(now - int(without[i]) + n, most) <= level:
+                continue
+            block = own[i : i + n]
+            found = places.get(tuple(block))
+            if not found or block == ref[i : i + n]:
+                continue
+            for j in found:
+                if j == i or j > len(own) - n or min(2 * min(n, abs(i - j)), now - int(without[i]) + n, most) <= level:
+                    continue
+                k = min(i, j)
+                rest = block + own[j:i] + own[i + n :] if j < i else own[i + n : j + n] + block + own[j + n :]
+                end = _advance(masks, size, rest, states[k], now - level - 1)
+                if end and now - end[2] > level:
+                    level = now - end[2]
+                    best = (level, own[:k] + rest)
+    return best if best[1] is not None else (0, own)
+
+
 @F.pandas_udf(ArrayType(LongType()))
 def shift_statistics(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     """Edits of words where moving a block counts as one, and reference words: enough for TER.
@@ -175,23 +253,18 @@ def shift_statistics(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     out = []
     for h, r in zip(hypothesis, reference):
         own, ref, moves = (h or "").split(), (r or "").split(), 0
-        blocks = {tuple(ref[i : i + n]) for n in range(1, 11) for i in range(len(ref) - n + 1)}
-        now = _distance(own, ref)
-        while now > 1:
-            best = (0, own)
-            for n in range(1, min(10, len(own)) + 1):
-                for i in range(len(own) - n + 1):
-                    block = own[i : i + n]
-                    if tuple(block) not in blocks or block == ref[i : i + n]:
-                        continue
-                    rest = own[:i] + own[i + n :]
-                    for j in range(len(ref) - n + 1):
-                        if j != i and ref[j : j + n] == block and j <= len(rest):
-                            moved = rest[:j] + block + rest[j:]
-                            best = max(best, (now - _distance(moved, ref), moved), key=lambda x: x[0])
-            if best[0] <= 1:
+        places: dict = {}
+        for n in range(1, min(10, len(own)) + 1):
+            for j in range(len(ref) - n + 1):
+                places.setdefault(tuple(ref[j : j + n]), []).append(j)
+        masks, now = _masks(ref), _distance(own, ref)
+        a, b = Counter(own), Counter(ref)
+        least = max((a - b).total(), (b - a).total())  # moves leave the words as they are
+        while now - least > 1:
+            saved, moved = _best_move(own, ref, places, masks, now, now - least)
+            if saved <= 1:
                 break
-            own, now, moves = best[1], now - best[0], moves + 1
+            own, now, moves = moved, now - saved, moves + 1
         out.append([now + moves, len(ref)])
     return pd.Series(out)
 

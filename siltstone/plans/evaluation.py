@@ -13,7 +13,7 @@ from siltstone.operators import rewrite as R
 from siltstone.operators import sampling as S
 
 from .base import Registry
-from .texts import PAIRS_SQL, pairs
+from .texts import PAIRS_SQL, dealt_pairs, pairs
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -199,17 +199,16 @@ def chrf_by_source(read):
 
 @query()
 def edit_metrics(read):
-    """CER, WER, BLEU and exact match by turn."""
-    p = pairs(read).withColumn("s", M.edit_statistics(F.substr("target", F.lit(1), F.lit(200)), F.substr("source", F.lit(1), F.lit(200))))
+    """CER, WER, BLEU and exact match of whole texts by turn."""
+    p = dealt_pairs(read).withColumn("s", M.edit_statistics("target", "source"))
     g = p.groupBy("turn").agg(M.vector_sum("s", 13).alias("s"), F.avg((F.col("target") == F.col("source")).cast("double")).alias("exact"))
     return g.select("turn", (F.get("s", F.lit(0)) / F.get("s", F.lit(1))).alias("cer"), (F.get("s", F.lit(2)) / F.get("s", F.lit(3))).alias("wer"), M.bleu_score(F.col("s")).alias("bleu"), "exact")
 
 
 @query()
 def shifted_edit_rate(read):
-    """TER of the first words of answers against questions by turn: a ratio of sums."""
-    head = lambda c: F.array_join(F.slice(T.words(F.col(c)), 1, 25), " ")
-    p = pairs(read).withColumn("s", M.shift_statistics(head("target"), head("source")))
+    """TER of whole answers against questions by turn: a ratio of sums."""
+    p = dealt_pairs(read).withColumn("s", M.shift_statistics("target", "source"))
     return p.groupBy("turn").agg(F.count("*").alias("n"), (100 * F.sum(F.get("s", F.lit(0))) / F.sum(F.get("s", F.lit(1)))).alias("ter"))
 
 

@@ -22,6 +22,12 @@ def pairs(read):
     return user.join(reply, ["conv_id", "turn"])
 
 
+def dealt_pairs(read):
+    """pairs in as many partitions as a shuffle has, for work that is costly a pair; few small rows would be one task."""
+    p = pairs(read)
+    return p.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
+
+
 PAIRS_SQL = """pairs AS (SELECT u.conv_id, u.turn, u.text AS source, a.text AS target FROM conversations u JOIN conversations a
   ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
 
