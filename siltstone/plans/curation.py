@@ -49,7 +49,7 @@ h AS (SELECT DISTINCT doc_id FROM gate JOIN b ON contains(clean, p) WHERE reason
 s AS (SELECT gate.*, coalesce(reason, CASE WHEN h.doc_id IS NOT NULL THEN 'protected_text' END, 'accepted') AS outcome, sha256(CAST(gate.doc_id AS VARCHAR)) AS m FROM gate LEFT JOIN h ON gate.doc_id = h.doc_id)
 SELECT lang, outcome, CASE WHEN (('0x' || substr(m, 1, 8))::UBIGINT::HUGEINT * 4294967296 + ('0x' || substr(m, 9, 8))::UBIGINT::HUGEINT) % 1000 < 100 THEN 'validation' ELSE 'train' END AS split, count(*) AS n FROM s GROUP BY ALL""")
 def corpus_gate_report(read):
-    """Documents by label, outcome of gate and decontamination, and hash split."""
+    """Documents by label, outcome of gate and direct decontamination, and hash split; whole_gate_report adds the compact one."""
     docs = read("documents").select("doc_id", "lang", reason().alias("reason"), T.collapse(F.coalesce("text", F.lit(""))).alias("clean"))
     protected = read("benchmark").select("item_id", T.collapse(F.col("text")).alias("p"))
     out = D.with_contained(docs, protected, "doc_id", "clean", "item_id", "p")
@@ -57,6 +57,19 @@ def corpus_gate_report(read):
     return out.groupBy("lang", outcome.alias("outcome"), K.per_mille_split(F.col("doc_id"), 100).alias("split")).agg(F.count("*").alias("n"))
 
 
+@query()
+def whole_gate_report(read):
+    """corpus_gate_report with a second outcome: documents that hold a protected text of at least 20 letters
+    and numbers once both are compacted. Case folding after NFC is beyond SQL."""
+    docs = read("documents").select("doc_id", "lang", "text", reason().alias("reason"), T.collapse(F.coalesce("text", F.lit(""))).alias("clean"))
+    protected = read("benchmark").select("item_id", T.collapse(F.col("text")).alias("p"), T.compact_alnum(F.col("text")).alias("c"))
+    direct = D.with_contained(docs, protected, "doc_id", "clean", "item_id", "p").withColumnRenamed("hits", "direct")
+    compact = direct.withColumn("compact", T.compact_alnum(F.when(F.isnull("reason") & (F.size("direct") == 0), F.col("text"))))
+    out = D.with_contained(compact, protected, "doc_id", "compact", "item_id", "c")
+    outcome = F.coalesce("reason", F.when(F.size("direct") > 0, "protected_text").when(F.size("hits") > 0, "protected_compact_text"), F.lit("accepted"))
+    return out.groupBy("lang", outcome.alias("outcome"), K.per_mille_split(F.col("doc_id"), 100).alias("split")).agg(F.count("*").alias("n"))
+
+
 @query(rf"""WITH c AS (SELECT doc_id, {CLEAN_SQL} AS t FROM documents), f AS (SELECT doc_id, t, len(regexp_extract_all(t, '[A-Za-z]')) AS s, len(regexp_extract_all(t, '\p{{L}}')) AS l FROM c)
 SELECT doc_id, CASE WHEN t = '' THEN 'empty_after_model_cleaning' ELSE array_to_string(list_filter([CASE WHEN contains(t, '<') OR contains(t, '>') THEN 'angle_placeholder' END, CASE WHEN length(t) > 10000 THEN 'extreme_length' END,
   CASE WHEN l > 0 AND s / l < 0.9 THEN 'low_bengali_letter_ratio' END, CASE WHEN s = 0 THEN 'no_bengali_letter' END], lambda x: x IS NOT NULL), ',') END AS flags FROM f""")
