@@ -50,8 +50,19 @@ def corpus_diagnostics(read):
 @query("""WITH k AS (SELECT DISTINCT lang, md5(text) AS t FROM documents), l AS (SELECT DISTINCT source, md5(text) AS t FROM documents WHERE source IN ('src0', 'src1', 'src2'))
 SELECT a.source AS a, b.source AS b, count(*) AS overlap FROM l a JOIN l b ON a.t = b.t AND a.source < b.source GROUP BY ALL""")
 def pairwise_overlap(read):
+    """Texts shared by pairs of src0, src1 and src2, as its SQL has them; whole_pairwise_overlap has all sources."""
+    return _overlaps(read("documents").filter(F.col("source").isin("src0", "src1", "src2")))
+
+
+@query("""WITH l AS (SELECT DISTINCT source, md5(text) AS t FROM documents)
+SELECT a.source AS a, b.source AS b, count(*) AS overlap FROM l a JOIN l b ON a.t = b.t AND a.source < b.source GROUP BY ALL""")
+def whole_pairwise_overlap(read):
     """Texts shared by pairs of sources, each pair once."""
-    l = read("documents").filter(F.col("source").isin("src0", "src1", "src2")).select("source", F.md5("text").alias("t")).distinct()
+    return _overlaps(read("documents"))
+
+
+def _overlaps(d):
+    l = d.select("source", F.md5("text").alias("t")).distinct()
     return l.select(F.col("source").alias("a"), "t").join(l.select(F.col("source").alias("b"), "t"), "t").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"))
 
 
