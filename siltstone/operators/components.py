@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names (a local one where unset)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"siltstone-{os.getuid()}")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from siltstone.session import discard, written
 
 
-def connected(rows: DataFrame, id_col: str, keys: list[str], blocked: str | None = None, rounds: int = 60) -> DataFrame:
+def connected(rows: DataFrame, id_col: str, keys: list[str], blocked: str | None = None) -> DataFrame:
     """(id, component): the smallest id that shared non-null key values lead to. Blocked rows are alone.
 
     Rows and key values form a bipartite graph, so a value shared by many rows costs a row each,
@@ -27,20 +16,20 @@ def connected(rows: DataFrame, id_col: str, keys: list[str], blocked: str | None
     """
     free = rows.filter(~F.coalesce(F.col(blocked), F.lit(False))) if blocked else rows
     links = free.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys])).alias("x")).select("id", "x.*").filter("value is not null")
-    links = stored(links.distinct(), "links")
-    labels = stored(rows.select(F.col(id_col).alias("id"), F.col(id_col).alias("component")).distinct(), "labels")
-    for _ in range(rounds):
+    links = written(links.distinct(), "links")
+    before = labels = written(rows.select(F.col(id_col).alias("id"), F.col(id_col).alias("component")).distinct(), "labels")
+    while True:  # minima only fall, so the rounds come to an end
         low = links.join(labels, "id").groupBy("kind", "value").agg(F.min("component").alias("m"))
         own = links.join(low, ["kind", "value"]).groupBy("id").agg(F.min("m").alias("m"))
         # jump: a row's component may itself have found a smaller one
         moved = labels.join(own, "id", "left").select("id", F.least("component", "m").alias("component"), F.col("component").alias("before"))
         jump = moved.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = stored(moved.join(jump, "component").select("id", F.least("component", "further").alias("component"), "before"), "labels")
-        changed = not new.filter("component <> before").isEmpty()
-        labels = new.select("id", "component")
-        if not changed:
+        new = written(moved.join(jump, "component").select("id", F.least("component", "further").alias("component"), "before"), "labels")
+        discard(before)
+        before, labels = new, new.select("id", "component")
+        if new.filter("component <> before").isEmpty():
+            discard(links)
             return labels
-    raise RuntimeError(f"not connected after {rounds} rounds")
 
 
 def component_ids(labels: DataFrame, width: int = 4096) -> DataFrame:

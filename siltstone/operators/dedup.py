@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from siltstone.functions import text as T
-from siltstone.operators.components import stored
+from siltstone.session import written
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -122,7 +122,7 @@ def near_matches(query: DataFrame, reference: DataFrame, shortest: int = 20, ham
     exact = query.filter("compact <> ''").join(refs.groupBy("compact").agg(F.min(F.struct("ordinal", "row_id")).alias("m")), "compact").select("row_id", F.col("m.row_id").alias("match_id"), F.lit(1.0).alias("score"), F.lit("compact_exact").alias("kind"))
     # Fingerprints are written: both sides read them, and they are the costly part.
     sides = query.select("row_id", "compact", "ordinal", F.lit(True).alias("asks")).join(exact.select("row_id"), "row_id", "left_anti").unionByName(refs.select("row_id", "compact", "ordinal", F.lit(False).alias("asks")))
-    prints = stored(fingerprints(sides.filter(F.length("compact") >= shortest), size), "fingerprints")
+    prints = written(fingerprints(sides.filter(F.length("compact") >= shortest), size), "fingerprints")
     banded = prints.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: _band(F.col("fp"), b))).alias("band", "value"))
     left = banded.filter("asks").drop("compact")
     right = banded.filter("not asks").select(F.col("row_id").alias("match_id"), F.col("size").alias("size2"), F.col("fp").alias("fp2"), F.col("ordinal").alias("ordinal2"), "band", "value")

@@ -202,7 +202,7 @@ def _compact_rows(read):
 @query()
 def near_leakage(read):
     """Training rows with a near match among validation and test rows. blake2b is beyond SQL."""
-    d = C.stored(_compact_rows(read), "compact")  # both sides read it
+    d = C.written(_compact_rows(read), "compact")  # both sides read it
     return D.near_matches(d.filter("split = 'train'").drop("split"), d.filter("split <> 'train'").drop("split"))
 
 
@@ -210,7 +210,7 @@ def near_leakage(read):
 def near_firewall(read):
     """Exact and near overlap counts of one side with the other, and the greatest similarity."""
     d = _compact_rows(read)
-    d = C.stored(d, "compact")  # both sides read it
+    d = C.written(d, "compact")  # both sides read it
     m = D.near_matches(d.filter("split = 'test'").drop("split"), d.filter("split = 'train'").drop("split"))
     return m.groupBy("kind").agg(F.count("*").alias("n"), F.max("score").alias("top"))
 
