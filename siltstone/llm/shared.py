@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.session import spread
+from siltstone.session import discard, shared_path, spread, written
+
+__all__ = ["Powers", "bounded_batches", "chunks", "discard", "mixed", "shared_path", "strings", "table", "text_rows", "written"]
 
 CHUNK_BYTES = 512 << 10
 BATCH_ROWS = 1024  # texts in an Arrow batch: a worker holds one batch
@@ -22,27 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share.
-
-    The folder is spark.checkpoint.dir; only where that is unset (a local session, tests) a
-    folder of this machine stands in for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), f"siltstone-{os.getuid()}")
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and no lineage behind it."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's rows in an Arrow batch to BATCH_ROWS: texts are long, and JVM and
     Python hold a batch each."""
