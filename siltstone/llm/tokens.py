@@ -1,14 +1,16 @@
 """Token ids of whole texts, by the tokenizers library, with a cache of pre-tokens.
 
 A byte-level BPE encodes each pre-token on its own, so each distinct pre-token of a worker is
-encoded once and its ids are kept, up to `cache` of them. Splitting follows the vocabulary's public
-pattern, as array operations over character classes; pre-tokens are told apart by their length
-and two 64-bit hashes. Texts with characters beyond U+024F and texts that contain a special
-token's string are encoded whole.
+encoded once and its ids are kept, up to `cache` of them. Splitting follows the byte-level pattern,
+as array operations over character classes. A 64-bit hash finds a pre-token's entry and its
+characters are then compared with the entry's, so no two are mixed up; texts where a hash leads to
+other characters are encoded whole. So are texts with characters beyond U+024F, texts that contain a
+special token's string, and every text where the vocabulary isn't a byte-level BPE of that pattern.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -57,6 +59,34 @@ def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
     return [np.insert(x, place, y) for x, y in zip(a, b)]
 
 
+class _Store:
+    """A growing array."""
+
+    def __init__(self, kind):
+        self.values, self.used = np.zeros(1 << 16, kind), 0
+
+    def put(self, more: np.ndarray) -> int:
+        """Appends, and says where."""
+        at, self.used = self.used, self.used + len(more)
+        if self.used > len(self.values):
+            self.values = np.concatenate([self.values[:at], np.zeros(self.used + len(more), self.values.dtype)])
+        self.values[at : self.used] = more
+        return at
+
+    def take(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The stretches at these places, one after the other."""
+        before = np.cumsum(size) - size
+        return self.values[np.repeat(at - before, size) + np.arange(int(size.sum()))]
+
+
+def splits_by_pattern(vocabulary: dict) -> bool:
+    """Whether a tokenizer is a byte-level BPE that pretokens() splits for."""
+    kind, model = vocabulary.get("pre_tokenizer") or {}, vocabulary["model"]
+    plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
+    merges_only = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    return bool(plain and merges_only and vocabulary.get("normalizer") is None)
+
+
 class Encoder:
     def __init__(self, path: str | None = None, cache: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,36 +94,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
+        self.by_pattern = splits_by_pattern(json.loads(self.whole.to_str()))
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.limit = cache
         self._clear()
 
     def _clear(self) -> None:
-        # Columns: key, check, number of ids, place of the ids. New rows go to the small table.
-        empty = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int32, np.int64)]
+        # Columns: key, number of characters, their place, number of ids, their place. New rows go to
+        # the small table.
+        empty = [np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64)]
         self.large, self.small = empty, empty
-        self.ids, self.used = np.zeros(1 << 16, self.type), 0
+        self.ids, self.letters = _Store(self.type), _Store(np.uint16)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.type) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str], keys: np.ndarray, checks: np.ndarray) -> None:
-        new = self._ids(words)
-        size = np.fromiter(map(len, new), np.int32, len(new))
-        flat = np.concatenate(new) if new else np.zeros(0, self.type)
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(flat), self.type)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        at = self.used + np.concatenate([[0], np.cumsum(size[:-1])]).astype(np.int64)
-        self.small = _merged(self.small, [keys, checks, size, at])
+    def _learn(self, words: list[str], keys: np.ndarray) -> None:
+        new, codes = self._ids(words), [np.frombuffer(w.encode("utf-16-le"), np.uint16) for w in words]
+        columns = [keys]
+        for store, parts in ((self.letters, codes), (self.ids, new)):
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            columns += [size, store.put(np.concatenate(parts)) + np.cumsum(size) - size]
+        self.small = _merged(self.small, columns)
         if 4 * len(self.small[0]) > len(self.large[0]) + (1 << 16):
             self.large, self.small = _merged(self.large, self.small), [c[:0] for c in self.small]
-        self.used += len(flat)
 
     def _look(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Which keys are known, and their checks, numbers of ids and places."""
-        known, out = np.zeros(len(keys), bool), [np.zeros(len(keys), t) for t in (np.uint64, np.int32, np.int64)]
+        """Which keys are known, and the other columns of their rows."""
+        known, out = np.zeros(len(keys), bool), [np.zeros(len(keys), np.int64) for _ in range(4)]
         for part in (self.large, self.small):
             if len(part[0]):
                 place = np.minimum(np.searchsorted(part[0], keys), len(part[0]) - 1)
@@ -113,29 +142,26 @@ class Encoder:
         start, end = start[real], end[real]
         per_text = np.diff(ends_text) - 1
         up, down = _POWERS.get(len(codes) + 1)
-        value = mixed(codes.astype(np.uint64) + np.uint64(1))
         total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(value * up[:-1], out=total[1:])
+        np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
         keys = (total[end] - total[start]) * down[start]
         keys = mixed(keys ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-        np.cumsum((value >> np.uint64(32)) * up[:-1], out=total[1:])
-        checks = (total[end] - total[start]) * down[start]
         unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        if (checks[first][which] != checks).any():
-            return self._ids(texts)
         if len(self.large[0]) + len(self.small[0]) + len(unique) > self.limit:
             self._clear()
         known, found = self._look(unique)
         if not known.all():
             new = first[~known]
-            self._learn([joined[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())], unique[~known], checks[new])
+            self._learn([joined[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())], unique[~known])
             known, found = self._look(unique)
-        if (found[0] != checks[first]).any():
+        n_codes, at_codes, n_ids, at_ids = (c[which] for c in found)
+        same = n_codes == end - start
+        if same.all():  # texts are made of pre-tokens alone: their characters in order are those of the entries
+            same = self.letters.take(at_codes, n_codes) == codes[codes <= _LAST]
+        if not same.all():
             return self._ids(texts)
-        size, place = found[1][which].astype(np.int64), found[2][which]
-        before = np.cumsum(size) - size
-        out = self.ids[np.repeat(place - before, size) + np.arange(int(size.sum()))]
-        last = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per_text)])]
+        out = self.ids.take(at_ids, n_ids)
+        last = np.concatenate([[0], np.cumsum(n_ids)])[np.concatenate([[0], np.cumsum(per_text)])]
         return [out[a:b] for a, b in zip(last[:-1].tolist(), last[1:].tolist())]
 
     def _long(self, text: str, piece: int = 1 << 19) -> np.ndarray:
@@ -156,7 +182,7 @@ class Encoder:
         for k, raw in enumerate(texts):
             text = bytes(raw).decode()
             latin = not len(raw) or np.frombuffer(raw, np.uint8).max() < 0xC9 or max(text) <= chr(_LAST)
-            (plain if latin and not any(s in text for s in self.special) else odd).append((k, text))
+            (plain if latin and self.by_pattern and not any(s in text for s in self.special) else odd).append((k, text))
         for part, how in ((plain, self._split), (odd, self._ids)):
             if part:
                 short = [x for x in part if how == self._ids or len(x[1]) <= 1 << 20]
