@@ -5,18 +5,24 @@ A text is cut into blocks of `block` bytes, so that a dictionary counts however
 and every block is compressed with either dictionary and with none. The score is a calibrated
 (logistic) function of the normalised difference of the compressed sizes; further terms are the
 size without a dictionary, the mean difference against it and the share of blocks on the bad
-side. The fit uses at most `sample` labelled rows of each class, chosen by hash of the id: half
-for the dictionaries, the other half for calibration, weighted to the classes' true shares.
+side.
+
+The fit takes `sample` labelled rows of each class at most, chosen by hash of the id, and each of
+them whole: the first half builds the dictionaries, in the driver; the terms of the other half are
+computed where the texts are, and calibrate the score, weighted to the classes' true shares. That
+bound on labelled rows is the only one. A line that texts of a class repeat is given to the builder
+once: else it would fill the dictionary with where texts are from, not how good they are.
 
 Defined cases: null and empty texts get the score of a text whose terms are all zero; labels that
-are null or not 0 or 1 teach nothing; without labels of both classes every score is the share
-of good labels (0.5 without any); repeated rows each get their row; labels repeated for a
-document count once each; extra columns are ignored.
+are null or not 0 or 1 teach nothing; without 16 texts of both classes every score is the share of
+good labels (0.5 without any); repeated rows each get their row; of the different texts of one
+labelled id the smallest teaches; labels repeated for a document count once each; very long texts
+cost time in proportion, one block at a time; extra columns are ignored by score() and kept by
+keep().
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,21 +31,24 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import strings, table, text_rows
+from .shared import carried, strings, table, text_rows, written
 
 SCHEMA = "doc_id long, score double"
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, fold, sample: int) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
-    """A bounded sample of labelled texts, `sample` rows of each class at most, and the number of
-    labelled rows of each class outside the held-out fold."""
+def labelled(docs: DataFrame, labels: DataFrame, column: str, fold, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """A bounded sample of labelled texts, one row for an id and `sample` of each class at most, as a
+    table (doc_id, label, text, first half of the sample); and the number of labelled rows of each
+    class outside the held-out fold."""
     known = labels.filter(~fold & F.col(column).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    chosen = known.filter("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).union(known.filter("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    picked = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, label int")  # 2 * sample rows at most
-    rows = text_rows(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: (r.doc_id * 2654435761 % (1 << 32), r.doc_id, r.text))
-    return [(r.text.encode(), r.label) for r in rows], counts
+    chosen = []
+    for label in (0, 1):
+        rows = known.filter(F.col("label") == label).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+        chosen += [(r.doc_id, label, 2 * k < len(rows)) for k, r in enumerate(rows)]
+    picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int, half boolean")  # 2 * sample rows at most
+    rows = text_rows(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "half").agg(F.min("text").alias("text"))
+    return written(rows, "labelled"), counts
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -57,6 +66,26 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return w
 
 
+def calibration(rows: DataFrame, terms, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The terms (a function of a text's bytes) and labels of (text, label) rows, computed in tasks;
+    `width` numbers a row come back."""
+
+    def run(batches):
+        for batch in batches:
+            found = np.array([terms(t) for t in strings(batch.column(0))], np.float64).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, found.T)], ["label", *(f"x{i}" for i in range(width))])
+
+    schema = "label int, " + ", ".join(f"x{i} double" for i in range(width))
+    got = np.array(sorted(map(tuple, rows.select("text", "label").mapInArrow(run, schema).collect())), np.float64).reshape(-1, width + 1)
+    return got[:, 1:], got[:, 0]
+
+
+def class_weights(y: np.ndarray, counts: dict[int, int]) -> np.ndarray:
+    """Weights that give the classes their shares among all labelled rows."""
+    share = [counts[k] / sum(counts.values()) / max(1, (y == k).sum()) for k in (0, 1)]
+    return np.where(y == 1, share[1], share[0]) * len(y)
+
+
 @dataclass
 class Model:
     good: bytes
@@ -101,35 +130,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out, column: str = "quality", sample: int = 3000, dictionary_bytes: int = 64 << 10, block: int = 2048, level: int = 3) -> Model:
+def dictionary(texts: list[bytes], size: int, block: int) -> bytes:
+    """A dictionary from all blocks of the distinct lines of the texts."""
+    whole = b"\n".join(dict.fromkeys(line for t in texts for line in t.split(b"\n")))
+    parts = [whole[i : i + block] for i in range(0, len(whole), block)]
+    try:
+        return zstandard.train_dictionary(size, parts).as_bytes()
+    except zstandard.ZstdError:  # too little text to choose from
+        return b"".join(parts)[-size:]
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out, column: str = "quality", sample: int = 3000, dictionary_bytes: int = 64 << 10, block: int = 4096, level: int = 3) -> Model:
     """The model; held_out is a condition on doc_id, and rows where it holds teach nothing."""
     rows, counts = labelled(docs, labels, column, held_out, sample)
-    classes = [[t for t, y in rows if y == k and t] for k in (0, 1)]
-    if min(map(len, classes)) < 16:
+    useful = rows.filter("text <> ''")
+    sizes = {r.label: r["count"] for r in useful.groupBy("label").count().collect()}
+    if min(sizes.get(k, 0) for k in (0, 1)) < 16:
         total = sum(counts.values())
         return Model(b"", b"", np.array([counts.get(1, 0) / total if total else 0.5]), np.ones(1), np.zeros(0), block, level)
-
-    seen = Counter(line for c in classes for t in c for line in set(t.split(b"\n")))
-
-    def dictionary(texts: list[bytes]) -> bytes:
-        """Lines that several documents share say where a text is from, not how good it is."""
-        own = [b"\n".join(x for x in t.split(b"\n") if seen[x] < 3) for t in texts]
-        parts = [t[i : i + block] for t in own for i in range(0, len(t), block)]
-        bounded = parts[: (64 * dictionary_bytes) // block]
-        try:
-            return zstandard.train_dictionary(dictionary_bytes, bounded).as_bytes()
-        except zstandard.ZstdError:  # too little text to choose from
-            return b"".join(bounded)[-dictionary_bytes:]
-
-    half = [len(c) // 2 for c in classes]
-    bad, good = (dictionary(c[:h]) for c, h in zip(classes, half))
+    built = []
+    for label in (0, 1):  # sample / 2 whole texts at once
+        texts = [r.text.encode() for r in useful.filter(F.col("half") & (F.col("label") == label)).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").toLocalIterator()]
+        built.append(dictionary(texts, dictionary_bytes, block))
+    bad, good = built
     model = Model(good, bad, np.zeros(4), np.ones(4), np.zeros(0), block, level)
-    rest = [(t, k) for k in (0, 1) for t in classes[k][half[k] :]]
-    x = np.array([model.terms(t) for t, _ in rest])
-    y = np.array([k for _, k in rest], float)
-    share = [counts[k] / sum(counts.values()) / max(1, (y == k).sum()) for k in (0, 1)]
+    x, y = calibration(useful.filter(~F.col("half")), model.terms, 4)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    model.weights = logistic((x - model.mean) / model.scale, y, np.where(y == 1, share[1], share[0]) * len(y))
+    model.weights = logistic((x - model.mean) / model.scale, y, class_weights(y, counts))
     return model
 
 
@@ -145,9 +172,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame, held_out, threshold: float = 0.7, **options) -> DataFrame:
-    """docs without the rows scored below the threshold; a text decides for all rows of its id."""
-    low = score(docs, fit(docs, labels, held_out, **options)).filter(F.col("score") < threshold).select("doc_id").distinct()
-    return docs.join(low, "doc_id", "left_anti")
+    """docs without the rows scored below the threshold. A row is judged by its own text, whatever
+    other rows share its id, and passes through without a shuffle."""
+    shipped = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, held_out, **options))
+
+    def judge(texts: list) -> pa.Array:
+        return pa.array(shipped.value.score(texts) >= threshold)
+
+    return carried(docs, judge)
 
 
 def fold(modulus: int, remainder: int):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.session import discard, shared_path, spread, written
 
-__all__ = ["Powers", "bounded_batches", "chunks", "discard", "mixed", "shared_path", "strings", "table", "text_rows", "written"]
+__all__ = ["Powers", "bounded_batches", "carried", "chunks", "discard", "mixed", "shared_path", "strings", "table", "text_rows", "written"]
 
 CHUNK_BYTES = 512 << 10
 BATCH_ROWS = 1024  # texts in an Arrow batch: a worker holds one batch
@@ -35,6 +35,34 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return spread(docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)))
 
 
+def carried(docs: DataFrame, judge: Callable[[list[memoryview]], pa.Array], text_col: str = "text") -> DataFrame:
+    """The rows of docs that judge(texts) is true of, all columns as they were. Rows go through the
+    task that judges them, so nothing is joined or shuffled, and neither repeated nor null ids matter."""
+    bounded_batches(docs.sparkSession)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = docs.columns.index(text_col)
+    plain = spread(docs.toDF(*names))
+
+    def run(batches):
+        for batch in batches:
+            for at, part in slices(batch, place):
+                yield part.filter(judge(at))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def slices(batch: pa.RecordBatch, place: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[list[memoryview], pa.RecordBatch]]:
+    """(texts, rows) of about `limit` bytes of the text column each."""
+    texts, at = strings(batch.column(place)), 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= limit):
+            size += len(texts[end])
+            end += 1
+        yield texts[at:end], batch.slice(at, end - at)
+        at = end
+
+
 def strings(column: pa.Array) -> list[memoryview]:
     """The UTF-8 bytes of each value, without a copy; null is empty."""
     if len(column) == 0:
