@@ -140,7 +140,7 @@ def dictionary(texts: list[bytes], size: int, block: int) -> bytes:
         return b"".join(parts)[-size:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out, column: str = "quality", sample: int = 3000, dictionary_bytes: int = 64 << 10, block: int = 4096, level: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_out, column: str = "quality", sample: int = 3000, dictionary_bytes: int = 32 << 10, block: int = 2048, level: int = 3) -> Model:
     """The model; held_out is a condition on doc_id, and rows where it holds teach nothing."""
     rows, counts = labelled(docs, labels, column, held_out, sample)
     useful = rows.filter("text <> ''")
