@@ -1,20 +1,38 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A text is cut into clauses. A lexicon reads each word as a symbol: insult (I), threat (T), target
-(Y), negation (N), reported speech (R) or other (o). Transducers rewrite and weigh these symbols:
-negation weakens what follows within its scope, reported speech weakens the rest of its clause, a
-target in the clause strengthens what it is joined with. They are composed once into a single
-machine; running it over a clause gives the clause's weight, and only clauses that it matches
-count. The score is a calibrated (logistic) function of the total, the strongest clause, the
-number of matched clauses and their density.
-
-Insults are learned from labels: words, and stems of several words, with their log odds. The
-other classes are fixed lists. The fit uses at most `sample` labelled rows of each class, chosen
-by hash of the id, half for the lexicon and half for calibration.
-
-Defined cases: null and empty texts, and texts without a match, get the score of zero terms;
-null or unknown labels teach nothing; without labels of both classes every score is the share of
-toxic labels (0 without any); repeated rows each get their row; extra columns are ignored.
+A text is cut into clauses. A lexicon reads each word as a symbol: insult word (I), threat verb (V),
+intent (W), target (Y), negation (N), reported speech (R) or other (o). Five transducers rewrite and
+weigh the symbols, each reading what the one before wrote:
+
+1. negation: insults and threats among the `scope` words after a negation count less;
+2. reported speech: so does the rest of its clause;
+3. insult: an insult word as such, more in a run of them, and more as what is said of a target
+   ("you are such a ..."): target, up to three other words, insult;
+4. threat: a verb alone counts half, after an intent more, and the pattern intent, verb, target
+   within a few words makes the target count too;
+5. target: a clause with a target before counts more, and a target right after an insult or a verb
+   is an address (A) with a weight of its own.
+
+They are composed once into a single machine; running it over a clause gives the clause's weight,
+and only clauses in which it matches count. The score is a calibrated (logistic) function of the
+total, the strongest clause, the number of matched clauses and their density. Clauses without an
+insult word or threat verb can't match, so one Aho-Corasick pass finds those that may.
+
+The classes are learned from labels. Toxic words, and stems of three words or more, are those with
+more different surroundings (the words on either side) in toxic than in clean texts by `odds`:
+passages that are copied, wholly or nearly, count once so, and no text is left out. One that follows
+an intent in a third of its uses is a threat verb, the others are insult words. Words that stand
+before toxic words mostly in clean texts are added to the negations (near) and the reports (further
+off), words that seldom stand elsewhere to the targets. The seeds of these closed classes are lists.
+
+The fit takes `sample` labelled rows of each class at most, chosen by hash of the id, each of them
+whole: half for learning, half for calibration. Texts are read in tasks; counts of words that pass
+the thresholds, and four numbers for each calibration text, reach the driver.
+
+Defined cases: null and empty texts, and texts without a match, get the score of zero terms; null or
+unknown labels teach nothing; with fewer than 8 texts of a class every score is the share of toxic
+labels (0 without any); repeated rows each get their row; very long texts and clauses cost time in
+proportion; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,24 +40,29 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .quality import fold, labelled, logistic
+from .quality import calibration, class_weights, fold, labelled, logistic
 from .shared import strings, table, text_rows
 
-SYMBOLS = "ITYNRo"
-THREATS = ["kill", "murder", "strangle", "stab", "töten", "umbringen", "erwürgen", "tuerai", "égorger", "matar", "mataré", "degollar"]
+SYMBOLS = "IVWYNRo"
+TOXIC = "IV"
+WRITTEN = SYMBOLS + "A"
+INTENTS = ["will", "gonna", "going", "shall", "i'll", "we'll", "werde", "werden", "wollen", "vais", "allons", "voy", "vamos"]
 TARGETS = ["you", "your", "yourself", "they", "them", "du", "dich", "ihr", "euch", "tu", "toi", "vous", "usted", "ustedes", "vosotros"]
 NEGATIONS = ["not", "no", "never", "isn't", "aren't", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "jamás"]
 REPORTS = ["said", "says", "called", "quoted", "wrote", "sagte", "nannte", "schrieb", "disait", "appelé", "écrit", "dijo", "llamó", "escribió"]
-TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.,;:!?\n]")
-ENDS = set(".,;:!?\n")
+SEEDS = {"W": INTENTS, "Y": TARGETS, "N": NEGATIONS, "R": REPORTS}
+WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
+ENDS = ".,;:!?\n"
+END = re.compile(r"[.,;:!?\n]")
 
 
 @dataclass(frozen=True)
@@ -57,7 +80,7 @@ class Transducer:
             a, b = state = todo.pop()
             for symbol in SYMBOLS:
                 a2, middle, u = self.arcs[a, symbol]
-                b2, out, v = other.arcs[b, middle]
+                b2, out, v = other.arcs[b, middle] if (b, middle) in other.arcs else (b, middle, 1.0)
                 arcs[state, symbol] = ((a2, b2), out, u * v)
                 if (a2, b2) not in seen:
                     seen.add((a2, b2))
@@ -65,90 +88,169 @@ class Transducer:
         return Transducer(start, arcs)
 
 
+def machine(start, states, step) -> Transducer:
+    return Transducer(start, {(q, s): step(q, s) for q in states for s in WRITTEN})
+
+
 def negation(scope: int = 3, weight: float = 0.2) -> Transducer:
-    arcs = {}
-    for left in range(scope + 1):
-        for s in SYMBOLS:
-            if s == "N":
-                arcs[left, s] = (scope, "o", 1.0)
-            else:
-                arcs[left, s] = (max(0, left - 1), s, weight if left and s in "IT" else 1.0)
-    return Transducer(0, arcs)
+    """The state is how many words the negation still reaches."""
+    return machine(0, range(scope + 1), lambda q, s: (scope, "o", 1.0) if s == "N" else (max(0, q - 1), s, weight if q and s in TOXIC else 1.0))
 
 
 def reported(weight: float = 0.3) -> Transducer:
-    return Transducer(0, {(q, s): (1 if s == "R" else q, "o" if s == "R" else s, weight if q and s in "IT" else 1.0) for q in (0, 1) for s in SYMBOLS})
+    return machine(0, (0, 1), lambda q, s: (1, "o", 1.0) if s == "R" else (q, s, weight if q and s in TOXIC else 1.0))
+
+
+def insulting(reach: int = 3, said_of: float = 1.5, run: float = 1.25) -> Transducer:
+    """State n > 0: a target was read and its predicate may begin within n words; -1: in a run of insults."""
+
+    def step(q, s):
+        if s == "I":
+            return (-1, s, said_of if q > 0 else run if q < 0 else 1.0)
+        if s == "Y":
+            return (reach, s, 1.0)
+        return (max(0, q - 1) if q > 0 else 0, s, 1.0)
+
+    return machine(0, range(-1, reach + 1), step)
+
+
+def threatening(reach: int = 3, bare: float = 0.5, meant: float = 1.5) -> Transducer:
+    """States: (what was read, words it still reaches); an intent reaches a verb, a verb its target."""
+
+    def step(q, s):
+        kind, left = q
+        if s == "W":
+            return (("intent", reach), "o", 1.0)
+        if s == "V":
+            return (("threat", reach), s, meant) if kind == "intent" else (("verb", 0), s, bare)
+        if s == "Y" and kind == "threat":
+            return (("", 0), "A", meant)
+        return ((kind, left - 1) if left > 1 else ("", 0), s, 1.0)
+
+    return machine(("", 0), [("", 0), ("verb", 0), *((k, n) for k in ("intent", "threat") for n in range(1, reach + 1))], step)
+
+
+def targeted(before: float = 1.2, reach: int = 2) -> Transducer:
+    """States: (whether a target was read, words in which one would address what was said)."""
+
+    def step(q, s):
+        seen, left = q
+        if s in TOXIC:
+            return ((seen, reach), s, before if seen else 1.0)
+        if s == "Y":
+            return ((1, 0), "A" if left else "o", 1.0)
+        return ((1 if s == "A" else seen, max(0, left - 1)), s, 1.0)
+
+    return machine((0, 0), [(a, n) for a in (0, 1) for n in range(reach + 1)], step)
 
 
-def targeted(weight: float = 1.5) -> Transducer:
-    """State 1 once a target was read; a threat needs one to count in full."""
-    arcs = {}
-    for q in (0, 1):
-        for s in SYMBOLS:
-            strength = {"I": (1.0, weight), "T": (0.5, weight)}.get(s, (1.0, 1.0))[q]
-            arcs[q, s] = (1 if s == "Y" else q, s, strength)
-    return Transducer(0, arcs)
+STEPS = {"negation": negation, "reported": reported, "insult": insulting, "threat": threatening, "target": targeted}
 
 
-GRAMMAR = negation().then(reported()).then(targeted())
+def grammar(without: tuple[str, ...] = ()) -> Transducer:
+    """The composed machine; `without` leaves transducers out, to see what each adds."""
+    out = machine(0, (0,), lambda q, s: (0, s, 1.0))
+    for name, step in STEPS.items():
+        if name not in without:
+            out = out.then(step())
+    return out
+
+
+@dataclass
+class Machine:
+    """A composed transducer as lists over state * symbols + symbol."""
+
+    to: list[int]
+    wrote: list[str]
+    weight: list[float]
+
+    @classmethod
+    def of(cls, t: Transducer) -> Machine:
+        states = {t.start: 0}
+        for state, _ in t.arcs:
+            states.setdefault(state, len(states))
+        arcs = [t.arcs[state, s] for state in states for s in SYMBOLS]
+        return cls([states[a[0]] * len(SYMBOLS) for a in arcs], [a[1] for a in arcs], [a[2] for a in arcs])
 
 
 @dataclass
 class Lexicon:
     words: dict[str, tuple[str, float]]
     stems: dict[str, tuple[str, float]]
-    memo: dict[str, tuple[str, float]] = field(default_factory=dict, repr=False)
+    address: float = 1.0  # the weight of a target that is addressed
+    memo: dict[str, tuple[int, float]] = field(default_factory=dict, repr=False)
     limit: int = 200_000
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "_finder"} | {"memo": {}}
 
-    def read(self, word: str) -> tuple[str, float]:
+    def read(self, word: str) -> tuple[int, float]:
+        """The number of the word's symbol and its weight."""
         found = self.memo.get(word)
         if found is None:
-            found = self.words.get(word)
-            if found is None:
-                found = next((self.stems[word[:k]] for k in range(min(len(word), 12), 3, -1) if word[:k] in self.stems), ("o", 0.0))
+            symbol, weight = self.words.get(word) or next((self.stems[word[:k]] for k in range(min(len(word), 12), 3, -1) if word[:k] in self.stems), ("o", 0.0))
+            found = (SYMBOLS.index(symbol), weight)
             if len(self.memo) >= self.limit:
                 self.memo.clear()
             self.memo[word] = found
         return found
 
-
-def clauses(text: str, lexicon: Lexicon) -> list[tuple[float, list[str]]]:
+    def finder(self):
+        """An automaton of the toxic words and stems, or None where there are none."""
+        if "_finder" not in self.__dict__:
+            found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for x, (symbol, _) in [*self.words.items(), *self.stems.items()]:
+                if symbol in TOXIC:
+                    found.add_word(x)
+            found.make_automaton()
+            self.__dict__["_finder"] = found if len(found) else None
+        return self.__dict__["_finder"]
+
+    def clauses(self, text: str):
+        """The words of each clause that may have a toxic word; text is in lower case."""
+        finder = self.finder()
+        if finder is None or not text:
+            return
+        done = 0
+        for last, length in finder.iter(text):
+            start = last - length + 1
+            if start < done or start and text[start - 1].isalnum():
+                continue
+            left = max(done, 1 + max(text.rfind(c, done, start) for c in ENDS))
+            end = END.search(text, start)
+            done = end.start() if end else len(text)
+            yield WORD.findall(text, left, done)
+
+
+def weighed(text: str, lexicon: Lexicon, steps: Machine) -> list[tuple[float, list[str]]]:
     """(weight, matched words) of each clause that the grammar matches."""
-    out, arcs = [], GRAMMAR.arcs
-    state, weight, matched, pending = GRAMMAR.start, 0.0, [], 0.0
-    read = lexicon.read
-    for token in TOKEN.findall(text.lower()):
-        if token in ENDS:
-            if matched:
-                out.append((weight, matched))
-            state, weight, matched, pending = GRAMMAR.start, 0.0, [], 0.0
-            continue
-        symbol, own = read(token)
-        state, wrote, factor = arcs[state, symbol]
-        if wrote in "IT" and own:
-            weight += own * factor
-            pending = own * factor
-            matched.append(token)
-        elif wrote == "Y" and pending:
-            weight += 0.5 * pending  # a target after what is said of it
-            pending = 0.0
-    if matched:
-        out.append((weight, matched))
+    out, read, to, wrote, factor = [], lexicon.read, steps.to, steps.wrote, steps.weight
+    for words in lexicon.clauses(text.lower()):
+        state, weight, matched = 0, 0.0, []
+        for word in words:
+            symbol, own = read(word)
+            arc = state + symbol
+            state, symbol = to[arc], wrote[arc]
+            if symbol in TOXIC:
+                weight += own * factor[arc]
+                matched.append(word)
+            elif symbol == "A" and matched:
+                weight += lexicon.address * factor[arc]
+        if matched:
+            out.append((weight, matched))
     return out
 
 
 @dataclass
 class Model:
     lexicon: Lexicon | None
+    steps: Machine
     scale: np.ndarray
     weights: np.ndarray
     default: float
 
     def terms(self, text: str) -> list[float]:
-        found = clauses(text, self.lexicon)
+        found = weighed(text, self.lexicon, self.steps)
         if not found:
             return [0.0] * 4
         total = sum(w for w, _ in found)
@@ -161,61 +263,106 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def learn(toxic: list[str], clean: list[str], least: int = 6, share: float = 0.01, odds: float = 2.5) -> Lexicon:
-    """Words and stems (4 to 8 first letters of three words or more) that go with the label."""
-    counts = [Counter(), Counter()]
-    kinds = defaultdict(set)
-    for k, texts in enumerate((clean, toxic)):
-        for text in texts:
-            words = {t for t in TOKEN.findall(text.lower()) if t not in ENDS and len(t) >= 3}
-            seen = {("word", w) for w in words}
-            for w in words:
-                for n in range(4, min(8, len(w)) + 1):
-                    seen.add(("stem", w[:n]))
-                    if k and len(kinds[w[:n]]) < 3:
-                        kinds[w[:n]].add(w)
-            counts[k].update(seen)
-    found = []
-    for (kind, x), a in counts[1].items():
-        if a >= max(least, share * len(toxic)) and (kind == "word" or len(kinds[x]) >= 3):
-            lift = math.log((a + 0.5) / (len(toxic) + 1)) - math.log((counts[0][kind, x] + 0.5) / (len(clean) + 1))
-            if lift >= odds:
-                found.append((lift, len(x), kind, x))
+def surroundings(rows: DataFrame) -> DataFrame:
+    """(word, a, b): how many different surroundings a word of three letters or more has in toxic
+    and in clean texts."""
+
+    def run(batches):
+        for batch in batches:
+            for raw, label in zip(strings(batch.column(0)), batch.column(1).to_pylist()):
+                words = WORD.findall(bytes(raw).decode().lower())
+                around = zip(["", *words], words, [*words[1:], ""])
+                found = list({(w, zlib.crc32(f"{a} {z}".encode())) for a, w, z in around if len(w) >= 3})
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64()), pa.array([label] * len(found), pa.int32())], ["word", "around", "label"])
+
+    found = rows.select("text", "label").mapInArrow(run, "word string, around long, label int").distinct()
+    return found.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
+
+
+def toxic_words(rows: DataFrame, texts: int, least: int, share: float, odds: float) -> Lexicon:
+    """A lexicon of the seeds and of insult words."""
+    words = surroundings(rows).cache()
+    totals = words.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    stem = words.select("word", "a", "b", F.explode(F.sequence(F.lit(4), F.least(F.lit(8), F.greatest(F.lit(4), F.length("word"))))).alias("n")).filter(F.length("word") >= F.col("n"))
+    stems = stem.groupBy(F.substring("word", 1, F.col("n")).alias("x")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count_if(F.col("a") > 0).alias("kinds")).filter("kinds >= 3").select(F.lit("stem").alias("kind"), "x", "a", "b")
+    both = words.select(F.lit("word").alias("kind"), F.col("word").alias("x"), "a", "b").union(stems)
+    lift = F.log((F.col("a") + 0.5) / (totals.a or 1)) - F.log((F.col("b") + 0.5) / (totals.b or 1))
+    # each needs `share` of as many surroundings as there are toxic texts, which bounds their number
+    found = both.filter(F.col("a") >= max(least, share * texts)).withColumn("lift", lift).filter(F.col("lift") >= odds).collect()
     lexicon = Lexicon({}, {})
-    for symbol, words, weight in (("T", THREATS, 3.0), ("Y", TARGETS, 0.0), ("N", NEGATIONS, 0.0), ("R", REPORTS, 0.0)):
-        lexicon.words.update((w, (symbol, weight)) for w in words)
-    taken: list[tuple[str, str]] = []
-    for lift, _, kind, x in sorted(found, key=lambda f: (-f[0], -f[1], f[2] == "stem", f[3])):
-        if any(x.startswith(y) if k == "stem" else x == y for k, y in taken) or kind == "stem" and any(y.startswith(x) for _, y in taken):
-            continue
-        taken.append((kind, x))
-        (lexicon.words if kind == "word" else lexicon.stems).setdefault(x, ("I", lift))
+    for symbol, seeds in SEEDS.items():
+        lexicon.words.update((w, (symbol, 0.0)) for w in seeds)
+    share_a = (totals.a or 0) / max(1, (totals.a or 0) + (totals.b or 0))
+
+    def evidence(r) -> float:
+        """The log likelihood ratio: wide stems come before the words that they cover."""
+        return sum(n * math.log(n / ((r.a + r.b) * p)) for n, p in ((r.a, share_a), (r.b, 1 - share_a)) if n)
+
+    for r in sorted(found, key=lambda r: (-evidence(r), -len(r.x), r.kind == "stem", r.x)):
+        if not any(r.x[:k] in lexicon.stems for k in range(4, len(r.x) + 1)):
+            (lexicon.words if r.kind == "word" else lexicon.stems)[r.x] = ("I", r.lift)
+    words.unpersist()
     return lexicon
 
 
-def one_of_each(texts: list[str]) -> list[str]:
-    """Texts without further copies and near copies (by the least hash of their three-word
-    shingles): words of a text that was copied often say nothing about the label."""
-    seen = {}
-    for text in texts:
-        words = text.lower().split()
-        seen.setdefault(min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0), text)
-    return list(seen.values())
+def add_classes(lexicon: Lexicon, rows: DataFrame, least: int, odds: float) -> None:
+    """Threat verbs, and cues beside the seeds, by what stands around toxic words."""
+    if lexicon.finder() is None:
+        return
+
+    def run(batches):
+        counts: Counter = Counter()
+        for batch in batches:
+            for raw, label in zip(strings(batch.column(0)), batch.column(1).to_pylist()):
+                for words in lexicon.clauses(bytes(raw).decode().lower()):
+                    symbols = [SYMBOLS[lexicon.read(w)[0]] for w in words]
+                    at = [i for i, s in enumerate(symbols) if s in TOXIC]
+                    for i in at:
+                        counts["use", _entry(lexicon, words[i]), label] += 1
+                        if "W" in symbols[max(0, i - 3) : i]:
+                            counts["meant", _entry(lexicon, words[i]), label] += 1
+                    for i in range(at[-1] if at else 0):
+                        if symbols[i] == "o":
+                            nearest = next(j for j in at if j > i) - i
+                            counts["near" if nearest <= 3 else "far", words[i], label] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array([k[2] for k in counts], pa.int32()), pa.array(counts.values(), pa.int64())], ["role", "x", "label", "n"])
+
+    found = rows.select("text", "label").mapInArrow(run, "role string, x string, label int, n long")
+    sums = found.groupBy("role", "x").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b")).filter(F.col("a") + F.col("b") >= least).collect()
+    by = {(r.role, r.x): (r.a, r.b) for r in sums}
+    uses = [sum(v[k] for (role, _), v in by.items() if role == "use") for k in (0, 1)]
+    for (role, x), (a, b) in by.items():
+        if role == "use" and by.get(("meant", x), (0, 0))[0] * 3 >= a > 0:
+            part = lexicon.words if x in lexicon.words else lexicon.stems
+            part[x] = ("V", part[x][1])
+        if role in ("near", "far") and b >= least and math.log((b + 0.5) / (uses[1] + 1)) - math.log((a + 0.5) / (uses[0] + 1)) >= odds:
+            lexicon.words.setdefault(x, ("N" if role == "near" else "R", 0.0))
+    lexicon.memo.clear()
+
+
+def _entry(lexicon: Lexicon, word: str) -> str:
+    """The word or stem through which the lexicon reads a word."""
+    return word if word in lexicon.words else next(word[:k] for k in range(min(len(word), 12), 3, -1) if word[:k] in lexicon.stems)
+
+
+def learn(rows: DataFrame, texts: int, least: int = 6, share: float = 0.01, odds: float = 2.5) -> Lexicon:
+    """The lexicon of (text, label) rows with so many toxic texts."""
+    lexicon = toxic_words(rows, texts, least, share, odds)
+    add_classes(lexicon, rows, least, odds)
+    return lexicon
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out, column: str = "toxic", sample: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_out, column: str = "toxic", sample: int = 3000, without: tuple[str, ...] = ()) -> Model:
     """The model; rows where held_out holds teach nothing."""
     rows, counts = labelled(docs, labels, column, held_out, sample)
-    classes = [one_of_each([t.decode() for t, y in rows if y == k]) for k in (0, 1)]
-    if min(map(len, classes)) < 8:
-        return Model(None, np.ones(4), np.zeros(0), counts.get(1, 0) / max(1, sum(counts.values())))
-    half = [len(c) // 2 for c in classes]
-    model = Model(learn(classes[1][: half[1]], classes[0][: half[0]]), np.ones(4), np.zeros(0), 0.0)
-    rest = [(t, k) for k in (0, 1) for t in classes[k][half[k] :]]
-    x, y = np.array([model.terms(t) for t, _ in rest]), np.array([k for _, k in rest], float)
-    share = [counts[k] / sum(counts.values()) / max(1, (y == k).sum()) for k in (0, 1)]
+    sizes = {r.label: (r.n, r.half) for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if("half").alias("half")).collect()}
+    steps = Machine.of(grammar(without))
+    if min(sizes.get(k, (0, 0))[0] for k in (0, 1)) < 8:
+        return Model(None, steps, np.ones(4), np.zeros(0), counts.get(1, 0) / max(1, sum(counts.values())))
+    model = Model(learn(rows.filter("half"), sizes[1][1]), steps, np.ones(4), np.zeros(0), 0.0)
+    x, y = calibration(rows.filter(~F.col("half")), lambda t: model.terms(bytes(t).decode()), 4)
     model.scale = x.std(axis=0) + 1e-9
-    model.weights = logistic(x / model.scale, y, np.where(y == 1, share[1], share[0]) * len(y), penalty=0.1)
+    model.weights = logistic(x / model.scale, y, class_weights(y, counts), penalty=0.1)
     return model
 
 
