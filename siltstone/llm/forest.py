@@ -1,24 +1,29 @@
 """Approximate nearest neighbours by largest inner product: a hash-prefix forest.
 
 Every vector is scaled by the largest norm and given one more coordinate that makes its length
-one, so that the largest inner product is the smallest angle. In each of `trees` trees a vector's
-hash string is 64 signs against random planes. The sorted array of a tree's strings is the tree:
-Spark sorts all trees by range, so an array is spread over tasks however alike its strings are. A
-query descends to the place of its own string and ascends from there in all trees alike: the rows
-around it are taken by the length of the prefix they share with it, longest first, `width` in each
-tree, and ranked by exact inner products.
-
-The share of the true neighbours that this finds follows from the angle of the last one found. A
-query where it is below `least` (neighbours hardly nearer than chance, as in random data) is
-searched exactly instead: blocks of `block` such queries against all rows, each task keeping the
-best of its rows. So recall doesn't hang on the data.
-
-Equal vectors are one entry with their k + 1 smallest ids, which is all that any result can show
-of them. Only such entries travel, so copies make no hot key.
+one, so that the largest inner product is the smallest angle. In each of `trees` trees a vector has
+a long hash string of up to `depth` symbols. A symbol is the axis of a random rotation that the
+vector is closest to, and the side of it (a cross-polytope hash: at the same selectivity it keeps
+near vectors together far more often than signs against planes do).
+
+Prefix tree: a tree's rows are divided by one more symbol as long as more than `leaf` share a
+prefix, so leaves have prefixes of different lengths; only rows of larger nodes are divided further.
+A query descends in each tree to the leaf that is its longest-prefix match. Then it ascends in all
+trees at once: the steps are its strings with one symbol replaced, the last symbol first and closer
+axes first, each leading to the leaf of its own longest match; step by step the leaves of all trees
+are added until `pool` rows are reached or the steps (`probes` axes a symbol) end. All rows of these
+leaves are ranked by inner products. No row is found in any other way.
+
+Leaves are scored where they are: a leaf's rows meet the queries that reached it, in groups of
+`leaf` rows and `batch` queries at most, so neither a dense leaf nor a sought-after one gathers in
+one task. Equal vectors are one entry with their k + 1 smallest ids, which is all that any result can
+show of them, so copies make no hot key.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or differ
-in length from most vectors take no part, nor do null ids; a repeated row counts once; fewer
-candidates than k give fewer rows; an empty table gives none; extra columns are ignored.
+in length from most vectors take no part, nor do null ids; a repeated row counts once; equal products
+are ranked by vec_id, before any cut; a double column is searched in double; a leaf whose `depth`
+symbols all agree isn't divided further; fewer candidates than k give fewer rows; an empty table
+gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,23 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import discard, table, written
 
-ENTRY = "tree int, hash long, query boolean, entry long, v array<float>, ids array<long>"
-FOUND = "q long, entry long, score double, ids array<long>"
-CLIMBED = f"{FOUND}, tree int, depth int"
-_FOUND = pa.schema([("q", pa.int64()), ("entry", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
-_CLIMBED = _FOUND.append(pa.field("tree", pa.int32())).append(pa.field("depth", pa.int32()))
+FOUND = "q long, entry long, score double"
+_FOUND = pa.schema([("q", pa.int64()), ("entry", pa.int64()), ("score", pa.float64())])
 
 
-def matrix(column: pa.Array, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+def matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
     """(vec_id, v) of the vectors that take part, and their length."""
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).filter(F.col("vec_id").isNotNull() & (F.size(v) > 0))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v")).filter(F.col("vec_id").isNotNull() & (F.size(v) > 0))
     rows = rows.filter(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.filter(F.size("v") == (size.n if size else 0)), size.n if size else 0
@@ -57,161 +61,169 @@ def rescored(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(axis=-1)
 
 
-def search(vectors: DataFrame, query: object, k: int = 20, trees: int = 8, width: int = 64, least: float = 0.97, block: int = 2048, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+class Rotations:
+    """The random axes of each tree and symbol: orthonormal columns, `width` of them at most."""
+
+    def __init__(self, size: int, seed: int, width: int = 64):
+        self.size, self.seed, self.width = size, seed, min(width, size)
+        self.known: dict[tuple[int, int], np.ndarray] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def axes(self, tree: int, level: int) -> np.ndarray:
+        if (tree, level) not in self.known:
+            draw = np.random.default_rng([self.seed, tree, level]).standard_normal((self.size, self.width))
+            self.known[tree, level] = np.linalg.qr(draw)[0]
+        return self.known[tree, level]
+
+    def closeness(self, x: np.ndarray, tree: int, level: int) -> np.ndarray:
+        """How close each row is to each side of each axis."""
+        y = x @ self.axes(tree, level)
+        return np.concatenate([y, -y], axis=1)
+
+
+def lifted(x: np.ndarray, longest: float, as_query: bool) -> np.ndarray:
+    """Rows with the coordinate that makes their length one (zero for queries)."""
+    x = x / longest
+    last = np.zeros(len(x)) if as_query else np.sqrt(np.maximum(0, 1 - rescored(x, x)))
+    return np.column_stack([x, last])
+
+
+def strings_of(symbols: np.ndarray) -> list[str]:
+    """Rows of symbols as strings, a character each."""
+    return ["".join(map(chr, row)) for row in (symbols + 48).tolist()]
+
+
+def planted(entries: DataFrame, turn: Rotations, size: int, longest: float, trees: int, depth: int) -> DataFrame:
+    """(tree, string, entry) of every entry."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x = lifted(matrix(part.column("v"), size), longest, False)
+                for t in range(trees):
+                    symbols = np.stack([turn.closeness(x, t, level).argmax(axis=1) for level in range(depth)], axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(strings_of(symbols)), part.column("entry")], ["tree", "string", "entry"])
+
+    return entries.select("entry", "v").mapInArrow(run, "tree int, string string, entry long")
+
+
+def leaves(strings: DataFrame, leaf: int, depth: int) -> tuple[DataFrame, int]:
+    """(tree, prefix, entry) with each entry's leaf in each tree, and the longest prefix's length."""
+    done, open_ = None, strings
+    for level in range(1, depth + 1):
+        at = open_.withColumn("prefix", F.substring("string", 1, level))
+        counts = at.groupBy("tree", "prefix").count().filter(F.col("count") > leaf).drop("count")
+        large = None if level == depth else written(counts, "forest-nodes")
+        small = at.select("tree", "prefix", "entry") if large is None else at.join(large, ["tree", "prefix"], "left_anti").select("tree", "prefix", "entry")
+        done = small if done is None else done.union(small)
+        if large is None or large.isEmpty():
+            return written(done, "forest-leaves"), level
+        open_ = written(at.join(large, ["tree", "prefix"], "left_semi").select("tree", "string", "entry"), "forest-open")
+    raise ValueError("depth: at least 1")
+
+
+def probes_of(queries: DataFrame, turn: Rotations, size: int, longest: float, trees: int, levels: int, probes: int) -> DataFrame:
+    """(q, tree, step, string): a query's own string (step 0) and those with one symbol replaced, the
+    last symbol first."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                x, q = lifted(matrix(part.column("v"), size), longest, True), part.column("entry").to_numpy()
+                for t in range(trees):
+                    close = [np.argsort(-turn.closeness(x, t, level), axis=1, kind="stable")[:, :probes] for level in range(levels)]
+                    own = np.stack([c[:, 0] for c in close], axis=1)
+                    steps = [(0, own)]
+                    for level in reversed(range(levels)):
+                        for rank in range(1, close[level].shape[1]):
+                            other = own.copy()
+                            other[:, level] = close[level][:, rank]
+                            steps.append((len(steps), other))
+                    for step, symbols in steps:
+                        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), t, np.int32)), pa.array(np.full(len(q), step, np.int32)), pa.array(strings_of(symbols))], ["q", "tree", "step", "string"])
+
+    return queries.select("entry", "v").mapInArrow(run, "q long, tree int, step int, string string")
+
+
+def reached(asked: DataFrame, sizes: DataFrame, levels: int, pool: int) -> DataFrame:
+    """(q, tree, prefix) of the leaves that queries come to: each string's longest-prefix match, step by
+    step in all trees together until the leaves of the steps before hold `pool` rows."""
+    lengths = F.sequence(F.lit(1), F.lit(levels))
+    each = asked.select("q", "tree", "step", F.explode(F.transform(lengths, lambda n: F.substring("string", F.lit(1), n))).alias("prefix"))
+    matched = each.join(sizes, ["tree", "prefix"]).groupBy("q", "tree", "prefix").agg(F.min("step").alias("step"), F.first("rows").alias("rows"))
+    steps = matched.groupBy("q", "step").agg(F.sum("rows").alias("rows"))
+    before = Window.partitionBy("q").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    taken = steps.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).filter(F.col("before") < pool).select("q", "step")
+    return matched.join(taken, ["q", "step"]).select("q", "tree", "prefix")
+
+
+def scored(placed: DataFrame, entries: DataFrame, wanted: DataFrame, queries: DataFrame, sizes: DataFrame, size: int, k: int, leaf: int, batch: int) -> DataFrame:
+    """(q, entry, score): the k + 1 best entries of each query in each block of each leaf."""
+    asks = wanted.groupBy("tree", "prefix").agg(F.count("*").alias("asks")).join(sizes, ["tree", "prefix"])
+    plan = written(asks.select("tree", "prefix", F.ceil(F.col("rows") / leaf).alias("blocks"), F.ceil(F.col("asks") / batch).alias("salts")), "forest-plan")
+    rows = placed.join(plan, ["tree", "prefix"]).join(entries.select("entry", "v"), "entry")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    asked = wanted.join(plan, ["tree", "prefix"]).join(queries.select(F.col("entry").alias("q"), "v"), "q")
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("q"), F.col("salts"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["tree", "prefix", "block", "salt"]
+
+    def score(left, right):
+        if not left.num_rows or not right.num_rows:
+            return _FOUND.empty_table()
+        x, e = matrix(left.column("v"), size), left.column("entry").to_numpy()
+        y, q = matrix(right.column("v"), size), right.column("q").to_numpy()
+        out: tuple[list, list, list] = ([], [], [])
+        for at in range(0, len(q), 64):
+            near = y[at : at + 64] @ x.T
+            take = min(k + 1, len(e))
+            edge = np.partition(near, -take, axis=1)[:, -take]
+            for i, (row, least) in enumerate(zip(near, edge)):
+                # those that a last rounding could bring in are compared exactly; ties go to smaller entries
+                own = np.flatnonzero(row >= least - 1e-9 * (1 + abs(least)))
+                exact = rescored(x[own], y[at + i])
+                best = np.lexsort((e[own], -exact))[:take]
+                out[0].append(np.full(len(best), q[at + i]))
+                out[1].append(e[own[best]])
+                out[2].append(exact[best])
+        return pa.table([pa.array(np.concatenate(c)) for c in out], schema=_FOUND)
+
+    met = asked.select(*key, "q", "v").toDF("t", "p", "b", "s", "q", "v")  # names of its own: both sides come from the same entries
+    return rows.select(*key, "entry", "v").groupBy(*key).cogroup(met.groupBy("t", "p", "b", "s")).applyInArrow(score, FOUND)
+
+
+def search(vectors: DataFrame, query: object, k: int = 20, trees: int = 10, probes: int = 10, leaf: int = 512, pool: int = 65536, depth: int = 16, batch: int = 512, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score; query is a condition on vec_id that names the queries."""
     spark = vectors.sparkSession
     rows, size = usable(vectors, id_col, vector_col)
     rows = rows.withColumn("h", F.xxhash64("v"))
     copies = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     entries = written(copies.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("entry", F.col("ids")[0]), "forest-entries")
-    asked = written(rows.filter(query).join(entries.select("h", "v", "entry"), ["h", "v"]).select("vec_id", "entry").distinct(), "forest-queries")
-    queries = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select("entry", "v")
     shape = entries.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm")).first()
     if not shape.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     longest = math.sqrt(shape.norm)
-    planes = np.random.default_rng(seed).standard_normal((size + 1, trees * 64))
-
-    def hashed(x: np.ndarray, last: np.ndarray) -> np.ndarray:
-        signs = (x @ planes[:-1] + last[:, None] * planes[-1]) > 0
-        words = np.packbits(signs.reshape(len(x), trees, 64), axis=2).view(">u8").reshape(len(x), trees)
-        return (words.astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)  # signed order is that of the strings
-
-    def plant(as_query: bool):
-        def run(batches):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
-                    x = matrix(part.column("v"), size) / longest
-                    last = np.zeros(len(x)) if as_query else np.sqrt(np.maximum(0, 1 - rescored(x, x)))
-                    strings = hashed(x, last)
-                    for t in range(trees):
-                        n = len(x)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(strings[:, t]), pa.array(np.full(n, as_query)), part.column("entry"), part.column("v"), part.column("ids")], ["tree", "hash", "query", "entry", "v", "ids"])
-
-        return run
-
-    planted = entries.select("entry", "v", "ids").mapInArrow(plant(False), ENTRY).union(queries.select("entry", "v", F.array().cast("array<long>").alias("ids")).mapInArrow(plant(True), ENTRY))
-    grown = planted.repartitionByRange("tree", "hash", "entry").sortWithinPartitions("tree", "hash", "entry")
-
-    def climb(batches):
-        """Streams the sorted arrays, holding `width` rows on either side of a query."""
-        held: pa.Table | None = None
-        first = True
-
-        def look(rows: pa.Table, a: int, b: int):
-            """Answers the queries at places a to b of these rows."""
-            asks = np.flatnonzero(rows.column("query").to_numpy()[a:b]) + a
-            if not len(asks):
-                return
-            tree, word, entry, is_query = (rows.column(c).to_numpy() for c in ("tree", "hash", "entry", "query"))
-            x = matrix(rows.column("v").combine_chunks(), size)
-            ids = rows.column("ids")
-            out: dict[str, list] = {"q": [], "entry": [], "score": [], "ids": [], "tree": [], "depth": []}
-            for i in asks.tolist():
-                s, e = max(0, i - width), min(len(word), i + width + 1)
-                near = np.arange(s, e)
-                near = near[(tree[s:e] == tree[i]) & ~is_query[s:e]]
-                apart = (word[near] ^ word[i]).view(np.uint64).astype(np.float64)  # less: a longer common prefix
-                apart = np.frexp(apart)[1]
-                order = np.lexsort((np.abs(near - i), apart))[:width]
-                # every row whose common prefix is longer than the last one's was taken
-                depth = 64 - int(apart[order[-1]]) + 1 if len(order) else 0
-                for edge in (0,) * (i < width) + (len(word) - 1,) * (i + width >= len(word)):
-                    if tree[edge] == tree[i]:  # the array may go on in the next task, with prefixes no longer than this
-                        depth = max(depth, 65 - ((int(word[edge]) ^ int(word[i])) & (2**64 - 1)).bit_length())
-                near = near[order]
-                score = rescored(x[near], x[i])
-                for j in np.lexsort((entry[near], -score))[: k + 1].tolist():
-                    out["q"].append(int(entry[i]))
-                    out["entry"].append(int(entry[near[j]]))
-                    out["score"].append(float(score[j]))
-                    out["ids"].append(ids[int(near[j])].as_py())
-                    out["tree"].append(int(tree[i]))
-                    out["depth"].append(depth)
-            yield pa.RecordBatch.from_pydict(out, _CLIMBED)
-
-        for batch in batches:
-            held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch])
-            if held.num_rows >= 8192 + 2 * width:
-                held = held.combine_chunks()
-                yield from look(held, 0 if first else width, held.num_rows - width)
-                held, first = held.slice(held.num_rows - 2 * width), False
-        if held is not None and held.num_rows:
-            held = held.combine_chunks()
-            yield from look(held, 0 if first else width, held.num_rows)
-
-    best = lambda df: df.groupBy("q", "entry").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    climbed = written(grown.mapInArrow(climb, CLIMBED), "forest-climbed")
-    found = best(climbed)
-    listed = found.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")))
-    last = listed.filter(F.col("n") == k + 1).select(F.col("q").alias("entry"), "score")
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    cosine = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("score") / (length * longest)))
-    # of rows at this angle, those that share a longer prefix than the last one taken in some tree
-    missed = F.log1p(-F.least(F.lit(1 - 1e-12), F.pow(1 - F.acos(cosine) / math.pi, F.col("depth"))))
-    depths = climbed.groupBy(F.col("q").alias("entry"), "tree").agg(F.max("depth").alias("depth"))
-    shares = queries.join(last, "entry").join(depths, "entry").groupBy("entry").agg((1 - F.exp(F.sum(missed))).alias("share"))
-    hard = written(queries.join(shares, "entry", "left").filter(F.coalesce("share", F.lit(0.0)) < least).select("entry", "v"), "forest-hard")
-    many = hard.count()
-    blocks = -(-many // block)
-    results = best(found.join(hard.select(F.col("entry").alias("q")), "q", "left_anti"))
-    for b in range(blocks):
-        asks = hard.filter(F.pmod(F.xxhash64("entry"), F.lit(blocks)) == b).orderBy("entry").collect()  # about `block` rows
-        shipped = spark.sparkContext.broadcast((np.array([r.entry for r in asks], np.int64), np.array([r.v for r in asks], np.float64).reshape(-1, size)))
-        results = results.union(entries.select("entry", "v", "ids").mapInArrow(_scan(shipped, size, k), FOUND))
-    ranked = results.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= k + 1)
+    asked = written(rows.filter(query).join(entries.select("h", "v", "entry"), ["h", "v"]).select("vec_id", "entry").distinct(), "forest-queries")
+    queries = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select("entry", "v")
+    turn = Rotations(size + 1, seed)
+    strings = written(planted(entries, turn, size, longest, trees, depth), "forest-strings")
+    placed, levels = leaves(strings, leaf, depth)
+    discard(strings)
+    sizes = written(placed.groupBy("tree", "prefix").agg(F.count("*").alias("rows")), "forest-sizes")
+    wanted = written(reached(probes_of(queries, turn, size, longest, trees, levels, probes), sizes, levels, pool), "forest-wanted")
+    found = scored(placed, entries, wanted, queries, sizes, size, k, leaf, batch)
+    best = found.groupBy("q", "entry").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "entry")
+    best = written(best.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n"), "forest-found")
+    listed = best.join(entries.select("entry", "ids"), "entry").select("q", "score", F.explode("ids").alias("vec_id"))
+    ranked = listed.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= k + 1)
     answers = asked.select(F.col("vec_id").alias("query_id"), F.col("entry").alias("q")).join(ranked, "q").filter("vec_id <> query_id")
     own = F.row_number().over(Window.partitionBy("query_id").orderBy("n"))
     return answers.withColumn("rank", own).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(shipped, size: int, k: int):
-    """A block of queries against the rows of a task: its k + 1 best entries for each query."""
-
-    def run(batches):
-        names, asks = shipped.value
-        if not len(names):
-            return
-        keep = k + 1
-        score = np.full((len(names), 0), 0.0)
-        entry, owner = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0), np.int64)
-        kept_ids: list = []
-        kept_rows: list[np.ndarray] = []
-        total = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x, e = matrix(part.column("v"), size), part.column("entry").to_numpy()
-                products = asks @ x.T
-                score = np.concatenate([score, products], axis=1)
-                entry = np.concatenate([entry, np.broadcast_to(e, products.shape)], axis=1)
-                owner = np.concatenate([owner, np.broadcast_to(np.arange(total, total + len(e)), products.shape)], axis=1)
-                kept_rows.append(x)
-                kept_ids += part.column("ids").to_pylist()
-                total += len(e)
-                if score.shape[1] > 2 * keep:
-                    # a few more than needed: near-equal products are told apart after rescoring
-                    wide = min(score.shape[1], 2 * keep)
-                    pick = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
-                    score, entry, owner = (np.take_along_axis(c, pick, 1) for c in (score, entry, owner))
-            used = np.unique(owner)
-            place = np.zeros(total, np.int64)
-            place[used] = np.arange(len(used))
-            stacked = np.concatenate(kept_rows)[used]
-            kept_rows, kept_ids, owner, total = [stacked], [kept_ids[i] for i in used.tolist()], place[owner], len(used)
-        if not total:
-            return
-        rows = np.concatenate(kept_rows)
-        for a in range(0, len(names), 256):
-            own = owner[a : a + 256]
-            exact = rescored(rows[own], asks[a : a + 256, None, :])
-            order = np.stack([np.lexsort((n, -s))[:keep] for s, n in zip(exact, entry[a : a + 256])])
-            take = lambda c: np.take_along_axis(c, order, 1).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[a : a + 256], order.shape[1])), pa.array(take(entry[a : a + 256])), pa.array(take(exact)), pa.array([kept_ids[i] for i in take(own).tolist()], pa.list_(pa.int64()))], schema=_FOUND)
-
-    return run
-
-
 def op6_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
