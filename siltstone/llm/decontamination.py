@@ -1,14 +1,18 @@
 """Benchmark decontamination: windows of benchmark words, looked up in every training text.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and characters above U+007F. A window is
-`n` consecutive words of an item, or all words of a shorter item. The distinct windows are a
-hash set that is broadcast only while the benchmark is at most `max_broadcast_bytes` long; a
-larger benchmark is joined by shuffling instead, with the same result. Hashes only preselect:
-every hit is compared word by word.
+`n` consecutive words of an item, or all words of a shorter item. The windows are a hash set that is
+broadcast only while the benchmark has at most `max_windows` of them and `max_bytes` of text: about
+30 bytes a window and the words once, counted by Spark before anything is gathered. A larger
+benchmark is joined by shuffling instead, with the same result. Hashes only preselect: every hit is
+compared word by word.
 
 Defined cases: null and empty texts have no words (n_words 0, never contaminated); an item
-without words has no window; an empty benchmark hits nothing; repeated items all count; repeated
-documents each get their row; extra columns are ignored.
+without words has no window; an empty benchmark hits nothing; repeated items all count, one with a null id
+hits but isn't listed; repeated
+documents each get their row; very long texts are scanned whole, their word hashes in stretches;
+extra columns are ignored by find() and kept by remove_documents() and remove_spans(), which judge
+each row by its own text, whatever other rows share its id and also where that is null.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Powers, chunks, mixed, table, text_rows
+from .shared import Powers, carried, chunks, mixed, rewritten, table, text_rows
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, runs array<struct<first:long,last:long>>"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,73 +74,91 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """The hash set of benchmark windows, by window length."""
+    """The hash set of benchmark windows, by window length, in arrays: the words of all items as one
+    run of bytes, and of each window its hash, its place there and its item."""
 
     def __init__(self, items: Iterable[tuple[str, str]], n: int):
-        self.owners: dict[bytes, list[str]] = defaultdict(list)
-        lengths: dict[int, set[bytes]] = defaultdict(set)
+        places: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+        self.names = sorted({item for item, _ in items if item is not None})
+        number = {item: k for k, item in enumerate(self.names)} | {None: -1}
+        held, size = [], 0
         for item, text in items:
             words = words_of((text or "").encode())
-            size = min(n, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                key = b" ".join(words[i : i + size])
-                if item not in self.owners[key]:
-                    self.owners[key].append(item)
-                lengths[size].add(key)
-        self.owners = dict(self.owners)
-        self.keys = {}
-        for size, keys in lengths.items():
-            _, _, _, owner, hashes = word_hashes([memoryview(k) for k in sorted(keys)])
-            found = np.unique(window_hashes(hashes, size)[np.searchsorted(owner, np.arange(len(keys)))])
+            at = size + np.cumsum([0] + [len(w) + 1 for w in words])
+            held += words
+            size = int(at[-1])
+            width = min(n, len(words))
+            _, _, _, _, hashes = word_hashes([memoryview(b" ".join(words))])
+            for i, h in enumerate(window_hashes(hashes, width).tolist() if width else ()):
+                places[width].append((h, int(at[i]), int(at[i + width]) - 1, number[item]))
+        self.words = b" ".join([*held, b""])
+        self.sets = {}
+        for width, rows in places.items():
+            rows.sort()
+            keys = np.array([r[0] for r in rows], np.uint64)
             few = np.zeros(1 << 20, bool)
-            few[found >> np.uint64(44)] = True
-            self.keys[size] = (found, few)
+            few[keys >> np.uint64(44)] = True
+            self.sets[width] = (keys, *(np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3)), few)
+
+    def owners(self, width: int, key: bytes, found: np.uint64) -> list[int]:
+        """The numbers of the items that have the window whose words are `key` and whose hash is `found`."""
+        keys, start, end, item, _ = self.sets[width]
+        a, b = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
+        return [int(item[i]) for i in range(a, b) if self.words[start[i] : end[i]] == key]
+
+    def hits(self, texts: list[memoryview]):
+        """Words, their owners and starts, which are hit, and the items found in each text."""
+        low, start, end, owner, hashes = word_hashes(texts)
+        delta = np.zeros(len(start) + 1, np.int64)
+        items: dict[int, set[int]] = defaultdict(set)
+        for width, (keys, _, _, _, few) in self.sets.items():
+            found = window_hashes(hashes, width)
+            at = np.flatnonzero(few[found >> np.uint64(44)])
+            at = at[np.isin(found[at], keys)]
+            for i in at[owner[at] == owner[at + width - 1]].tolist():
+                key = b" ".join(low[start[j] : end[j]].tobytes() for j in range(i, i + width))
+                if own := self.owners(width, key, found[i]):
+                    delta[i] += 1
+                    delta[i + width] -= 1
+                    items[int(owner[i])].update(own)
+        return owner, np.cumsum(delta[:-1]) > 0, items
+
+    def judged(self, texts: list[memoryview]):
+        """Numbers of words and of hit words, names of items, and runs of hit words of each text."""
+        owner, hit, items = self.hits(texts)
+        count, n_hit = np.bincount(owner, minlength=len(texts)), np.bincount(owner[hit], minlength=len(texts))
+        base = np.concatenate([[0], np.cumsum(count)])
+        runs: list[list[dict]] = []
+        for k in range(len(texts)):
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], hit[base[k] : base[k + 1]], [0]]).astype(np.int8))) if n_hit[k] else []
+            runs.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(edges[0::2], edges[1::2])])
+        return count, n_hit, [sorted(self.names[i] for i in items.get(k, ()) if i >= 0) for k in range(len(texts))], runs
 
     def scan(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))]
         for ids, texts in chunks(batches):
-            low, start, end, owner, hashes = word_hashes(texts)
-            delta = np.zeros(len(start) + 1, np.int64)
-            items: dict[int, set[str]] = defaultdict(set)
-            for size, (keys, few) in self.keys.items():
-                found = window_hashes(hashes, size)
-                at = np.flatnonzero(few[found >> np.uint64(44)])
-                at = at[np.isin(found[at], keys)]
-                for i in at[owner[at] == owner[at + size - 1]].tolist():
-                    key = b" ".join(low[start[j] : end[j]].tobytes() for j in range(i, i + size))
-                    if own := self.owners.get(key):
-                        delta[i] += 1
-                        delta[i + size] -= 1
-                        items[int(owner[i])].update(own)
-            hit = np.cumsum(delta[:-1]) > 0
-            count = np.bincount(owner, minlength=len(ids))
-            n_hit = np.bincount(owner[hit], minlength=len(ids))
-            base = np.concatenate([[0], np.cumsum(count)])
-            runs: list[list[dict]] = []
-            for k in range(len(ids)):
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit[base[k] : base[k + 1]], [0]]).astype(np.int8))) if n_hit[k] else []
-                runs.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(edges[0::2], edges[1::2])])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(count, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([sorted(items.get(k, ())) for k in range(len(ids))], pa.list_(pa.string())),
-                    pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                ],
-                ["doc_id", "n_words", "n_hit", "items", "runs"],
-            )
-
-
-def find(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_broadcast_bytes: int = 64 << 20, item_col: str = "item_id") -> DataFrame:
+            columns = (ids, *self.judged(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "n_words", "n_hit", "items", "runs"])
+
+
+def small(benchmark: DataFrame, n: int, max_windows: int, max_bytes: int, item_col: str) -> tuple[DataFrame, Windows | None]:
+    """(item, text) rows of a benchmark, and its windows where they are few enough to be shipped."""
+    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
+    each = F.greatest(F.lit(1), F.size(_words("text")) - (n - 1))
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(each), F.lit(0)).alias("windows")).first()
+    if size.bytes > max_bytes or size.windows > max_windows:
+        return bench, None
+    return bench, Windows([(r.item, r.text) for r in bench.collect()], n)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_windows: int = 1 << 20, max_bytes: int = 32 << 20, item_col: str = "item_id") -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids of items with occurring windows) and runs
     (ranges of hit words, counted from 0) of every document."""
-    spark = docs.sparkSession
     rows = text_rows(docs)
-    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > max_broadcast_bytes:
+    bench, found = small(benchmark, n, max_windows, max_bytes, item_col)
+    if found is None:
         return _find_by_join(rows, bench, n)
-    windows = spark.sparkContext.broadcast(Windows([(r.item, r.text) for r in bench.distinct().collect()], n))
+    windows = docs.sparkSession.sparkContext.broadcast(found)
 
     def scan(batches):
         yield from windows.value.scan(batches)
@@ -156,7 +178,7 @@ def _windows(words, size):
     )
 
 
-def _find_by_join(rows: DataFrame, bench: DataFrame, n: int) -> DataFrame:
+def _find_by_join(rows: DataFrame, bench: DataFrame, n: int, keep_digest: bool = False) -> DataFrame:
     """The same by a shuffled join on the window itself; no side is broadcast."""
     items = bench.select("item", _words("text").alias("w")).withColumn("size", F.least(F.lit(n), F.size("w")))
     keys = items.select("item", "size", F.explode(_windows(F.col("w"), F.col("size"))).alias("x")).select("item", "size", F.col("x.key").alias("key")).distinct()
@@ -173,6 +195,7 @@ def _find_by_join(rows: DataFrame, bench: DataFrame, n: int) -> DataFrame:
     runs = F.zip_with(firsts, lasts, lambda a, b: F.struct(a.cast("long").alias("first"), b.cast("long").alias("last")))
     found = found.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.size("at").alias("n_hit"), "items", runs.alias("runs"))
     return texts.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select(
+        *(["h"] if keep_digest else []),
         "doc_id",
         F.size(_words("text")).cast("long").alias("n_words"),
         F.coalesce(F.col("n_hit"), F.lit(0)).cast("long").alias("n_hit"),
@@ -186,30 +209,55 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated documents; rows with a null id stay."""
-    bad = find(docs, benchmark, **options).filter(contaminated()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def _by_text(docs: DataFrame, bench: DataFrame, n: int, columns: list[str]) -> DataFrame:
+    """docs with columns of find(), by the shuffled join, which is made on distinct texts."""
+    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
+    found = _find_by_join(texts, bench, n, keep_digest=True).filter("n_hit > 0").select(F.col("h").alias("_h"), *[F.col(c).alias(f"_{c}") for c in columns])
+    return docs.withColumn("_g", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, F.col("_g") == F.col("_h"), "left")
+
+
+def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_windows: int = 1 << 20, max_bytes: int = 32 << 20, item_col: str = "item_id") -> DataFrame:
+    """docs without the contaminated rows."""
+    bench, found = small(benchmark, n, max_windows, max_bytes, item_col)
+    if found is None:
+        bad = F.coalesce((F.col("_n_hit") > 0) & (20 * F.col("_n_hit") >= F.col("_n_words")), F.lit(False))
+        return _by_text(docs, bench, n, ["n_hit", "n_words"]).filter(~bad).select(*[f"`{c}`" for c in docs.columns])
+    windows = docs.sparkSession.sparkContext.broadcast(found)
+
+    def judge(texts: list[memoryview]) -> pa.Array:
+        count, n_hit, _, _ = windows.value.judged(texts)
+        return pa.array(~((n_hit > 0) & (20 * n_hit >= count)))
+
+    return carried(docs, judge)
+
+
+def without_runs(text: str, runs: list[dict]) -> str:
+    """The text, each run of words (from its first to its last character) cut out."""
+    raw = text.encode()
+    at = [m.span() for m in _WORD_RE.finditer(raw.lower())] if runs else []
+    for run in reversed(runs):
+        raw = raw[: at[run["first"]][0]] + raw[at[run["last"]][1] :]
+    return raw.decode()
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_windows: int = 1 << 20, max_bytes: int = 32 << 20, item_col: str = "item_id") -> DataFrame:
+    """docs, each run of hit words cut out of the texts."""
+    bench, found = small(benchmark, n, max_windows, max_bytes, item_col)
+    if found is None:
 
+        def cut(batches):
+            for batch in batches:
+                rows = zip(batch.column("text").to_pylist(), batch.column("_runs").to_pylist())
+                yield batch.drop_columns(["_runs"]).set_column(batch.schema.get_field_index("text"), "text", pa.array([t if t is None else without_runs(t, own or []) for t, own in rows], pa.string()))
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id and text, each run of hit words (from its first to its last character) cut out."""
-    runs = find(docs, benchmark, **options).filter("n_hit > 0").select("doc_id", "runs").dropDuplicates(["doc_id"])
-    joined = text_rows(docs).join(runs, "doc_id", "left")
+        joined = _by_text(docs, bench, n, ["runs"]).select(*[f"`{c}`" for c in docs.columns], "_runs")
+        return joined.mapInArrow(cut, docs.schema)
+    windows = docs.sparkSession.sparkContext.broadcast(found)
 
-    def cut(batches):
-        for batch in batches:
-            out = []
-            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw = text.encode()
-                if own:
-                    at = [m.span() for m in _WORD_RE.finditer(raw.lower())]
-                    for run in reversed(own):
-                        raw = raw[: at[run["first"]][0]] + raw[at[run["last"]][1] :]
-                out.append(raw.decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+    def rewrite(texts: list[memoryview]) -> list[str]:
+        return [without_runs(bytes(t).decode(), own) for t, own in zip(texts, windows.value.judged(texts)[3])]
 
-    return joined.mapInArrow(cut, "doc_id long, text string")
+    return rewritten(docs, rewrite)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

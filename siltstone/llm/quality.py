@@ -99,7 +99,7 @@ class Model:
     def compressors(self) -> list:
         found = self.__dict__.get("_compressors")
         if found is None:
-            dictionaries = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_FULLDICT) for d in (self.good, self.bad)]
+            dictionaries = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO) for d in (self.good, self.bad)]
             for d in dictionaries:
                 d.precompute_compress(level=self.level)
             options = {"level": self.level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
@@ -137,7 +137,7 @@ def dictionary(texts: list[bytes], size: int, block: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, parts).as_bytes()
     except zstandard.ZstdError:  # too little text to choose from
-        return b"".join(parts)[-size:]
+        return (b"\n" * 64 + whole)[-size:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out, column: str = "quality", sample: int = 3000, dictionary_bytes: int = 32 << 10, block: int = 2048, level: int = 3) -> Model:

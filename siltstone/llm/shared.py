@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.session import discard, shared_path, spread, written
 
-__all__ = ["Powers", "bounded_batches", "carried", "chunks", "discard", "mixed", "shared_path", "strings", "table", "text_rows", "written"]
+__all__ = ["Powers", "bounded_batches", "carried", "chunks", "discard", "mixed", "rewritten", "shared_path", "strings", "table", "text_rows", "written"]
 
 CHUNK_BYTES = 512 << 10
 BATCH_ROWS = 1024  # texts in an Arrow batch: a worker holds one batch
@@ -51,6 +51,23 @@ def carried(docs: DataFrame, judge: Callable[[list[memoryview]], pa.Array], text
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
+def rewritten(docs: DataFrame, rewrite: Callable[[list[memoryview]], list[str]], text_col: str = "text") -> DataFrame:
+    """docs with rewrite(texts) in place of the texts; null texts stay null."""
+    bounded_batches(docs.sparkSession)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = docs.columns.index(text_col)
+    plain = spread(docs.toDF(*names))
+
+    def run(batches):
+        for batch in batches:
+            for texts, part in slices(batch, place):
+                column = part.column(place)
+                own = [x if keep else None for x, keep in zip(rewrite(texts), column.is_valid().to_pylist())]
+                yield part.set_column(place, part.schema.field(place), pa.array(own, column.type))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def slices(batch: pa.RecordBatch, place: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[list[memoryview], pa.RecordBatch]]:
     """(texts, rows) of about `limit` bytes of the text column each."""
     texts, at = strings(batch.column(place)), 0

@@ -10,8 +10,10 @@ the bucket is. No link is lost either way. Groups come from alternating large-st
 small-star rounds over tables in the shared folder.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other;
-repeated rows share their group; an empty table gives an empty result; a null id is never the
-smallest of its group unless alone; extra columns are ignored.
+repeated rows share their group; an empty table gives an empty result; null ids link like others, and a
+group's component_id is null only where all its ids are; very long texts are hashed whole, in
+stretches; extra columns are ignored by groups(). dedup() keeps one row of each group: one of its
+smallest id, null ids last, and of rows that share that id one.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import strings, table, text_rows, written
+from siltstone.session import spread
+
+from .shared import bounded_batches, discard, strings, table, text_rows, written
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -152,45 +157,65 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int = 7, bucket: int =
     return small.union(halfway.join(first, ["t", "mid"]).filter("fp <> b").select(F.col("fp").alias("a"), "b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): each node of the edges (a, b) with the smallest node it is connected to.
 
-    Every round is a table in the shared folder, so a lost executor costs one round at most.
+    Every round is a table in the shared folder, so a lost executor costs one round at most. The
+    rounds come to an end by themselves: the sum of the smaller ends falls until it is least.
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "components")
-    state = None
-    for _ in range(rounds):
+    pairs, state = written(pairs, "components"), None
+    while True:
         both = pairs.union(pairs.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         star = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = star.groupBy("a").agg(F.min("b").alias("m"))
         joined = star.join(low, "a")
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        pairs = written(small, "components")
+        before, pairs = pairs, written(small, "components")
+        discard(before)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = now
-    raise RuntimeError(f"not connected after {rounds} rounds")
+
+
+def connected(prints: DataFrame, distance: int, blocks: int, bucket: int) -> DataFrame:
+    """(fp, component): each fingerprint of the rows with the smallest one that links lead to."""
+    distinct = written(prints.select("fp").distinct(), "simhash-distinct")
+    whole = components(links(distinct, distance, blocks, bucket))
+    return distinct.join(whole, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
 def groups(docs: DataFrame, width: int = 4, distance: int = 4, blocks: int = 7, bucket: int = 4096) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links lead to) of every row."""
     prints = written(fingerprints(docs, width), "simhash")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
-    found = links(distinct, distance, blocks, bucket)
-    a, b = distinct.toDF("a", "x"), distinct.toDF("b", "y")
-    edges = found.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    whole = components(edges)
-    named = distinct.join(whole, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def dedup(docs: DataFrame, **options) -> DataFrame:
-    """docs with the row of the smallest id of each group; rows with a null id stay."""
-    lost = groups(docs, **options).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(lost, "doc_id", "left_anti")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = written(least.join(connected(prints, distance, blocks, bucket), "fp"), "simhash-components")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def dedup(docs: DataFrame, width: int = 4, distance: int = 4, blocks: int = 7, bucket: int = 4096) -> DataFrame:
+    """docs with one row of each group. Rows are written with their fingerprints and a number each, so
+    that the row that stays is told from its equals."""
+    bounded_batches(docs.sparkSession)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    text, doc_id = (f"c{docs.columns.index(c)}" for c in ("text", "doc_id"))
+    numbered = spread(plain).withColumn("n", F.monotonically_increasing_id())
+    place = names.index(text)
+
+    def run(batches):
+        for batch in batches:
+            fp = np.array([fingerprint(t, width) for t in strings(batch.column(place))], np.uint64)
+            yield batch.append_column("fp", pa.array(fp.view(np.int64), pa.int64()))
+
+    rows = written(numbered.mapInArrow(run, StructType([*numbered.schema.fields, StructField("fp", LongType())])), "simhash-rows")
+    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).cast("long").alias("id"), F.col("n").alias("n")))
+    least = rows.groupBy("fp").agg(first.alias("first")).join(connected(rows, distance, blocks, bucket), "fp")
+    stay = least.groupBy("component").agg(F.min("first").alias("first")).select("first.n")
+    return rows.join(stay, "n", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,19 +10,20 @@
    before the anchors, read backwards, are scanned in the same way; where they part is where
    the repeat can't be extended to the left. Each such pair of nodes is a maximal repeat with all
    its occurrences, and all but the first occurrence are removed.
-4. A document's removed runs are merged and applied to its text.
+4. A document's removed runs are merged and applied to its text; repeats() returns the groups.
 
 Hot anchors: copies of a whole text are settled first by a digest, with a partial aggregate. An
-anchor of more than `hot` occurrences gives each of its windows as a row of its own, its MD5
+anchor of more than `hot` occurrences gives each of its windows as a row of its own, its SHA-256
 digest, dealt by the hash of the window; of equal rows in a task only the first is sent, the
 others being removed for certain. So a task gathers `hot` contexts of a hash at most, or one row for a window and task.
 
-Comparisons are of bytes, for hot anchors of digests; other hashes only deal out rows. The plan has one text shuffle, which
-its three readers share.
+Comparisons are of bytes; for hot anchors and whole copies of SHA-256 digests, which no two known texts
+share; other hashes only deal out rows. The plan has one text shuffle, which its three readers share.
 
 Defined cases: null texts are empty; texts shorter than `least` keep everything; a row with a
 null id keeps everything and removes nothing; repeated rows are one document, each reported; of
-one id's different texts the order is that of their digests; extra columns are ignored.
+one id's different texts the order is that of their digests; ids may be any long; texts longer than
+a piece are anchored in pieces, with the same result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Powers, bounded_batches, mixed, strings, table, text_rows, written
@@ -201,9 +202,9 @@ def _mark(least: int, seed: int):
     return run
 
 
-def _contexts(least: int, hot: int, block: int = 50_000):
+def _contexts(least: int, hot: int, every: bool = False, block: int = 50_000):
     """The bytes around repeated anchors. Of equal contexts in a block of rows only the first one is
-    sent; the others are spans already: rows without ctx, from `at` to `g`."""
+    sent, unless `every` is asked for; the others are spans already: rows without ctx, from `at` to `g`."""
 
     def run(batches):
         best: dict[tuple[int, int, bytes], tuple[int, int]] = {}
@@ -211,7 +212,7 @@ def _contexts(least: int, hot: int, block: int = 50_000):
 
         def put(g: int, doc: int, at: int, ctx: bytes) -> None:
             before = at >> 8 & 255
-            key, own = (g, before, ctx), (doc, at)
+            key, own = (g, before, ctx, (doc, at) if every else None), (doc, at)
             first = best.get(key)
             if first is None:
                 best[key] = own
@@ -245,7 +246,7 @@ def _contexts(least: int, hot: int, block: int = 50_000):
                     for at in ats[many].tolist():
                         start = (at >> 16) - (at >> 8 & 255)
                         for s in range(start, start + (at & 255) + 1):
-                            put(int(keys[s]), doc, s << 16 | _DIGEST << 8, hashlib.md5(text[s : s + least]).digest())
+                            put(int(keys[s]), doc, s << 16 | _DIGEST << 8, hashlib.sha256(text[s : s + least]).digest())
                 if len(best) + len(spans) >= block:
                     yield out()
         if best or spans:
@@ -321,6 +322,47 @@ def _judge(least: int):
     return run
 
 
+def grouped(rows: list[tuple[int, int, bytes]], least: int) -> Iterator[tuple[bytes, int, list[tuple[int, int]]]]:
+    """(digest, length, places) of the repeats among all contexts (doc, at, ctx) of one hash: contexts
+    that are equal, and the maximal repeats of different ones with all that have them."""
+    classes: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    for doc, at, ctx in rows:
+        classes.setdefault((at >> 8 & 255, ctx), []).append((doc, at >> 16))
+    for (before, ctx), places in classes.items():
+        if len(places) > 1:
+            hot = before == _DIGEST
+            yield ctx if hot else hashlib.sha256(ctx).digest(), least if hot else len(ctx), [(doc, at - (0 if hot else before)) for doc, at in places]
+    contexts = [(b, c, places) for (b, c), places in classes.items() if b != _DIGEST]
+    if len(contexts) > 1:
+        for left, right, group in maximal_repeats([c[:b][::-1] for b, c, _ in contexts], [c[b:] for b, c, _ in contexts], least):
+            b, c, _ = contexts[group[0]]
+            yield hashlib.sha256(c[b - left : b + right]).digest(), left + right, [(doc, at - left) for m in group for doc, at in contexts[m][2]]
+
+
+def _group(least: int):
+    """Streams rows sorted by hash; holds one hash's contexts."""
+
+    def run(batches):
+        rest: list[tuple[int, int, bytes]] = []
+        last = None
+
+        def out():
+            found = [(digest, size, doc, at) for digest, size, places in grouped(rest, least) for doc, at in places]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["repeat", "n_bytes", "doc", "start"]) if found else None
+
+        for batch in batches:
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "doc", "at", "ctx"))):
+                if g != last:
+                    if len(rest) > 1 and (made := out()):
+                        yield made
+                    rest, last = [], g
+                rest.append(tuple(row))
+        if len(rest) > 1 and (made := out()):
+            yield made
+
+    return run
+
+
 def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of the union of spans."""
     if not len(starts):
@@ -331,9 +373,9 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)].tolist()))
 
 
-def apply_runs(docs: DataFrame, finish: Callable[[int | None, bytes, list[tuple[int, int]]], tuple], schema: str, least: int = 100, seed: int = 24, hot: int = 4096, carry: bool = False) -> DataFrame:
-    """finish(doc_id, text, removed runs) of every row, as a DataFrame of the given schema; with
-    carry also `rest`, the row itself as a struct.
+def located(docs: DataFrame, least: int, seed: int, hot: int, carry: bool = False, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """rows (doc, row), where doc orders the texts; pairs (doc_id, digest, doc) of different texts; base,
+    the rows with a doc and whether theirs is the first of equal texts; and the contexts of anchors.
 
     Text and carried columns travel as one struct, so that all readers share one shuffle.
     """
@@ -341,15 +383,11 @@ def apply_runs(docs: DataFrame, finish: Callable[[int | None, bytes, list[tuple[
     bounded_batches(docs.sparkSession)
     whole = F.struct(F.coalesce("text", F.lit("")).alias("text"), *[x for x, c in zip(others, docs.columns) if c != "text"], *([F.col("text").isNull().alias("none")] if carry else []), F.col("doc_id").cast("long").alias("id")).alias("row")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole)
-    digests = text_rows(docs).filter("doc_id is not null").select("doc_id", F.md5("text").alias("digest"))
-    pairs = written(digests.groupBy("doc_id", "digest").count().drop("count"), "suffix-digests")
-    ids = pairs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.max(F.abs("doc_id")).alias("top")).first()
-    if (ids.most or 1) > 1:  # ids with different texts: number the texts of an id
-        if (ids.top + 1) * ids.most >= 1 << 62:
-            raise ValueError("ids are too large to number their texts")
-        numbered = pairs.withColumn("doc", F.col("doc_id") * ids.most + F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")) - 1)
-        pairs = written(numbered, "suffix-digests")
-        rows = rows.withColumn("digest", F.md5("row.text")).join(pairs, ["doc_id", "digest"], "left").select("doc", "row")
+    digests = text_rows(docs).filter("doc_id is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    pairs = written(digests.distinct(), "suffix-digests")
+    if not pairs.groupBy("doc_id").count().filter("count > 1").isEmpty():  # ids with different texts: number all texts in order
+        pairs = written(pairs.orderBy("doc_id", "digest").withColumn("doc", F.monotonically_increasing_id()), "suffix-digests")
+        rows = rows.withColumn("digest", F.unhex(F.sha2("row.text", 256))).join(pairs, ["doc_id", "digest"], "left").select("doc", "row")
     else:
         pairs = pairs.withColumn("doc", F.col("doc_id"))
         rows = rows.select(F.col("doc_id").alias("doc"), "row")
@@ -364,8 +402,35 @@ def apply_runs(docs: DataFrame, finish: Callable[[int | None, bytes, list[tuple[
     repeated = written(counted.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "suffix-hashes")
     marks = own.mapInArrow(_mark(least, seed), "h long, doc long, at long").join(repeated.hint("shuffle_hash"), "h")
     listed = marks.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n")).alias("marks"))
-    contexts = base.join(listed, "doc", "left").filter("first and marks is not null").select("doc", "row", "marks").mapInArrow(_contexts(least, hot), CONTEXT)
-    spans = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_judge(least), SPAN)
+    contexts = base.join(listed, "doc", "left").filter("first and marks is not null").select("doc", "row", "marks").mapInArrow(_contexts(least, hot, every), CONTEXT)
+    return rows, pairs, base, contexts.repartition("g").sortWithinPartitions("g")
+
+
+def repeats(docs: DataFrame, least: int = 100, seed: int = 24, hot: int = 4096) -> DataFrame:
+    """(repeat, n_bytes, doc_id, start): the maximal repeat groups with all their occurrences.
+
+    A repeat is a string of `least` bytes or more, named by its SHA-256 (lowercase hex), that occurs
+    twice and can't be extended on either side in all its occurrences; it is seen within the bytes
+    around an anchor, so one longer than those appears as several groups that overlap. Texts that are
+    equal as a whole and `least` bytes long are a group of their own, and what occurs in one of them is
+    listed for each.
+    """
+    _, pairs, _, contexts = located(docs, least, seed, hot, every=True)
+    found = contexts.mapInArrow(_group(least), "repeat binary, n_bytes long, doc long, start long").distinct()
+    texts = pairs.select(F.col("doc_id").alias("other"), F.col("digest").alias("d"))
+    listed = found.join(pairs.select("doc", "digest"), "doc").join(texts, F.col("digest") == F.col("d"))
+    sizes = text_rows(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("repeat")).filter((F.col("n_bytes") >= least) & F.col("doc_id").isNotNull()).distinct()
+    several = sizes.groupBy("repeat").count().filter("count > 1").select("repeat")
+    whole = sizes.join(several, "repeat", "left_semi").select("repeat", "n_bytes", "doc_id", F.lit(0).cast("long").alias("start"))
+    out = listed.select("repeat", "n_bytes", F.col("other").alias("doc_id"), "start").union(whole).distinct()
+    return out.withColumn("repeat", F.lower(F.hex("repeat")))
+
+
+def apply_runs(docs: DataFrame, finish: Callable[[int | None, bytes, list[tuple[int, int]]], tuple], schema: str, least: int = 100, seed: int = 24, hot: int = 4096, carry: bool = False) -> DataFrame:
+    """finish(doc_id, text, removed runs) of every row, as a DataFrame of the given schema; with
+    carry also `rest`, the row itself as a struct."""
+    rows, _, base, contexts = located(docs, least, seed, hot, carry)
+    spans = contexts.mapInArrow(_judge(least), SPAN)
     runs = spans.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     final = base.join(runs, "doc", "left").select("row", "doc", "first", "starts", "stops")
     nameless = rows.filter("doc is null").select("row", "doc", F.lit(None).cast("boolean"), *[F.lit(None).cast("array<long>")] * 2)

@@ -299,7 +299,8 @@ def toxic_words(rows: DataFrame, texts: int, least: int, share: float, odds: flo
         return sum(n * math.log(n / ((r.a + r.b) * p)) for n, p in ((r.a, share_a), (r.b, 1 - share_a)) if n)
 
     for r in sorted(found, key=lambda r: (-evidence(r), -len(r.x), r.kind == "stem", r.x)):
-        if not any(r.x[:k] in lexicon.stems for k in range(4, len(r.x) + 1)):
+        seed = r.x in lexicon.words and lexicon.words[r.x][0] not in TOXIC
+        if not seed and not any(r.x[:k] in lexicon.stems for k in range(4, len(r.x) + 1)):
             (lexicon.words if r.kind == "word" else lexicon.stems)[r.x] = ("I", r.lift)
     words.unpersist()
     return lexicon

@@ -49,11 +49,39 @@ def test_suffixes_edges(spark, corpus):
     assert [r.n_removed for r in out if r.doc_id is None] == [0]
     assert [r.n_removed == r.n_bytes for r in out if r.doc_id == 200] == [True]
     assert suffixes.apply_runs(clashing(spark, []), suffixes._digest, DIGEST).count() == 0
+    large = [(2**62 + 5, corpus[0][1]), (2**62 + 5, corpus[1][1]), (-(2**63), corpus[0][1])]
+    out = suffixes.apply_runs(clashing(spark, large), suffixes._digest, DIGEST).collect()
+    assert sorted((r.doc_id, r.n_removed == r.n_bytes) for r in out) == [(-(2**63), False), (2**62 + 5, False), (2**62 + 5, True)]
     left = suffixes.dedup(clashing(spark, corpus))
     assert left.columns == clashing(spark, []).columns
     assert left.filter("doc_id = 70").first().text is None
 
 
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_repeat_groups(spark, corpus, hot):
+    """Every group's occurrences are all that the corpus has, and every repeated window lies in one."""
+    import hashlib
+
+    texts = {i: (t or "").encode() for i, t in corpus}
+    groups, covered = {}, {}
+    for r in suffixes.repeats(clashing(spark, corpus), hot=hot).collect():
+        groups.setdefault((r.repeat, r.n_bytes), set()).add((r.doc_id, r.start))
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_bytes))
+    assert groups
+    for (name, size), places in groups.items():
+        doc, start = min(places)
+        string = texts[doc][start : start + size]
+        assert size >= 100 and len(places) > 1 and hashlib.sha256(string).hexdigest() == name
+        assert all(texts[d][at : at + size] == string for d, at in places)
+    windows = {}
+    for i, raw in texts.items():
+        for at in range(len(raw) - 99):
+            windows.setdefault(raw[at : at + 100], []).append((i, at))
+    for places in windows.values():
+        if len(places) > 1:
+            assert all(set(range(at, at + 100)) <= covered[i] for i, at in places)
+
+
 def test_suffixes_long_text():
     texts = [prose(7, 3000).encode()]
     whole, cut = suffixes.anchors(texts, 100, 24), suffixes.anchors(texts, 100, 24, piece=1000)
@@ -67,19 +95,25 @@ def test_maximal_repeats():
     assert not any(sorted(g) == [0, 1, 2] and b < 3 for a, b, g in found)
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_decontamination(spark, corpus, limit):
     words = brute.words(corpus[3][1])
     items = [("a", " ".join(words[5:30])), ("b", "Éa " + words[2].upper()), ("c", None), ("d", "!!"), ("e", " ".join(words[5:30])), ("f", " ".join(words[8:21]))]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    out = decontamination.find(clashing(spark, corpus + corpus[:4]), bench, max_broadcast_bytes=limit)
+    out = decontamination.find(clashing(spark, corpus + corpus[:4]), bench, max_windows=limit)
     out = out.select("doc_id", "n_words", "n_hit", F.size("items").alias("n"), F.sha2(F.concat_ws(",", "items"), 256).alias("h"), decontamination.contaminated().alias("c"))
     key = lambda r: (r[0], r[1])
     assert sorted((tuple(r) for r in out.collect()), key=key) == sorted(brute.contamination(corpus + corpus[:4], items), key=key)
-    kept = decontamination.remove_documents(clashing(spark, corpus), bench, max_broadcast_bytes=limit)
+    kept = decontamination.remove_documents(clashing(spark, corpus), bench, max_windows=limit)
     assert 3 not in [r.doc_id for r in kept.collect()]
-    text = decontamination.remove_spans(clashing(spark, corpus), bench, max_broadcast_bytes=limit).filter("doc_id = 3").first().text
+    cut = decontamination.remove_spans(clashing(spark, corpus), bench, max_windows=limit)
+    assert cut.columns == clashing(spark, []).columns
+    text = cut.filter("doc_id = 3").first().text
     assert len(brute.words(text)) < len(words) and " ".join(words[5:18]) not in text
+    # each row by its own text: another text of the id, a null id and a null text
+    mixed = clashing(spark, [(3, corpus[3][1]), (3, "short"), (None, corpus[3][1]), (None, None)])
+    assert sorted((r.doc_id or -1, r.text or "") for r in decontamination.remove_documents(mixed, bench, max_windows=limit).collect()) == [(-1, ""), (3, "short")]
+    assert sorted((r.doc_id or -1, r.text or "") for r in decontamination.remove_spans(mixed, bench, max_windows=limit).collect()) == [(-1, ""), (-1, text), (3, text), (3, "short")]
 
 
 def test_decontamination_empty(spark, corpus):
@@ -96,7 +130,8 @@ def test_simhash(spark, corpus, bucket):
     out = simhash.groups(clashing(spark, rows), bucket=bucket).collect()
     assert len(out) == len(rows)
     assert {(r.doc_id, r.fp % (1 << 64), r.component_id) for r in out} == {(i, want[i], linked[i]) for i, _ in rows}
-    assert {r.doc_id for r in simhash.dedup(clashing(spark, rows)).collect()} == set(linked.values())
+    kept = simhash.dedup(clashing(spark, [*rows, (None, corpus[0][1]), (None, "alone"), (None, "alone")]))
+    assert sorted((r.doc_id, 1) if r.doc_id is not None else (-1, r.text) for r in kept.collect()) == sorted([*((i, 1) for i in set(linked.values())), (-1, "alone")])
     assert simhash.groups(clashing(spark, [])).count() == 0
 
 
@@ -123,6 +158,27 @@ def test_tokens(corpus):
     assert tokens.Encoder().encode([long.encode()])[0].tolist() == brute.token_ids([long])[0]
 
 
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_tokens_of_colliding_words(size):
+    """Words that every polynomial hash modulo a power of two mixes up keep their own ids."""
+    one, other = "a", "b"
+    while len(one) < size:
+        one, other = one + other, other + one
+    texts = [one, other, f"{one} {other}", f"{other} x"]
+    e = tokens.Encoder()
+    assert [e.encode([t.encode()])[0].tolist() for t in texts] == brute.token_ids(texts)
+    assert [x.tolist() for x in tokens.Encoder().encode([t.encode() for t in texts])] == brute.token_ids(texts)
+
+
+def test_tokens_of_another_vocabulary():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Some words, it's 12 o'clock", prose(3, 40)]
+    assert [x.tolist() for x in tokens.Encoder(path).encode([t.encode() for t in texts])] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files(spark, corpus):
     rows = corpus + corpus[:3]
     ledger = tokenfile.write(clashing(spark, rows), length=64, rows=8)
@@ -170,31 +226,57 @@ def test_packing_patterns():
     assert 1 - sum(c * sum(p) for c, p in found) / (1024 * sum(c for c, _ in found)) < 0.01
 
 
+def nearest(v, ids, q, k):
+    score = (v * v[q]).sum(axis=1)
+    return [int(ids[i]) for i in np.lexsort((ids, -score)) if i != q][:k], score
+
+
 def test_forest_recall(spark):
+    """At the query's own parameters, on vectors with and without structure, without any other search."""
     draw = np.random.default_rng(2)
     centres = draw.standard_normal((6, 16))
     v = np.concatenate([centres[draw.integers(0, 6, 600)] + 0.05 * draw.standard_normal((600, 16)), draw.standard_normal((300, 16)) * draw.uniform(0.2, 3, (300, 1))]).astype(np.float32)
     v[::7] = v[0]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] * 16), (5004, [1.0]), (None, v[1].tolist()), (3, v[3].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("h", F.lit("x"))
-    out = forest.search(df, F.col("vec_id") % 20 == 0, k=10, trees=4, width=16).collect()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("h", F.lit("x")).withColumn("entry", F.lit(2))
+    out = forest.search(df, F.col("vec_id") % 20 == 0, k=10).collect()
     x = v.astype(np.float64)
     hit = total = 0
     for q in range(0, len(v), 20):
-        score = (x * x[q]).sum(axis=1)
-        order = [i for i in np.lexsort((np.arange(len(v)), -score)) if i != q][:10]
+        want, score = nearest(x, np.arange(len(v)), q, 10)
         own = sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)
         assert [r.rank for r in own] == list(range(1, 11))
         assert all(abs(r.score - score[r.vec_id]) < 1e-9 for r in own)
         assert [(-r.score, r.vec_id) for r in own] == sorted((-r.score, r.vec_id) for r in own)
-        hit += len({r.vec_id for r in own} & set(order))
+        hit += len({r.vec_id for r in own} & set(want))
         total += 10
-    assert hit / total >= 0.95
+    assert hit / total >= 0.9
     few = forest.search(df.filter("vec_id < 4"), F.col("vec_id") == 0, k=10).collect()
     assert len(few) == 3
     assert forest.search(df.filter("vec_id > 6000"), F.lit(True)).count() == 0
 
 
+def test_forest_query_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    found = {}
+    for r in forest.op6_forest(spark, sf).filter("query_id % 100 = 0").collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(set(nearest(v, ids, int(np.flatnonzero(ids == q)[0]), 20)[0]) & own) for q, own in found.items()]
+    assert len(hits) == int((ids % 100 == 0).sum()) and sum(hits) / (20 * len(hits)) >= 0.9
+
+
+def test_forest_ties_and_doubles(spark):
+    """Equal products go to the smaller ids before any cut; double columns are searched in double."""
+    rows = [(0, [1.0, 0.0])] + [(i, [0.5, i / 1000]) for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = forest.search(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == list(range(1, 21)) and {r.score for r in out} == {0.5}
+    exact = spark.createDataFrame([(0, [1e39, 0.0]), (1, [0.1, 0.2])], "vec_id long, embedding array<double>")
+    assert [r.score for r in forest.search(exact, F.col("vec_id") == 0).collect()] == [0.1 * 1e39]
+
+
 def test_urls(spark):
     rows = [(1, "http://Example.COM/en/7x?q=1#t"), (2, "https://a.b.com/en/1"), (3, "x.com/en/"), (4, None), (5, "ftp://example.net/de/81"), (6, "http://q.net/de/"), (7, "http://notcom/en/"), (8, "http://e.org?x/es/"), (9, "a://b://org/es/"), (10, "http://x.org/es/é\n?z")]
     out = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit("x"))).collect()}
@@ -206,14 +288,55 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def url_rows(spark):
+    rows = [(i, f"http://{'blog' if i % 3 else 'www'}.site{i % 5}.{'org' if i % 4 else 'com'}/{'es' if i % 2 else 'fr'}/{i}") for i in range(200)]
+    rows += [(500 + i, f"http://cheap-pills{i % 2}.example.com/en/{7 if i % 3 else 1}{i}") for i in range(60)]
+    return spark.createDataFrame(rows, "page_id long, url string")
+
+
 def test_url_rules_are_mined(spark):
-    rows = [(i, f"http://site{i % 5}.com/{'en' if i % 2 else 'fr'}/{i}") for i in range(200)] + [(500, "http://other.info/en/2")]
-    pages = spark.createDataFrame(rows, "page_id long, url string")
-    parts = pages.select(urls.tokens(F.col("url"), urls.host_of(F.col("url")), urls.path_of(F.col("url"))).alias("tokens"), F.when(F.col("url").contains(".com/en"), "block").otherwise("allow").alias("label"))
-    rules = urls.mine(parts)
-    assert (("path0:en", "top:com"), "block") in [(r[0], r[1]) for r in rules] or (("host:com", "path0:en"), "block") in [(r[0], r[1]) for r in rules]
-    got = parts.select("label", urls.verdict(F.col("tokens"), rules).alias("v"))
-    assert got.filter("label = 'block' and v <> 'block'").count() == 0
+    """Verdicts equal a plain match of the mined rules, and some undecided URLs are blocked by them."""
+    pages = url_rows(spark)
+    given = urls.given_rule(F.col("host"), F.col("path"), urls.RULES)
+    parts = pages.select("page_id", "url", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    parts = parts.withColumn("given", given).withColumn("tokens", urls.tokens(F.col("url"), F.col("host"), F.col("path")))
+    marked = parts.select("tokens", F.col("given.action").alias("label"))
+    rules = sorted(((-r.confidence, -r.support, r.label, sorted(r["items"])) for r in urls.mine(marked).collect()))
+    assert rules
+    labelled = [(set(r.tokens), r.label) for r in marked.collect() if r.label]
+    for c, s, label, items in rules:
+        fit = [x for t, x in labelled if set(items) <= t]
+        assert fit.count(label) / len(fit) == pytest.approx(-c) and fit.count(label) / len(labelled) == pytest.approx(-s)
+    got = {r.page_id: r.verdict for r in urls.judge(pages).collect()}
+    want = {r.page_id: r.given.action if r.given else next((x for _, _, x, items in rules if set(items) <= set(r.tokens)), "allow") for r in parts.collect()}
+    assert got == want
+    assert any(got[r.page_id] == "block" for r in parts.collect() if not r.given)
+
+
+def test_url_parts_by_sql(spark):
+    """Host, path and rule of the query are plain SQL."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    sql = r"""
+      WITH p AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+          regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM read_parquet('%s/pages.parquet')),
+      r(name, rest, rule) AS (VALUES ('com', '/en/', 'com/en/'), ('example.com', '/en/7', 'example.com/en/7'), ('net', '/de/', 'net/de/'), ('example.net', '/de/8', 'example.net/de/8'), ('org', '/es/', 'org/es/'))
+      SELECT page_id, host, path, (SELECT arg_max(rule, length(rule)) FROM r WHERE (p.host = name OR p.host LIKE '%%.' || name) AND starts_with(p.path, rest)) AS rule FROM p ORDER BY page_id""" % sf
+    got = [tuple(r) for r in urls.op7_urls(spark, sf).select("page_id", "host", "path", "rule").orderBy("page_id").collect()]
+    assert got == duckdb.sql(sql).fetchall()
+
+
+def test_url_rules_without_labels(spark):
+    rows = [(i, f"http://a.info/{i}") for i in range(30)]
+    assert {r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()} == {"allow"}
+
+
+def test_url_long_copies(spark):
+    """A long URL that many rows repeat is one item, not 2**40 item sets."""
+    long = "http://x.org/es/" + "/".join(f"p{i}" for i in range(40))
+    rows = [(i, long) for i in range(100)] + [(200 + i, f"http://y{i}.example.com/en/7{i}") for i in range(50)]
+    assert urls.judge(spark.createDataFrame(rows, "page_id long, url string")).filter("verdict = 'block'").count() == 100
 
 
 @pytest.mark.parametrize("segment", [16 << 10, 50])
@@ -265,12 +388,94 @@ def test_scores_edges(spark, corpus, module):
     assert module.score(clashing(spark, []), module.fit(clashing(spark, []), none, never)).count() == 0
 
 
+TOXIC = {"fool": ("I", 3.0), "scum": ("I", 2.0), "hurt": ("V", 3.0), "not": ("N", 0.0), "said": ("R", 0.0), "you": ("Y", 0.0), "will": ("W", 0.0)}
+
+
+def toxic_weight(text, without=()):
+    lexicon = toxicity.Lexicon(dict(TOXIC), {"nast": ("I", 2.0)})
+    return sum(w for w, _ in toxicity.weighed(text, lexicon, toxicity.Machine.of(toxicity.grammar(without))))
+
+
 def test_toxic_grammar():
-    lexicon = toxicity.Lexicon({"fool": ("I", 3.0), "not": ("N", 0.0), "said": ("R", 0.0), "you": ("Y", 0.0), "kill": ("T", 3.0)}, {"nast": ("I", 2.0)})
-    weight = lambda t: sum(w for w, _ in toxicity.clauses(t, lexicon))
-    assert weight("you fool") > weight("a fool") > weight("he said a fool") > 0
-    assert weight("not a fool") < weight("a fool") and weight("not me. a fool") == weight("a fool")
-    assert weight("i kill you") > weight("i kill time") and weight("nastily put") == 2.0 and weight("") == 0
+    w = toxic_weight
+    assert w("you are a fool") > w("a fool") > w("he said a fool") > 0
+    assert w("not a fool") < w("a fool") and w("not me. a fool") == w("a fool") == 3.0
+    assert w("you will see, i will hurt you") > w("i will hurt time") > w("i hurt time") == 1.5
+    assert w("fool you") > w("fool it") and w("scum fool") > w("scum and it. fool")
+    assert w("nastily put") == 2.0 and w("") == w("foolish") == w("o'fool") == 0
+
+
+def test_toxic_ablation():
+    """What each transducer is there for is lost without it, and only that."""
+    changed = {"negation": "not a fool", "reported": "he said a fool", "insult": "you are a fool", "threat": "i will hurt it", "target": "a fool you"}
+    for name, text in changed.items():
+        assert toxic_weight(text, (name,)) != toxic_weight(text)
+    assert all(toxic_weight("a fool", (name,)) == toxic_weight("a fool") for name in toxicity.STEPS)
+
+
+def test_toxic_composition():
+    """The composed machine equals the transducers run one after another."""
+    draw, whole = random.Random(4), toxicity.Machine.of(toxicity.grammar())
+    for _ in range(300):
+        read = [draw.choice("IVWYNRo" + "o" * 3) for _ in range(draw.randint(1, 14))]
+        symbols, weights = list(read), [1.0] * len(read)
+        for step in toxicity.STEPS.values():
+            t = step()
+            state = t.start
+            for i, s in enumerate(symbols):
+                state, symbols[i], w = t.arcs[state, s]
+                weights[i] *= w
+        state, got = 0, []
+        for s in read:
+            arc = state + toxicity.SYMBOLS.index(s)
+            state = whole.to[arc]
+            got.append((whole.wrote[arc], pytest.approx(whole.weight[arc])))
+        assert list(zip(symbols, weights)) == got
+
+
+def test_toxic_classes(spark):
+    """Insults, threat verbs and cues are learned; a copied passage teaches nothing."""
+    draw = random.Random(6)
+    fill = lambda n: " ".join(draw.choice("ba be bi bo bu da de di do du ga ge gi go".split()) + draw.choice("lnrst") for _ in range(n))
+    rows = [(f"{fill(5)} gronk {fill(5)}. {fill(2)} will zappe {fill(1)} you.", 1) for _ in range(60)]
+    rows += [(f"{fill(9)}. quoth gronk.", 0) for _ in range(3)] + [(f"{fill(6)} nay gronk {fill(3)}", 0) for _ in range(12)]
+    rows += [(fill(12), 0) for _ in range(80)] + [("special passage of words that nobody else ever wrote", 1)] * 20
+    df = spark.createDataFrame(rows, "text string, label int")
+    lexicon = toxicity.learn(df, 80, odds=1.5)
+    symbol = {w: s for w, (s, _) in (lexicon.words | lexicon.stems).items()}
+    assert symbol["gronk"] == "I" and symbol["zappe"] == "V" and symbol["nay"] == "N"
+    assert not {"special", "passage", "nobody"} & set(symbol)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_scores_edges_fitted(spark, module):
+    """Nulls, empty and long texts, repeated rows and clashing columns through a fitted model."""
+    column = "quality" if module is quality else "toxic"
+    draw = random.Random(8)
+    good = [(i, f"{prose(i, 60)} {'gronk' if i % 2 else 'calm'} {draw.random()} {prose(900 + i, 5)}") if module is toxicity else (i, prose(i, 80) if i % 2 else " ".join(draw.choice("#$%&*") * 3 for _ in range(90))) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in good] + [(0, 0), (500, 1)], f"doc_id long, {column} int")
+    model = module.fit(clashing(spark, good + good[:3] + [(500, None)]), labels, F.lit(False))
+    odd = [(None, good[1][1]), (700, None), (701, ""), (702, "é" * 200_000), (703, good[1][1]), (703, good[1][1]), (704, "x" * 300_000)]
+    out = module.score(clashing(spark, good + odd), model).collect()
+    assert len(out) == len(good) + len(odd) and all(0 <= r.score <= 1 for r in out)
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, []).append(r.score)
+    assert by[700] == by[701] and len(by[703]) == 2 and len(set(by[703])) == 1 and by[None] == by[1]
+    assert sum((by[i][0] >= 0.5) == (i % 2 == 1) for i, _ in good) >= 90
+
+
+def test_quality_keep_rows(spark):
+    """Rows are judged by their own texts: another text of the same id, and null ids, change nothing."""
+    draw = random.Random(9)
+    junk = lambda: " ".join(draw.choice("#$%&*") * 3 for _ in range(90))
+    rows = [(i, prose(i, 80) if i % 2 else junk()) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    docs = clashing(spark, rows + [(1, junk()), (None, junk()), (None, prose(1, 80))])
+    kept = quality.keep(docs, labels, F.lit(False), threshold=0.5)
+    assert kept.columns == docs.columns
+    texts = [(r.doc_id, r.text[0] in "#$%&*") for r in kept.collect()]
+    assert (1, False) in texts and (1, True) not in texts and (None, True) not in texts and (None, False) in texts
 
 
 def test_pipeline(spark, sf_dir):
@@ -310,12 +515,29 @@ def test_pipeline_edges(spark, corpus, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     for rows in ([], corpus + [(None, "x"), (None, None)] + corpus[:2]):
         docs = clashing(spark, rows)
-        for name, stage in corpus_pipeline.STAGES[1:]:
+        for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
             assert name == "packing" or docs.columns == clashing(spark, []).columns
         docs.count()
 
 
+def test_queries_by_brute_force(spark, sf_dir):
+    """The registered queries of operators without SQL, on a whole small table."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.op1_suffixes(spark, sf_dir).collect()} == brute.removed(rows)
+    prints = {i: brute.fingerprint(t) for i, t in rows}
+    linked = brute.groups(list(prints.items()))
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.op4_simhash(spark, sf_dir).collect()} == {(i, f"{prints[i]:016x}", linked[i]) for i, _ in rows}
+    encoded, at, want = dict(zip((i for i, _ in rows), brute.token_ids([t for _, t in rows]))), 0, []
+    for i in sorted(encoded):
+        ids = [*encoded[i], 2]
+        want.append((i, at, len(ids), brute.crc(ids)))
+        at += len(ids)
+    assert sorted(map(tuple, tokenfile.op5_tokens(spark, sf_dir).collect())) == want
+    for r in packing.op9_packing(spark, sf_dir).collect():
+        assert r.ids_crc32 == brute.crc([*encoded[r.doc_id], 0][r.start : r.start + r.length])
+
+
 def test_long_texts():
     words = prose(11, 90_000)
     raw = memoryview(words.encode())
