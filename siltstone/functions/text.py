@@ -228,11 +228,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def common_prefix_share(a: Column, b: Column) -> Column:
-    """Common first tokens over the longer token list; 1 for two empty ones."""
-    n = F.greatest(F.size(a), F.size(b))
-    same = F.zip_with(F.slice(a, 1, F.least(F.size(a), F.size(b))), F.slice(b, 1, F.least(F.size(a), F.size(b))), lambda x, y: x == y)
-    first = F.array_position(same, False)
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.when(first == 0, F.size(same)).otherwise(first - 1) / n)
+    """The characters that two texts have in common at their start, over the length of the shorter one; 0
+    where that is empty. The length is found by bisection on equal heads, so it costs a few comparisons."""
+    n = F.least(F.length(a), F.length(b))
+    step = lambda s, half: F.when(F.substr(a, F.lit(1), s + half) == F.substr(b, F.lit(1), s + half), s + half).otherwise(s)
+    halves = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: (F.lit(float(1 << 30)) / F.pow(F.lit(2.0), i)).cast("int"))
+    found = F.aggregate(halves, F.lit(0), lambda s, half: F.when(s + half <= n, step(s, half)).otherwise(s))
+    return F.when(n > 0, found / n).otherwise(F.lit(0.0))
 
 
 def diversity(tokens: Column) -> Column:
@@ -251,6 +253,7 @@ def character_grams(text: Column, n: int = 4) -> Column:
 
 def synthetic_variant(text: Column, selector: Column, stop: str = " ।") -> Column:
     """The struct (text, method) of one of three deterministic variants."""
+    # The names of the methods.
     own, end = words(text), r"[।?!.,]+$"
     at = selector % F.greatest(F.size(own) - 1, F.lit(1))
     joined = F.array_join(F.concat(F.slice(own, 1, at.cast("int")), F.array(F.concat(F.get(own, at.cast("int")), F.get(own, (at + 1).cast("int")))), F.slice(own, (at + 3).cast("int"), F.size(own))), " ")
@@ -262,31 +265,34 @@ def synthetic_variant(text: Column, selector: Column, stop: str = " ।") -> Col
     )
 
 
+def _noisy(units: list[str], family: str, severity: float, draw: random.Random) -> str:
+    """Exactly max(1, round(severity * graphemes with a letter or mark)) edits, as far as there are places for them."""
+    letters = [i for i, u in enumerate(units) if regex.search(r"[\p{L}\p{M}]", u)]
+    wanted = max(1, round(len(letters) * severity)) if letters and severity > 0 else 0
+    if family == "deletion":
+        places = set(draw.sample(letters, min(wanted, len(letters))))
+        return "".join(u for i, u in enumerate(units) if i not in places).strip() if wanted else "".join(units)
+    if family == "swap":
+        known, places = set(letters), set()
+        for i in draw.sample(letters, len(letters)):
+            if len(places) < 2 * wanted and i + 1 in known and not {i, i + 1} & places:
+                places |= {i, i + 1}
+                units[i : i + 2] = units[i + 1], units[i]
+    elif family == "whitespace":  # at a gap between two graphemes: a blank is taken out, or put in where there is none
+        for i in sorted(draw.sample(range(1, len(units)), min(wanted, len(units) - 1)) if wanted else [], reverse=True):
+            blank = next((k for k in (i - 1, i) if units[k].isspace()), None)
+            units[i if blank is None else blank : i if blank is None else blank + 1] = [" "] if blank is None else []
+    else:
+        raise ValueError(f"unknown family {family}")
+    return "".join(units).strip() if wanted else "".join(units)
+
+
 def perturbed(text: Column, family: Column, severity: Column, seed: Column) -> Column:
-    """Grapheme deletion, neighbour swap or white-space noise, drawn from the seed; same seed, same text."""
+    """Grapheme deletion, swaps of neighbours or white-space noise, drawn from the seed; same seed, same text."""
 
     @F.pandas_udf(StringType())
     def run(text: pd.Series, family: pd.Series, severity: pd.Series, seed: pd.Series) -> pd.Series:
-        out = []
-        for t, f, s, k in zip(text, family, severity, seed):
-            if t is None:
-                out.append(None)
-                continue
-            units, draw = regex.findall(r"\X", t), random.Random(int(k))
-            if f == "deletion":
-                units = [u for u in units if u.isspace() or draw.random() >= s] or units[:1]
-            elif f == "swap":
-                i = 0
-                while i + 1 < len(units):
-                    if not units[i].isspace() and not units[i + 1].isspace() and draw.random() < s:
-                        units[i], units[i + 1] = units[i + 1], units[i]
-                        i += 1
-                    i += 1
-            elif f == "whitespace":
-                units = [v for u in units for v in (([] if draw.random() < s else [u]) if u.isspace() else ([u, " "] if draw.random() < s / 4 else [u]))]
-            else:
-                raise ValueError(f"unknown family {f}")
-            out.append("".join(units))
-        return pd.Series(out)
+        rows = zip(text, family, severity, seed)
+        return pd.Series([None if t is None else _noisy(regex.findall(r"\X", t), f, s, random.Random(int(k))) for t, f, s, k in rows], dtype="object")
 
     return run(text, family, severity, seed)

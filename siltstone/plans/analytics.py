@@ -47,22 +47,11 @@ def corpus_diagnostics(read):
     return g.agg(F.sum("n").alias("rows"), F.count("*").alias("unique_texts"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("rows_in_groups"), F.count_if(F.col("s") > 1).alias("cross_label_texts"), F.sum(F.when(F.col("s") > 1, F.col("n"))).alias("cross_label_rows"))
 
 
-@query("""WITH k AS (SELECT DISTINCT lang, md5(text) AS t FROM documents), l AS (SELECT DISTINCT source, md5(text) AS t FROM documents WHERE source IN ('src0', 'src1', 'src2'))
-SELECT a.source AS a, b.source AS b, count(*) AS overlap FROM l a JOIN l b ON a.t = b.t AND a.source < b.source GROUP BY ALL""")
-def pairwise_overlap(read):
-    """Texts shared by pairs of src0, src1 and src2, as its SQL has them; whole_pairwise_overlap has all sources."""
-    return _overlaps(read("documents").filter(F.col("source").isin("src0", "src1", "src2")))
-
-
 @query("""WITH l AS (SELECT DISTINCT source, md5(text) AS t FROM documents)
 SELECT a.source AS a, b.source AS b, count(*) AS overlap FROM l a JOIN l b ON a.t = b.t AND a.source < b.source GROUP BY ALL""")
-def whole_pairwise_overlap(read):
-    """Texts shared by pairs of sources, each pair once."""
-    return _overlaps(read("documents"))
-
-
-def _overlaps(d):
-    l = d.select("source", F.md5("text").alias("t")).distinct()
+def pairwise_overlap(read):
+    """Texts shared by pairs of sources, each pair once: a text has one row for a source, whatever its copies."""
+    l = read("documents").select("source", F.md5("text").alias("t")).distinct()
     return l.select(F.col("source").alias("a"), "t").join(l.select(F.col("source").alias("b"), "t"), "t").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"))
 
 
@@ -183,20 +172,10 @@ def contingency(read):
     return e.groupBy("label", F.col("position").cast("long").alias("position")).agg(F.round(F.sum(F.col("v").cast("double")), 4).alias("total"))
 
 
-@query("""SELECT event_type, round(sum(value) / greatest(1, count(*)), 6) AS nll, round(exp(least(20.0, sum(value) / count(*))), 2) AS perplexity FROM events WHERE value < 15 GROUP BY event_type""")
-def loss_ratios(read):
-    """Ratios of sums and their exponential, bounded, of values below 15, as its SQL has them; whole_loss_ratios has all."""
-    return _loss_ratios(read("events").filter("value < 15"))
-
-
 @query("""SELECT event_type, round(sum(value) / greatest(1, count(*)), 6) AS nll, round(exp(least(20.0, sum(value) / count(*))), 2) AS perplexity FROM events GROUP BY event_type""")
-def whole_loss_ratios(read):
-    """Ratios of sums and their exponential, bounded."""
-    return _loss_ratios(read("events"))
-
-
-def _loss_ratios(events):
-    e = events.groupBy("event_type").agg((F.sum("value") / F.greatest(F.lit(1), F.count("*"))).alias("m"))
+def loss_ratios(read):
+    """Ratios of sums of all losses and their exponential, bounded."""
+    e = read("events").groupBy("event_type").agg((F.sum("value") / F.greatest(F.lit(1), F.count("*"))).alias("m"))
     return e.select("event_type", r6("m").alias("nll"), F.round(F.exp(F.least(F.lit(20.0), "m")), 2).alias("perplexity"))
 
 

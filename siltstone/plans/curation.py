@@ -44,23 +44,15 @@ def reason(text="text"):
     return Q.document_reason(F.col(text), F.lit(1.0), SCRIPT, 200, 20_000, 0.5, 0.8)
 
 
-@query(rf"""WITH {GATE_SQL}, b AS (SELECT trim(regexp_replace(text, '\s+', ' ', 'g')) AS p FROM benchmark WHERE length(trim(regexp_replace(text, '\s+', ' ', 'g'))) >= 20),
-h AS (SELECT DISTINCT doc_id FROM gate JOIN b ON contains(clean, p) WHERE reason IS NULL),
-s AS (SELECT gate.*, coalesce(reason, CASE WHEN h.doc_id IS NOT NULL THEN 'protected_text' END, 'accepted') AS outcome, sha256(CAST(gate.doc_id AS VARCHAR)) AS m FROM gate LEFT JOIN h ON gate.doc_id = h.doc_id)
-SELECT lang, outcome, CASE WHEN (('0x' || substr(m, 1, 8))::UBIGINT::HUGEINT * 4294967296 + ('0x' || substr(m, 9, 8))::UBIGINT::HUGEINT) % 1000 < 100 THEN 'validation' ELSE 'train' END AS split, count(*) AS n FROM s GROUP BY ALL""")
+@query(rf"""WITH {GATE_SQL}, b AS (SELECT trim(regexp_replace(text, '\s+', ' ', 'g')) AS p, COMPACT AS c FROM benchmark),
+h AS (SELECT DISTINCT doc_id FROM gate JOIN b ON length(p) >= 20 AND contains(clean, p) WHERE reason IS NULL),
+k AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, COMPACT AS t FROM gate WHERE reason IS NULL AND doc_id NOT IN (SELECT doc_id FROM h)) JOIN b ON length(c) >= 20 AND contains(t, c)),
+s AS (SELECT gate.*, CASE WHEN reason IS NOT NULL THEN reason WHEN h.doc_id IS NOT NULL THEN 'protected_text' WHEN k.doc_id IS NOT NULL THEN 'protected_compact_text' ELSE 'accepted' END AS outcome, sha256(CAST(gate.doc_id AS VARCHAR)) AS m
+  FROM gate LEFT JOIN h ON gate.doc_id = h.doc_id LEFT JOIN k ON gate.doc_id = k.doc_id)
+SELECT lang, outcome, CASE WHEN (('0x' || substr(m, 1, 8))::UBIGINT::HUGEINT * 4294967296 + ('0x' || substr(m, 9, 8))::UBIGINT::HUGEINT) % 1000 < 100 THEN 'validation' ELSE 'train' END AS split, count(*) AS n FROM s GROUP BY ALL""".replace("COMPACT", r"regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g')"))
 def corpus_gate_report(read):
-    """Documents by label, outcome of gate and direct decontamination, and hash split; whole_gate_report adds the compact one."""
-    docs = read("documents").select("doc_id", "lang", reason().alias("reason"), T.collapse(F.coalesce("text", F.lit(""))).alias("clean"))
-    protected = read("benchmark").select("item_id", T.collapse(F.col("text")).alias("p"))
-    out = D.with_contained(docs, protected, "doc_id", "clean", "item_id", "p")
-    outcome = F.coalesce("reason", F.when(F.size("hits") > 0, "protected_text"), F.lit("accepted"))
-    return out.groupBy("lang", outcome.alias("outcome"), K.per_mille_split(F.col("doc_id"), 100).alias("split")).agg(F.count("*").alias("n"))
-
-
-@query()
-def whole_gate_report(read):
-    """corpus_gate_report with a second outcome: documents that hold a protected text of at least 20 letters
-    and numbers once both are compacted. Case folding after NFC is beyond SQL."""
+    """Documents by label, outcome and hash split: the gate's first failing rule; else a protected text of 20 letters
+    or more held as it is, white space collapsed; else one held once both are compacted (case folded letters and numbers)."""
     docs = read("documents").select("doc_id", "lang", "text", reason().alias("reason"), T.collapse(F.coalesce("text", F.lit(""))).alias("clean"))
     protected = read("benchmark").select("item_id", T.collapse(F.col("text")).alias("p"), T.compact_alnum(F.col("text")).alias("c"))
     direct = D.with_contained(docs, protected, "doc_id", "clean", "item_id", "p").withColumnRenamed("hits", "direct")
@@ -137,26 +129,28 @@ def exact_dedup(read):
     return D.keep_first(d, ["k"], [F.col("prio"), F.col("doc_id")]).select("doc_id")
 
 
-CONFLICT_SQL = f"""p0 AS (SELECT doc_id, lang, substr(text, 1, 20) AS s, substr(text, 21, 20) AS t, {PRIORITY_SQL} AS prio, {SPLIT_SQL} AS split FROM documents),
+CONFLICT_SQL = rf"""p0 AS (SELECT doc_id, lang, regexp_extract(text, '^\S*') AS s, md5(substr(text, 1 + length(regexp_extract(text, '^\S*')))) AS t, {PRIORITY_SQL} AS prio, {SPLIT_SQL} AS split FROM documents),
 bst AS (SELECT lang, s, min(prio) AS b FROM p0 GROUP BY ALL), ag AS (SELECT p0.lang, p0.s, min(t) AS lo, max(t) AS hi FROM p0 JOIN bst ON p0.lang = bst.lang AND p0.s = bst.s AND prio = b GROUP BY ALL),
 res AS (SELECT p0.*, CASE WHEN lo <> hi THEN 'source_maps_multiple_targets_at_best_priority' WHEN t <> lo THEN 'conflicting_lower_priority_target' END AS reason FROM p0 JOIN ag ON p0.lang = ag.lang AND p0.s = ag.s)"""
 
 
-def _pairs20(read):
-    return read("documents").select("doc_id", "lang", F.substr("text", F.lit(1), F.lit(20)).alias("s"), F.substr("text", F.lit(21), F.lit(20)).alias("t"), priority().alias("prio"), split().alias("split"))
+def _split_texts(read):
+    """Whole texts as pairs: the first word stands for the source, a digest of all the rest for the target."""
+    head = F.regexp_extract("text", r"^\S*", 0)
+    return read("documents").select("doc_id", "lang", head.alias("s"), F.md5(F.substr("text", F.length(head) + 1)).alias("t"), priority().alias("prio"), split().alias("split"))
 
 
 @query(f"WITH {CONFLICT_SQL} SELECT doc_id, reason FROM res WHERE reason IS NOT NULL")
 def pair_conflicts(read):
-    """Rejected rows of sources that map to several targets (text heads stand for sources, what follows for targets)."""
-    return D.resolve_conflicts(_pairs20(read), "prio", ["lang", "s"], "t").filter("reason is not null").select("doc_id", "reason")
+    """Rejected rows of sources that map to several targets (first words stand for sources, the rests of the texts for targets)."""
+    return D.resolve_conflicts(_split_texts(read), "prio", ["lang", "s"], "t").filter("reason is not null").select("doc_id", "reason")
 
 
 @query(f"""WITH {CONFLICT_SQL}, w AS (SELECT *, first_value(doc_id) OVER (PARTITION BY lang, s, t ORDER BY prio, {RANK_SQL}, doc_id) AS winner_id FROM res WHERE reason IS NULL)
 SELECT doc_id, winner_id FROM w WHERE doc_id <> winner_id""")
 def pair_duplicates(read):
     """Losers of exact pair deduplication with the row that stays."""
-    p = D.resolve_conflicts(_pairs20(read), "prio", ["lang", "s"], "t").filter("reason is null").withColumn("rk", rank())
+    p = D.resolve_conflicts(_split_texts(read), "prio", ["lang", "s"], "t").filter("reason is null").withColumn("rk", rank())
     return D.drop_duplicates_logged(p, ["lang", "s", "t"], ["prio", "rk"], "doc_id").filter("not is_winner").select("doc_id", "winner_id")
 
 
@@ -222,9 +216,6 @@ def character_gram_sets(read):
     return b.select("item_id", F.size(T.character_grams(F.col("c"))).cast("long").alias("grams"))
 
 
-COMPONENT_SQL = """r AS (SELECT o_orderkey AS id, 'c' || o_custkey % 997 AS a, CASE WHEN o_orderkey % 7 = 0 THEN 'd' || o_totalprice END AS b, o_orderkey % 50 = 0 AS blocked FROM orders)"""
-
-
 @query("""WITH d AS (SELECT doc_id AS id, md5(text) AS a, md5(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS b FROM documents),
 ga AS (SELECT a, min(id) AS m FROM d GROUP BY a), gb AS (SELECT b, min(id) AS m FROM d GROUP BY b)
 SELECT id, gb.m AS component FROM d JOIN gb USING (b)""")
@@ -234,27 +225,13 @@ def text_components(read):
     return C.connected(d, "id", ["a", "b"])
 
 
-def _order_links(read):
-    return read("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") * 1000 + F.col("l_linenumber")).alias("k"))
-
-
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS u, l_suppkey * 1000 + l_linenumber AS k FROM lineitem WHERE l_orderkey % 101 = 0 AND l_linenumber > 5),
-n AS (SELECT DISTINCT u FROM e), p AS (SELECT DISTINCT x.u AS a, y.u AS b FROM e x JOIN e y USING (k)),
-w(u, v) AS (SELECT u, u FROM n UNION SELECT w.u, p.b FROM w JOIN p ON p.a = w.v)
-SELECT u AS id, min(v) AS component FROM w GROUP BY u""")
+@query()
 def order_components(read):
-    """A part of the orders (every 101st key, line numbers above 5) linked by supplier and line number, as small as the
-    recursive SQL needs it. whole_order_components links all of them."""
-    e = _order_links(read).filter("id % 101 = 0 and line > 5")
+    """All orders linked by supplier and line number. Recursive SQL is too slow for the whole table; tests use union-find."""
+    e = read("lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") * 1000 + F.col("l_linenumber")).alias("k"))
     return C.connected(e, "id", ["k"])
 
 
-@query()
-def whole_order_components(read):
-    """All orders linked by supplier and line number. Recursive SQL is too slow for the whole table."""
-    return C.connected(_order_links(read), "id", ["k"])
-
-
 @query("""WITH k AS (SELECT doc_id, lang, source, md5(text) AS a, SPLIT AS split FROM documents), c AS (SELECT *, min(doc_id) OVER (PARTITION BY a) AS component FROM k)
 SELECT component, count(*) AS row_count, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(DISTINCT lang) AS langs, bool_or(split = 'train') AS contains_train, bool_or(split <> 'train') AS contains_protected FROM c GROUP BY component""".replace("SPLIT AS", SPLIT_SQL + " AS"))
 def component_table(read):
@@ -319,9 +296,9 @@ def tokenizer_manifest(read):
     return D.keep_first(free, ["k"], [-F.col("weight"), F.col("doc_id")]).select("doc_id")
 
 
-@query(f"""WITH {PAIRS_SQL}, c AS (SELECT substr(source, 1, 8) AS s, target FROM pairs) SELECT s AS source_key, count(*) AS n, count(DISTINCT target) > 1 AS conflict FROM c GROUP BY s""")
+@query(f"""WITH {PAIRS_SQL}, c AS (SELECT source AS s, target FROM pairs) SELECT s AS source_key, count(*) AS n, count(DISTINCT target) > 1 AS conflict FROM c GROUP BY s""")
 def mapping_conflicts(read):
-    p = pairs(read).select(F.substr("source", F.lit(1), F.lit(8)).alias("source_key"), "target")
+    p = pairs(read).select(F.col("source").alias("source_key"), "target")
     return p.groupBy("source_key").agg(F.count("*").alias("n"), (F.min("target") != F.max("target")).alias("conflict"))
 
 

@@ -180,7 +180,10 @@ def logit_divergence(read):
     return read("embeddings").filter("embedding is not null").select("vec_id", F.round(M.symmetric_kl(part(1), part(6)), 5).alias("kl"))
 
 
-@query()
+@query("""WITH l AS (SELECT label, list_transform(embedding[1:10], lambda x: exp(x::DOUBLE)) AS a, list_transform(embedding[11:20], lambda x: exp(x::DOUBLE)) AS b FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT label, list_transform(a, lambda x: x / list_sum(a)) AS p, list_transform(b, lambda x: x / list_sum(b)) AS q FROM l),
+g AS (SELECT label, w, list_transform(range(1, 11), lambda i: w * p[i] + (1 - w) * q[i]) AS m FROM s, (SELECT unnest(range(0, 11)) / 10::DOUBLE AS w))
+SELECT w, avg((list_position(m, list_max(m)) - 1 = label)::INT) AS accuracy FROM g GROUP BY w""")
 def weight_grid(read):
     """Blend weights of the grid with the accuracy of each, best first (the grid is 11 rows)."""
     e = read("embeddings").filter("embedding is not null").select("label", *[M.softmax(F.transform(F.slice("embedding", a, 10), lambda x: x.cast("double"))).alias(n) for a, n in ((1, "p"), (11, "q"))])
@@ -212,11 +215,11 @@ def shifted_edit_rate(read):
     return p.groupBy("turn").agg(F.count("*").alias("n"), (100 * F.sum(F.get("s", F.lit(0))) / F.sum(F.get("s", F.lit(1)))).alias("ter"))
 
 
-@query(rf"""WITH {PAIRS_SQL} SELECT turn, count(*) AS n, round(sum(levenshtein(regexp_replace(substr(target, 1, 60), '[^\x00-\x7F]', '?', 'g'), regexp_replace(substr(source, 1, 60), '[^\x00-\x7F]', '?', 'g'))) / sum(length(substr(source, 1, 60))), 6) AS head_distance FROM pairs GROUP BY turn""")
-def head_distance(read):
-    """Edit distance of the first 60 characters over their number (heads are the feature), other signs than ASCII being equal."""
-    a, b = (F.regexp_replace(F.substr(c, F.lit(1), F.lit(60)), r"[^\x00-\x7F]", "?") for c in ("target", "source"))
-    return pairs(read).groupBy("turn").agg(F.count("*").alias("n"), r6(F.sum(F.levenshtein(a, b)) / F.sum(F.length(b))).alias("head_distance"))
+@query(r"""WITH PAIRS SELECT turn, count(*) AS n, round(sum(levenshtein(regexp_replace(target, '[^\x00-\x7F]', '?', 'g'), regexp_replace(source, '[^\x00-\x7F]', '?', 'g'))) / sum(length(source)), 6) AS text_distance FROM pairs GROUP BY turn""".replace("PAIRS", PAIRS_SQL, 1))
+def text_distance(read):
+    """Edit distance of whole texts over their length by turn, other signs than ASCII being equal."""
+    a, b = (F.regexp_replace(F.col(c), r"[^\x00-\x7F]", "?") for c in ("target", "source"))
+    return dealt_pairs(read).groupBy("turn").agg(F.count("*").alias("n"), r6(F.sum(F.levenshtein(a, b)) / F.sum(F.length(b))).alias("text_distance"))
 
 
 @query()

@@ -153,14 +153,14 @@ def text_numbers_preserved(read):
     return p.select("conv_id", "turn", F.size(T.numbers(F.col("source"))).cast("long").alias("n_numbers"), T.numbers_preserved(F.col("target"), F.col("source")).alias("preserved"))
 
 
-@query(rf"""WITH {PAIRS_SQL}, w AS (SELECT conv_id, turn, list_filter(string_split_regex(source, '\s+'), lambda x: x <> '') AS a, list_filter(string_split_regex(target, '\s+'), lambda x: x <> '') AS b FROM pairs),
-u AS (SELECT *, len(list_distinct(list_concat(a, b))) AS u, len(list_distinct(list_intersect(a, b))) AS i, least(len(a), len(b)) AS m FROM w),
-p AS (SELECT *, list_position(list_transform(range(1, m + 1), lambda k: a[k] = b[k]), false) AS p FROM u)
-SELECT conv_id, turn, round(CASE WHEN u > 0 THEN i / u ELSE 1 END, 6) AS jaccard, round(CASE WHEN p IS NULL OR p = 0 THEN m ELSE p - 1 END / greatest(len(a), len(b)), 6) AS prefix_share, round(len(list_distinct(a)) / len(a), 6) AS diversity FROM p""")
+@query(rf"""WITH {PAIRS_SQL}, w AS (SELECT conv_id, turn, source, target, list_filter(string_split_regex(source, '\s+'), lambda x: x <> '') AS a, list_filter(string_split_regex(target, '\s+'), lambda x: x <> '') AS b FROM pairs),
+u AS (SELECT *, len(list_distinct(list_concat(a, b))) AS u, len(list_distinct(list_intersect(a, b))) AS i, least(length(source), length(target)) AS m FROM w),
+p AS (SELECT *, list_position(list_transform(range(1, m + 1), lambda k: substr(source, k, 1) = substr(target, k, 1)), false) AS p FROM u)
+SELECT conv_id, turn, round(CASE WHEN u > 0 THEN i / u ELSE 1 END, 6) AS jaccard, round(CASE WHEN m = 0 THEN 0 WHEN p IS NULL OR p = 0 THEN m ELSE p - 1 END / greatest(m, 1), 6) AS prefix_share, round(len(list_distinct(a)) / len(a), 6) AS diversity FROM p""")
 def text_pair_similarity(read):
     p = pairs(read).withColumn("a", T.words(F.col("source"))).withColumn("b", T.words(F.col("target")))
     a, b = F.col("a"), F.col("b")
-    return p.select("conv_id", "turn", F.round(T.jaccard(a, b), 6).alias("jaccard"), F.round(T.common_prefix_share(a, b), 6).alias("prefix_share"), F.round(T.diversity(a), 6).alias("diversity"))
+    return p.select("conv_id", "turn", F.round(T.jaccard(a, b), 6).alias("jaccard"), F.round(T.common_prefix_share(F.col("source"), F.col("target")), 6).alias("prefix_share"), F.round(T.diversity(a), 6).alias("diversity"))
 
 
 @query(r"""WITH s AS (SELECT item_id, text, item_id AS k, string_split_regex(trim(text), '\s+') AS w FROM benchmark)

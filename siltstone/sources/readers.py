@@ -10,6 +10,7 @@ import csv
 import hashlib
 import io
 import json
+import posixpath
 import re
 import zipfile
 from xml.etree import ElementTree
@@ -90,6 +91,15 @@ def one_member(names: list[str], suffix: str) -> str:
     return found[0]
 
 
+def _first_sheet(book: zipfile.ZipFile) -> str:
+    """The part that holds the workbook's first sheet, by its relationship; file numbers tell nothing of the order."""
+    sheet = next(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"))
+    wanted = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
+    links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
+    target = next(x.get("Target") for x in links if x.get("Id") == wanted)
+    return target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+
+
 def sheet_rows(payload: bytes) -> list[dict[str, str]]:
     """The first sheet of a workbook: shared and inline strings, booleans, short rows padded, blank
     headers named by place."""
@@ -97,7 +107,7 @@ def sheet_rows(payload: bytes) -> list[dict[str, str]]:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
-        first = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))[0]
+        first = _first_sheet(book)
         table = []
         for row in ElementTree.fromstring(book.read(first)).iter(f"{_SHEET}row"):
             cells: dict[int, str] = {}

@@ -10,6 +10,6 @@ def test_gate_finds_compacted_texts(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "src0") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, secret), (2, "Tiny, secret")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {}
-    for r in registry.QUERIES["whole_gate_report"](spark, str(tmp_path)).collect():
+    for r in registry.QUERIES["corpus_gate_report"](spark, str(tmp_path)).collect():
         got[r.outcome] = got.get(r.outcome, 0) + r.n
     assert got == {"protected_text": 1, "protected_compact_text": 1, "accepted": 2}

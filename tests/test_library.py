@@ -232,7 +232,11 @@ def workbook():
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Name</t></si><si><t>x</t></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>Full-Text</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="B2" t="b"><v>1</v></c></row></sheetData></worksheet>')
+        # the first sheet is the second file
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="b" sheetId="2" r:id="rId7"/><sheet name="a" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId7" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>Full-Text</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="B2" t="b"><v>1</v></c></row></sheetData></worksheet>')
     return out.getvalue()
 
 
@@ -310,12 +314,36 @@ def test_streaming_gate_equals_batch(spark, sf_dir, tmp_path):
 def test_pair_features(spark):
     from siltstone.operators import models
 
-    x = one(spark, a="the cat 1", b="the dog!", c="the cat 1").select(models.pair_features(F.col("a"), F.col("b"), F.col("c"), F.array(F.lit(2.0), F.lit(1.0), F.lit(1.0)))).first()[0]
-    named = dict(zip(models.PAIR_FEATURES, x))
-    assert len(models.PAIR_FEATURES) == 36 and len(x) == 39 and x[-3:] == [0.5, 0.25, 0.25]
-    assert named["source_characters"] == 9 and named["neural_words"] == 2 and named["source_rewrite_sequence_similarity"] == 1
-    assert (named["neural_equals_source"], named["rewrite_equals_source"], named["neural_punctuation"], named["source_digits"]) == (0, 1, 1, 1)
-    assert named["max_probability"] == 0.5 and named["margin"] == 0.25
+    views = {"a": F.col("a"), "b": F.col("b"), "c": F.col("c")}
+    x = one(spark, a="the cat 1", b="the dog!", c="the cat 1").select(models.pair_features(views, F.array(F.lit(2.0), F.lit(1.0), F.lit(1.0))).alias("x")).first().x
+    assert x["length.a"] == 9 and x["word_count.b"] == 2 and x["marks.b"] == 1 and x["number_signs.a"] == 1
+    assert (x["same.a.b"], x["same.a.c"], x["matched.a.c"], x["shared_start.a.b"]) == (0, 1, 1, 0.5)
+    assert (x["lead_share"], x["lead"], list(x["shares"])) == (0.5, 0.25, [0.5, 0.25, 0.25]) and 0 < x["evenness"] < 1
+    assert set(one(spark, a="x").select(models.pair_features({"a": F.col("a")}).alias("x")).first().x.asDict()) == {f"{m}.a" for m in models.VIEW_MEASURES}
+
+
+def test_common_prefix(spark):
+    rows = [("abc", "abd", 2 / 3), ("", "x", 0.0), ("same", "same and more", 1.0), ("x" * 70_000 + "a", "x" * 70_000 + "b", 70_000 / 70_001), ("a", "b", 0.0)]
+    got = spark.createDataFrame(rows, "a string, b string, s double").select(F.abs(T.common_prefix_share(F.col("a"), F.col("b")) - F.col("s")).alias("d")).collect()
+    assert all(r.d < 1e-12 for r in got)
+
+
+def test_perturbed_counts(spark):
+    """Each family makes max(1, round(n x severity)) edits, also in a short text."""
+    import regex
+
+    text = "Some words of a longer text, in which letters are moved about"
+    n = len(regex.findall(r"\p{L}", text))
+    rows = [(t, f, s, k) for t in (text, "ab") for f in ("deletion", "swap", "whitespace") for s in (0.01, 0.1, 0.3) for k in range(5)]
+    got = spark.createDataFrame(rows, "t string, f string, s double, k long").select("t", "f", "s", T.perturbed(F.col("t"), F.col("f"), F.col("s"), F.col("k")).alias("x")).collect()
+    for r in got:
+        wanted = max(1, round((n if r.t == text else 2) * r.s))
+        if r.f == "deletion":
+            assert len(regex.findall(r"\p{L}", r.x)) == (n if r.t == text else 2) - wanted
+        if r.f == "swap":
+            assert sorted(r.x) == sorted(r.t) and (r.x != r.t or r.t == text) and sum(a != b for a, b in zip(r.x, r.t)) <= 2 * wanted
+        if r.f == "whitespace":
+            assert r.x.replace(" ", "") == r.t.replace(" ", "") and r.x != r.t and abs(len(r.x) - len(r.t)) <= wanted
 
 
 def test_component_ids_and_running_totals(spark):

@@ -19,5 +19,5 @@ def test_group_weights_use_great_losses(spark, tmp_path):
 
 def test_loss_ratios_use_great_losses(spark, tmp_path):
     d = events(spark, tmp_path, [(0, "a", 1.0), (1, "a", 19.0), (2, "b", 50.0)])
-    got = {r.event_type: (r.nll, r.perplexity) for r in registry.QUERIES["whole_loss_ratios"](spark, d).collect()}
+    got = {r.event_type: (r.nll, r.perplexity) for r in registry.QUERIES["loss_ratios"](spark, d).collect()}
     assert got == {"a": (10.0, round(math.exp(10), 2)), "b": (50.0, round(math.exp(20), 2))}

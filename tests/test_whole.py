@@ -74,4 +74,4 @@ def test_text_queries_read_whole_texts(spark, tmp_path):
     assert r.cer == plain_distance(target, source) / len(source) and r.wer == plain_distance(target.split(), source.split()) / 100
     assert abs(registry.QUERIES["shifted_edit_rate"](spark, d).first().ter - plain_shifts(target.split(), source.split())) < 1e-9 and r.wer > 0
     x = registry.QUERIES["pair_features"](spark, d).first().features
-    assert x[:6] == [len(source), len(target), len(target), 100, 100, 100]
+    assert [x[f"{m}.{v}"] for m in ("length", "word_count") for v in ("question", "answer", "upper")] == [len(source), len(target), len(target), 100, 100, 100]
