@@ -110,55 +110,67 @@ def planted(entries: DataFrame, turn: Rotations, size: int, longest: float, tree
     return entries.select("entry", "v").mapInArrow(run, "tree int, string string, entry long")
 
 
-def leaves(strings: DataFrame, leaf: int, depth: int) -> tuple[DataFrame, int]:
-    """(tree, prefix, entry) with each entry's leaf in each tree, and the longest prefix's length."""
-    done, open_ = None, strings
+def leaves(strings: DataFrame, leaf: int, depth: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, prefix, entry) with each entry's leaf in each tree, and the inner nodes of each level."""
+    done, open_, inner = None, strings, []
     for level in range(1, depth + 1):
         at = open_.withColumn("prefix", F.substring("string", 1, level))
-        counts = at.groupBy("tree", "prefix").count().filter(F.col("count") > leaf).drop("count")
-        large = None if level == depth else written(counts, "forest-nodes")
-        small = at.select("tree", "prefix", "entry") if large is None else at.join(large, ["tree", "prefix"], "left_anti").select("tree", "prefix", "entry")
+        large = written(at.groupBy("tree", "prefix").count().filter(F.col("count") > (leaf if level < depth else float("inf"))).drop("count"), "forest-nodes")
+        small = at.join(large, ["tree", "prefix"], "left_anti").select("tree", "prefix", "entry")
         done = small if done is None else done.union(small)
-        if large is None or large.isEmpty():
-            return written(done, "forest-leaves"), level
+        if large.isEmpty():
+            break
+        inner.append(large)
         open_ = written(at.join(large, ["tree", "prefix"], "left_semi").select("tree", "string", "entry"), "forest-open")
-    raise ValueError("depth: at least 1")
+    return written(done, "forest-leaves"), inner
+
+
+def descended(strings: DataFrame, inner: list[DataFrame]) -> DataFrame:
+    """Rows with the place at which their (tree, string) leaves the inner nodes: its prefix and level."""
+    done, open_ = None, strings
+    for level in range(1, len(inner) + 2):
+        at = open_.withColumn("prefix", F.substring("string", 1, level))
+        ended = at if level > len(inner) else at.join(inner[level - 1], ["tree", "prefix"], "left_anti")
+        ended = ended.select(*strings.columns, "prefix", F.lit(level).alias("level"))
+        done = ended if done is None else done.union(ended)
+        if level <= len(inner):
+            open_ = written(at.join(inner[level - 1], ["tree", "prefix"], "left_semi").select(*strings.columns), "forest-descent")
+    return done
 
 
-def probes_of(queries: DataFrame, turn: Rotations, size: int, longest: float, trees: int, levels: int, probes: int) -> DataFrame:
-    """(q, tree, step, string): a query's own string (step 0) and those with one symbol replaced, the
-    last symbol first."""
+def asking(queries: DataFrame, turn: Rotations, size: int, longest: float, trees: int, levels: int, probes: int) -> DataFrame:
+    """(q, tree, string, close): a query's own string and, of each of its symbols, the closest axes."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                x, q = lifted(matrix(part.column("v"), size), longest, True), part.column("entry").to_numpy()
+                x, q = lifted(matrix(part.column("v"), size), longest, True), part.column("entry")
                 for t in range(trees):
                     close = [np.argsort(-turn.closeness(x, t, level), axis=1, kind="stable")[:, :probes] for level in range(levels)]
-                    own = np.stack([c[:, 0] for c in close], axis=1)
-                    steps = [(0, own)]
-                    for level in reversed(range(levels)):
-                        for rank in range(1, close[level].shape[1]):
-                            other = own.copy()
-                            other[:, level] = close[level][:, rank]
-                            steps.append((len(steps), other))
-                    for step, symbols in steps:
-                        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), t, np.int32)), pa.array(np.full(len(q), step, np.int32)), pa.array(strings_of(symbols))], ["q", "tree", "step", "string"])
-
-    return queries.select("entry", "v").mapInArrow(run, "q long, tree int, step int, string string")
-
-
-def reached(asked: DataFrame, sizes: DataFrame, levels: int, pool: int) -> DataFrame:
-    """(q, tree, prefix) of the leaves that queries come to: each string's longest-prefix match, step by
-    step in all trees together until the leaves of the steps before hold `pool` rows."""
-    lengths = F.sequence(F.lit(1), F.lit(levels))
-    each = asked.select("q", "tree", "step", F.explode(F.transform(lengths, lambda n: F.substring("string", F.lit(1), n))).alias("prefix"))
-    matched = each.join(sizes, ["tree", "prefix"]).groupBy("q", "tree", "prefix").agg(F.min("step").alias("step"), F.first("rows").alias("rows"))
-    steps = matched.groupBy("q", "step").agg(F.sum("rows").alias("rows"))
+                    each = [strings_of(c) for c in close]
+                    yield pa.RecordBatch.from_arrays([q, pa.array(np.full(len(x), t, np.int32)), pa.array(strings_of(np.stack([c[:, 0] for c in close], axis=1))), pa.array([list(c) for c in zip(*each)], pa.list_(pa.string()))], ["q", "tree", "string", "close"])
+
+    return queries.select("entry", "v").mapInArrow(run, "q long, tree int, string string, close array<string>")
+
+
+def reached(asked: DataFrame, inner: list[DataFrame], sizes: DataFrame, pool: int) -> DataFrame:
+    """(q, tree, prefix) of the leaves that queries come to: the leaf of each one's own string and of
+    those with one symbol up to that leaf's replaced, step by step in all trees together, until the
+    leaves of the steps before hold `pool` rows. Step 0 is the own leaf; then the last symbol comes first."""
+    levels = len(inner) + 1
+    own = written(descended(asked, inner), "forest-own")
+    rank = F.explode(F.sequence(F.lit(2), F.length(F.col("close")[0]))).alias("rank")
+    ways = own.filter(F.length(F.col("close")[0]) > 1).select("q", "tree", "string", "close", "level", rank).select("*", F.explode(F.sequence(F.lit(1), "level")).alias("at"))
+    other = F.concat(F.substring("string", F.lit(1), F.col("at") - 1), F.substring(F.get("close", F.col("at") - 1), F.col("rank"), F.lit(1)), F.substring("string", F.col("at") + 1, F.lit(levels)))
+    step = (levels - F.col("at")) * F.length(F.col("close")[0]) + F.col("rank")
+    others = descended(ways.select("q", "tree", other.alias("string"), step.alias("step")), inner)
+    columns = ["q", "tree", "prefix", "step"]
+    both = own.withColumn("step", F.lit(0)).select(columns).union(others.select(columns))
+    matched = written(both.join(sizes, ["tree", "prefix"]).groupBy("q", "tree", "prefix").agg(F.min("step").alias("step"), F.first("rows").alias("rows")), "forest-matched")
     before = Window.partitionBy("q").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    taken = steps.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).filter(F.col("before") < pool).select("q", "step")
-    return matched.join(taken, ["q", "step"]).select("q", "tree", "prefix")
+    steps = matched.groupBy("q", "step").agg(F.sum("rows").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    return matched.join(steps.filter(F.col("before") < pool).select("q", "step"), ["q", "step"]).select("q", "tree", "prefix")
 
 
 def scored(placed: DataFrame, entries: DataFrame, wanted: DataFrame, queries: DataFrame, sizes: DataFrame, size: int, k: int, leaf: int, batch: int) -> DataFrame:
@@ -210,10 +222,11 @@ def search(vectors: DataFrame, query: object, k: int = 20, trees: int = 10, prob
     queries = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select("entry", "v")
     turn = Rotations(size + 1, seed)
     strings = written(planted(entries, turn, size, longest, trees, depth), "forest-strings")
-    placed, levels = leaves(strings, leaf, depth)
+    placed, inner = leaves(strings, leaf, depth)
     discard(strings)
     sizes = written(placed.groupBy("tree", "prefix").agg(F.count("*").alias("rows")), "forest-sizes")
-    wanted = written(reached(probes_of(queries, turn, size, longest, trees, levels, probes), sizes, levels, pool), "forest-wanted")
+    asks = asking(queries, turn, size, longest, trees, len(inner) + 1, probes)
+    wanted = written(reached(asks, inner, sizes, pool), "forest-wanted")
     found = scored(placed, entries, wanted, queries, sizes, size, k, leaf, batch)
     best = found.groupBy("q", "entry").agg(F.max("score").alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "entry")
