@@ -7,6 +7,8 @@ differently when a task is repeated.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +79,7 @@ def kappa(pairs: DataFrame, a: str, b: str, quadratic: bool = False, by: list[st
 
 
 def mutual_information(counts: DataFrame, a: str, b: str, n: str) -> DataFrame:
-    """(nmi): mutual information over the mean of both entropies; 0 if either is constant."""
+    """(nmi): mutual information over the geometric mean of both entropies; 0 if either is constant."""
     total = counts.agg(F.sum(n).alias("t"))
     pa = counts.groupBy(a).agg(F.sum(n).alias("na"))
     pb = counts.groupBy(b).agg(F.sum(n).alias("nb"))
@@ -85,4 +87,61 @@ def mutual_information(counts: DataFrame, a: str, b: str, n: str) -> DataFrame:
     mi = j.agg(F.sum(F.col(n) / F.col("t") * F.log(F.col(n) * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi"))
     h = lambda df, c, name: df.crossJoin(F.broadcast(total)).agg(F.sum(-F.col(c) / F.col("t") * F.log(F.col(c) / F.col("t"))).alias(name))
     m = mi.crossJoin(h(pa, "na", "ha")).crossJoin(h(pb, "nb", "hb"))
-    return m.select(F.when((F.col("ha") > 0) & (F.col("hb") > 0), 2 * F.col("mi") / (F.col("ha") + F.col("hb"))).otherwise(F.lit(0.0)).alias("nmi"))
+    return m.select(F.when((F.col("ha") > 0) & (F.col("hb") > 0), F.col("mi") / F.sqrt(F.col("ha") * F.col("hb"))).otherwise(F.lit(0.0)).alias("nmi"))
+
+
+def specialization(counts: DataFrame, a: str, b: str, n: str) -> DataFrame:
+    """How far the labels a differ in their use of b: (nmi, divergence, purity, load_cv, load_entropy).
+
+    divergence is the mean Jensen-Shannon divergence (base 2) of pairs of labels, purity the share of
+    each b's most frequent label, load_cv the coefficient of variation of the b and load_entropy
+    their entropy over its bound. Rows are cells of a table of labels, not data.
+    """
+    cells = counts.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.sum(n).cast("double").alias("n"))
+    rows, columns = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy("b").agg(F.sum("n").alias("nb"), F.max("n").alias("most"))
+    grid = rows.crossJoin(F.broadcast(columns.select("b"))).join(cells, ["a", "b"], "left").select("a", "b", (F.coalesce("n", F.lit(0.0)) / F.col("na")).alias("p"))
+    x, y = grid.toDF("a", "b", "p"), grid.toDF("c", "b", "q")
+    term = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
+    mid = (F.col("p") + F.col("q")) / 2
+    pairs = x.join(y, "b").filter("a < c").groupBy("a", "c").agg(F.sum((term(F.col("p"), mid) + term(F.col("q"), mid)) / 2).alias("d"))
+    load = columns.crossJoin(F.broadcast(columns.agg(F.sum("nb").alias("t")))).withColumn("s", F.col("nb") / F.col("t"))
+    loads = load.agg((F.sum("most") / F.max("t")).alias("purity"), (F.stddev_pop("nb") / F.avg("nb")).alias("load_cv"), F.when(F.count("*") > 1, -F.sum(F.col("s") * F.log("s")) / F.log(F.count("*"))).alias("load_entropy"))
+    return mutual_information(cells, "a", "b", "n").crossJoin(F.broadcast(pairs.agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("divergence")))).crossJoin(F.broadcast(loads))
+
+
+def table_nmi(table: np.ndarray) -> float:
+    joint = table / table.sum()
+    a, b = joint.sum(axis=1), joint.sum(axis=0)
+    full = joint > 0
+    entropies = [-(m[m > 0] * np.log(m[m > 0])).sum() for m in (a, b)]
+    if min(entropies) <= 0:
+        return 0.0
+    return float((joint[full] * np.log(joint[full] / np.outer(a, b)[full])).sum() / np.sqrt(entropies[0] * entropies[1]))
+
+
+def permuted_tables(table: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n tables as permuting the labels of single rows would give them: both margins stay, and each line
+    is a multivariate hypergeometric draw from what the lines before left."""
+    draw, left = np.random.default_rng(seed), np.repeat(table.sum(axis=0)[None, :], n, axis=0)
+    out = np.zeros((n, *table.shape), np.int64)
+    for i, size in enumerate(table.sum(axis=1)):
+        for k in range(n):
+            out[k, i] = draw.multivariate_hypergeometric(left[k], int(size), method="marginals")
+        left = left - out[:, i]
+    return out
+
+
+def label_permutation(rows: DataFrame, label: str, item: str, source: str, n: int = 200, seed: int = 29) -> DataFrame:
+    """(nmi, null_mean, null_p95, p_value, conditional_nmi, replicates): the normalized mutual information of
+    label and item, against permutations of the labels, with its add-one p-value; and its mean within
+    sources, weighted by their rows. Rows are counted in Spark; the table of counts is one row of a task."""
+    cells = rows.groupBy(F.col(source).cast("string").alias("source"), F.col(label).cast("string").alias("a"), F.col(item).cast("string").alias("b")).agg(F.count("*").alias("n"))
+
+    def run(frame):
+        whole = frame.pivot_table(index="a", columns="b", values="n", aggfunc="sum", fill_value=0).to_numpy().astype(np.int64)
+        observed, null = table_nmi(whole), np.array([table_nmi(t) for t in permuted_tables(whole, n, seed)])
+        parts = [(g["n"].sum(), table_nmi(g.pivot_table(index="a", columns="b", values="n", aggfunc="sum", fill_value=0).to_numpy())) for _, g in frame.groupby("source")]
+        within = sum(w * x for w, x in parts) / sum(w for w, _ in parts)
+        return pd.DataFrame([(observed, null.mean(), np.quantile(null, 0.95), (1 + (null >= observed - 1e-12).sum()) / (n + 1), within, n)], columns=["nmi", "null_mean", "null_p95", "p_value", "conditional_nmi", "replicates"])
+
+    return cells.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "nmi double, null_mean double, null_p95 double, p_value double, conditional_nmi double, replicates long")

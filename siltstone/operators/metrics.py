@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,30 @@ def softmax(logits: Column, temperature: float = 1.0) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
 
 
+def scaled_loss(logits: Column, label: Column, temperature: float) -> Column:
+    """The negative log likelihood of the label under the softmax of logits / temperature."""
+    z = F.transform(logits, lambda x: x / temperature)
+    top = F.array_max(z)
+    return top + F.log(F.aggregate(z, F.lit(0.0), lambda a, y: a + F.exp(y - top))) - F.get(z, label)
+
+
+def fit_temperature(df: DataFrame, logits: str, label: str, low: float = -4.0, high: float = 4.0, points: int = 17, rounds: int = 6) -> tuple[float, float]:
+    """The temperature exp(x), x in [low, high], of least mean loss of the labels, and that loss. Each round is
+    one pass that takes the loss at `points` places; the next looks between the neighbours of the best. The
+    loss has one minimum, so none is passed by."""
+    rows = df.filter(F.col(logits).isNotNull() & F.col(label).isNotNull())
+    for _ in range(rounds):
+        step = (high - low) / (points - 1)
+        places = [low + i * step for i in range(points)]
+        losses = [F.avg(scaled_loss(F.col(logits), F.col(label), math.exp(x))).alias(f"l{i}") for i, x in enumerate(places)]
+        found = rows.agg(*losses).first()
+        if found[0] is None:
+            raise ValueError("no rows to fit on")
+        best = min(range(points), key=lambda i: found[i])
+        low, high = places[max(0, best - 1)], places[min(points - 1, best + 1)]
+    return math.exp(places[best]), found[best]
+
+
 def tempered(probabilities: Column, temperature: float) -> Column:
     """Probabilities to the power 1/T, renormalized."""
     return softmax(F.transform(probabilities, lambda p: F.log(F.greatest(p, F.lit(1e-12)))), temperature)

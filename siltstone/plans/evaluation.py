@@ -252,12 +252,44 @@ def rater_kappa(read):
 
 
 @query("""WITH n AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*)::DOUBLE AS n FROM orders GROUP BY ALL), t AS (SELECT sum(n) AS t FROM n), a AS (SELECT a, sum(n) AS na FROM n GROUP BY a), b AS (SELECT b, sum(n) AS nb FROM n GROUP BY b)
-SELECT round(2 * (SELECT sum(n / t * ln(n * t / (na * nb))) FROM n JOIN a USING (a) JOIN b USING (b), t) / ((SELECT sum(-na / t * ln(na / t)) FROM a, t) + (SELECT sum(-nb / t * ln(nb / t)) FROM b, t)), 8) AS nmi""")
+SELECT round((SELECT sum(n / t * ln(n * t / (na * nb))) FROM n JOIN a USING (a) JOIN b USING (b), t) / sqrt((SELECT sum(-na / t * ln(na / t)) FROM a, t) * (SELECT sum(-nb / t * ln(nb / t)) FROM b, t)), 8) AS nmi""")
 def mutual_information(read):
     n = read("orders").groupBy(F.col("o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b")).agg(F.count("*").cast("double").alias("n"))
     return I.mutual_information(n, "a", "b", "n").select(F.round("nmi", 8).alias("nmi"))
 
 
+@query("""WITH n AS (SELECT lang AS a, source AS b, count(*)::DOUBLE AS n FROM documents GROUP BY ALL), a AS (SELECT a, sum(n) AS na FROM n GROUP BY a), b AS (SELECT b, sum(n) AS nb, max(n) AS most FROM n GROUP BY b), t AS (SELECT sum(n) AS t, count(DISTINCT b) AS k FROM n),
+g AS (SELECT a.a, b.b, coalesce(n, 0) / na AS p FROM a CROSS JOIN b LEFT JOIN n ON n.a = a.a AND n.b = b.b),
+j AS (SELECT x.a, y.a AS c, sum(CASE WHEN x.p > 0 THEN x.p * log2(2 * x.p / (x.p + y.p)) ELSE 0 END + CASE WHEN y.p > 0 THEN y.p * log2(2 * y.p / (x.p + y.p)) ELSE 0 END) / 2 AS d FROM g x JOIN g y ON x.b = y.b AND x.a < y.a GROUP BY ALL)
+SELECT round((SELECT sum(n / t * ln(n * t / (na * nb))) FROM n JOIN a USING (a) JOIN b USING (b), t) / sqrt((SELECT sum(-na / t * ln(na / t)) FROM a, t) * (SELECT sum(-nb / t * ln(nb / t)) FROM b, t)), 6) AS nmi,
+  round((SELECT avg(d) FROM j), 6) AS divergence, round((SELECT sum(most) / any_value(t) FROM b, t), 6) AS purity, round((SELECT stddev_pop(nb) / avg(nb) FROM b), 6) AS load_cv, round((SELECT sum(-nb / t * ln(nb / t)) / ln(any_value(k)) FROM b, t), 6) AS load_entropy""")
+def label_specialization(read):
+    """How far languages differ in their sources."""
+    n = read("documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return I.specialization(n, "lang", "source", "n").select(*[r6(c).alias(c) for c in ("nmi", "divergence", "purity", "load_cv", "load_entropy")])
+
+
+@query()
+def temperature_fit(read):
+    """The temperature at which the first ten coordinates as logits give the labels their least mean loss; a search
+    is beyond SQL, a test compares with a fine grid."""
+    e = read("embeddings").filter("embedding is not null").select(F.col("label").cast("int").alias("label"), F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("logits"))
+    fitted, loss = M.fit_temperature(e, "logits", "label")
+    return e.sparkSession.createDataFrame([(fitted, loss)], "temperature double, loss double").select(F.round("temperature", 3).alias("temperature"), r6("loss").alias("loss"))
+
+
+@query("""WITH q(lang, quota) AS (VALUES ('de', 600000), ('en', 800000), ('es', 200000), ('fr', 400000)), t AS (SELECT lang, CAST(sum(n_chars) AS BIGINT) AS t FROM documents GROUP BY lang),
+e AS (SELECT lang, quota, quota // t AS whole, quota % t AS rest FROM q JOIN t USING (lang)),
+o AS (SELECT lang, quota, whole, rest, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY lang ORDER BY substr(sha256('3' || chr(31) || CAST(whole AS VARCHAR) || chr(31) || CAST(doc_id AS VARCHAR)), 1, 12), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents JOIN e USING (lang))
+SELECT lang, CAST(quota AS BIGINT) AS quota, CAST(whole + (rest > 0)::INT AS BIGINT) AS epochs, CAST(sum(whole + (before < rest)::INT) AS BIGINT) AS n_rows, CAST(sum(n_chars * (whole + (before < rest)::INT)) AS BIGINT) AS tokens FROM o GROUP BY ALL""")
+def token_mixture(read):
+    """Documents drawn by language until token quotas are full (characters stand for tokens), in a new order each epoch."""
+    d = read("documents").select("doc_id", "lang", F.col("n_chars").cast("long").alias("tokens"))
+    drawn = S.token_mixture(d, "lang", "doc_id", "tokens", {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}, 2_000_000, 3)
+    report = drawn.groupBy("lang", "quota").agg((F.max("epoch") + 1).alias("epochs"), F.count("*").alias("n_rows"), F.sum("tokens").alias("tokens"))
+    return report.select("lang", "quota", "epochs", "n_rows", "tokens")
+
+
 @query("""WITH m AS (SELECT o_orderstatus AS variant, o_custkey % 3 AS seed, avg(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY ALL) SELECT variant, count(*) AS seeds, round(avg(v), 3) AS mean, round(stddev_samp(v), 3) AS std, row_number() OVER (ORDER BY avg(v) DESC) AS place FROM m GROUP BY variant""")
 def leaderboard(read):
     m = read("orders").groupBy(F.col("o_orderstatus").alias("variant"), (F.col("o_custkey") % 3).alias("seed")).agg(F.avg("o_totalprice").alias("v"))

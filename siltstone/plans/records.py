@@ -143,16 +143,6 @@ def provenance_roles(read):
 
 @query()
 def permutation_null(read):
-    """Mutual information of status and priority against relabelled replicates: p by add-one."""
-    o = read("orders").select("o_orderkey", F.col("o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b"))
-    # Relabelling by a hash of (replicate, group of rows) keeps the table small: counts by 64 groups.
-    n = o.groupBy("a", "b", F.pmod(F.xxhash64("o_orderkey"), F.lit(64)).alias("g")).agg(F.count("*").alias("n"))
-    rep = I.replicates(n, 50)
-    shift = F.pmod(F.xxhash64("replicate", "g"), F.lit(3))
-    kinds = F.array(F.lit("F"), F.lit("O"), F.lit("P"))
-    moved = rep.withColumn("a2", F.get(kinds, F.pmod(F.array_position(kinds, F.col("a")) - 1 + shift, F.lit(3)).cast("int")))
-    cells = moved.groupBy("replicate", "a2", "b").agg(F.sum("n").alias("n"))
-    w = lambda *c: Window.partitionBy("replicate", *c)
-    x = cells.withColumn("na", F.sum("n").over(w("a2"))).withColumn("nb", F.sum("n").over(w("b"))).withColumn("t", F.sum("n").over(w()))
-    null = x.groupBy("replicate").agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi"))
-    return null.agg(F.count("*").alias("replicates"), F.percentile("mi", F.lit(0.95)).alias("p95"))
+    """Normalized mutual information of status and priority against permuted statuses, and within customers' nations."""
+    o = read("orders").join(read("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    return I.label_permutation(o, "o_orderstatus", "o_orderpriority", "c_nationkey", 200)
