@@ -6,15 +6,17 @@ stages but the last return the columns of their input. A stage works on everythi
 predecessor kept.
 
 1. quality: the compression classifier, fitted on the labelled rows; rows scored below 0.7 go.
-2. near_duplicates: SimHash groups at 4 bits; the row of the smallest id of each group stays.
+2. near_duplicates: SimHash groups at 4 bits; one row of each group stays, of the smallest id.
 3. repeats: bytes of strings of 100 bytes that also start earlier are cut out of the texts.
 4. decontamination: documents with a word in twenty inside benchmark windows go.
 5. packing: token ids packed into sequences of at most 1024.
 
 Defined cases: null texts pass as empty ones through the scores and stay null where they are not
-cut; rows with a null id are never near duplicates of one another's and stay; repeated rows are
-treated alike in every stage; empty tables pass through; columns beside doc_id and text are
-carried along (n_chars follows the text where it is cut).
+cut; every row is judged by its own text, so rows that share an id, repeated rows and rows with a
+null id are treated like others (near duplicates keep one row of a group, null ids last; repeats
+cut nothing out of texts with a null id, which have no place in the order); empty tables pass
+through; very long texts are worked on whole; columns beside doc_id and text are carried along
+(n_chars follows the text where it is cut).
 """
 
 from __future__ import annotations

@@ -61,10 +61,11 @@ def inherit_split(df: DataFrame, known: DataFrame, key: str, fallback: Column, r
     return df.join(best, key, "left").withColumn("split", F.coalesce(F.col("_s.split"), fallback)).drop("_s")
 
 
-def with_contained(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str, pattern_id: str, pattern_col: str, least: int = 20, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+def with_contained(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str, pattern_id: str, pattern_col: str, least: int = 20, max_broadcast_bytes: int = 4 << 20) -> DataFrame:
     """docs with `hits`: the sorted ids of patterns of at least `least` characters that occur in a text.
 
-    Patterns of up to max_broadcast_bytes in all become one automaton that every task runs over its
+    Patterns of up to max_broadcast_bytes in all (an automaton takes some fifty bytes for each of theirs in
+    every worker) become one automaton that every task runs over its
     texts: a column, without a join. More are joined by shuffle on their first `least` characters,
     see _contained_by_join; ids of documents are then expected to be unique.
     """
@@ -95,7 +96,7 @@ def with_contained(docs: DataFrame, patterns: DataFrame, id_col: str, text_col:
     return docs.withColumn("hits", run(F.col(text_col)))
 
 
-def contained(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str, pattern_id: str, pattern_col: str, least: int = 20, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+def contained(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str, pattern_id: str, pattern_col: str, least: int = 20, max_broadcast_bytes: int = 4 << 20) -> DataFrame:
     """(doc id, pattern id) of patterns of at least `least` characters that occur in a text."""
     found = with_contained(docs.select(id_col, text_col), patterns, id_col, text_col, pattern_id, pattern_col, least, max_broadcast_bytes)
     return found.select(id_col, F.explode("hits").alias(pattern_id)).distinct()
