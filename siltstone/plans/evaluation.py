@@ -339,3 +339,34 @@ def tf_idf(read):
 def group_dro(read):
     """Group weights after each block of events in order; batch means are bounded by the operator, no event is left out."""
     return R.dro_weights(read("events"), "event_type", "value", "event_id", block=500)
+
+
+@query("""WITH d AS (SELECT doc_id, lang, CAST(substr(source, 4) AS INTEGER) % 3 = 0 AS made FROM documents), n AS (SELECT lang, count(*) FILTER (NOT made) AS r, count(*) FILTER (made) AS m, least(60, count(*)) AS t FROM d GROUP BY lang),
+q AS (SELECT lang, t, least(r, t - least(CAST(round_even(t * CASE WHEN r < 50 THEN 0.35 ELSE 0.2 END, 0) AS BIGINT), m)) AS reals FROM n),
+o AS (SELECT d.*, t, reals, row_number() OVER (PARTITION BY lang, made ORDER BY sha256('19' || chr(31) || CAST(doc_id AS VARCHAR))) AS r FROM d JOIN q USING (lang))
+SELECT lang, doc_id FROM o WHERE r <= CASE WHEN made THEN t - reals ELSE reals END""")
+def capped_sample(read):
+    """60 rows of each language, synthetic ones a fifth at most where there are real ones enough."""
+    d = read("documents").select("doc_id", "lang", (F.substr("source", F.lit(4)).cast("int") % 3 == 0).alias("made"))
+    cap = lambda real: F.when(real < 50, 0.35).otherwise(0.2)
+    return S.capped_sample(d, "lang", "made", K.stable_hash(19, F.col("doc_id")), 60, cap).select("lang", "doc_id")
+
+
+@query("""WITH c AS (SELECT doc_id, lang, md5(lower(text)) AS k, sha256('23' || chr(31) || CAST(doc_id AS VARCHAR)) AS h FROM documents WHERE text IS NOT NULL),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY h) AS r FROM c WHERE k NOT IN (SELECT md5(text) FROM documents WHERE text IS NOT NULL)) WHERE r = 1)
+SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY h) AS r FROM f) WHERE r <= 40""")
+def fresh_variants(read):
+    """40 lower-cased variants of each language by hash order that no text equals, each text once."""
+    d = read("documents")
+    variants = d.select("doc_id", "lang", F.md5(F.lower("text")).alias("k"))
+    return S.fresh_rows(variants, d.select(F.md5("text").alias("k")), "k", ["lang"], K.stable_hash(23, F.col("doc_id")), 40).select("lang", "doc_id")
+
+
+@query("""WITH t AS (SELECT CAST(sum(n_chars) AS BIGINT) AS t FROM documents), e AS (SELECT doc_id, n_chars, epoch, t FROM documents, t, LATERAL (SELECT unnest(range(0, CAST(ceil(6000640 / t) AS BIGINT))) AS epoch)),
+o AS (SELECT *, epoch * t + coalesce(sum(n_chars) OVER (PARTITION BY epoch ORDER BY substr(sha256('31' || chr(31) || CAST(epoch AS VARCHAR) || chr(31) || CAST(doc_id AS VARCHAR)), 1, 12) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e)
+SELECT CAST(epoch AS BIGINT) AS epoch, count(*) AS n, CAST(sum(least(n_chars, 6000640 - start)) AS BIGINT) AS used, CAST(min(start // 1024) AS BIGINT) AS first_block, CAST(max((start + least(n_chars, 6000640 - start) - 1) // 1024) AS BIGINT) AS last_block
+FROM o WHERE least(n_chars, 6000640 - start) > 0 GROUP BY epoch""")
+def epoch_packing(read):
+    """Documents end to end in a new order each epoch, until 6,000,000 tokens (characters stand for them) fill their blocks of 1024."""
+    out = S.epoch_blocks(read("documents"), "doc_id", "n_chars", 6_000_000, 1024, 31)
+    return out.groupBy("epoch").agg(F.count("*").alias("n"), F.sum("used").alias("used"), F.min("first_block").alias("first_block"), F.max("last_block").alias("last_block"))

@@ -61,3 +61,30 @@ def test_token_mixture(spark):
         whole = quota // total[part]
         assert all(sum(r.epoch == e for r in own) == 30 for e in range(whole))
     assert not [r for r in got if r.part == "c"]
+
+
+def test_capped_sample_refills(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "a", i % 2 == 0) for i in range(100)] + [(200 + i, "b", i >= 4) for i in range(40)] + [(300 + i, "c", True) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, l string, m boolean")
+    got = S.capped_sample(df, "l", "m", F.sha2(F.col("id").cast("string"), 256), 20, lambda real: F.lit(0.2)).groupBy("l").agg(F.count_if(~F.col("m")).alias("r"), F.count_if("m").alias("s")).collect()
+    assert {r.l: (r.r, r.s) for r in got} == {"a": (16, 4), "b": (4, 16), "c": (0, 5)}
+
+
+def test_fresh_rows(spark):
+    from pyspark.sql import functions as F
+
+    c = spark.createDataFrame([(1, "g", "x"), (2, "g", "x"), (3, "g", "y"), (4, "g", None), (5, "g", "z")], "id long, g string, k string")
+    got = S.fresh_rows(c, spark.createDataFrame([("y",), (None,)], "k string"), "k", ["g"], F.col("id"), 5).collect()
+    assert sorted((r.id, r.k) for r in got) == [(1, "x"), (5, "z")]
+
+
+def test_epoch_blocks(spark):
+    df = spark.createDataFrame([(i, 10 + i) for i in range(7)], "id long, n long")
+    rows = sorted(S.epoch_blocks(df, "id", "n", 250, 32, 1).collect(), key=lambda r: r.start)
+    assert sum(r.used for r in rows) == 256 and rows[-1].last_block == 7
+    assert all(a.start + a.used == b.start for a, b in zip(rows, rows[1:]))
+    orders = [[r.id for r in rows if r.epoch == e] for e in (0, 1)]
+    assert sorted(orders[0]) == sorted(orders[1]) == list(range(7)) and orders[0] != orders[1]
+    assert S.epoch_blocks(df.filter("id > 9"), "id", "n", 250, 32, 1).count() == 0
