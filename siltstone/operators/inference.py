@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.keys import stable_hash, unit_interval
+from siltstone.functions.keys import hex_number, stable_hash, unit_interval
 
 
 def replicates(groups: DataFrame, n: int) -> DataFrame:
@@ -145,3 +145,14 @@ def label_permutation(rows: DataFrame, label: str, item: str, source: str, n: in
         return pd.DataFrame([(observed, null.mean(), np.quantile(null, 0.95), (1 + (null >= observed - 1e-12).sum()) / (n + 1), within, n)], columns=["nmi", "null_mean", "null_p95", "p_value", "conditional_nmi", "replicates"])
 
     return cells.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "nmi double, null_mean double, null_p95 double, p_value double, conditional_nmi double, replicates long")
+
+
+def stratified_resample(groups: DataFrame, stratum: str, group: str, n: int, seed: int) -> DataFrame:
+    """n replicates of a table of groups (rows of sufficient statistics): in each, every stratum draws as many
+    of its groups as it has, with replacement. A draw is a hash of seed, replicate, stratum and place."""
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(group)) - 1
+    placed = groups.withColumn("_at", place.cast("long"))
+    sizes = placed.groupBy(stratum).agg(F.count("*").alias("_n"))
+    draws = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    pick = F.pmod(hex_number(stable_hash(seed, F.col("replicate"), F.col(stratum), F.col("_j"))), F.col("_n").cast("decimal(20,0)")).cast("long")
+    return draws.select(stratum, "replicate", pick.alias("_at")).join(placed, [stratum, "_at"]).drop("_at")

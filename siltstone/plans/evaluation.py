@@ -370,3 +370,16 @@ def epoch_packing(read):
     """Documents end to end in a new order each epoch, until 6,000,000 tokens (characters stand for them) fill their blocks of 1024."""
     out = S.epoch_blocks(read("documents"), "doc_id", "n_chars", 6_000_000, 1024, 31)
     return out.groupBy("epoch").agg(F.count("*").alias("n"), F.sum("used").alias("used"), F.min("first_block").alias("first_block"), F.max("last_block").alias("last_block"))
+
+
+@query("""WITH g AS (SELECT lang, source, sum(quality) AS hit, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS at FROM g), z AS (SELECT lang, count(*) AS m FROM p GROUP BY lang),
+d AS (SELECT lang, m, r, j, sha256('37' || chr(31) || CAST(r AS VARCHAR) || chr(31) || lang || chr(31) || CAST(j AS VARCHAR)) AS h FROM z, LATERAL (SELECT unnest(range(1, 101)) AS r), LATERAL (SELECT unnest(range(0, m)) AS j)),
+k AS (SELECT lang, r, CAST((('0x' || substr(h, 1, 8))::UBIGINT::HUGEINT * 4294967296 + ('0x' || substr(h, 9, 8))::UBIGINT::HUGEINT) % m AS BIGINT) AS at FROM d),
+x AS (SELECT k.lang, r, sum(hit) / sum(n) AS ratio FROM k JOIN p ON k.lang = p.lang AND k.at = p.at GROUP BY ALL)
+SELECT lang, round(quantile_cont(ratio, 0.025), 6) AS low, round(quantile_cont(ratio, 0.975), 6) AS high FROM x GROUP BY lang""")
+def stratified_interval(read):
+    """Percentile interval of quality by language: sources are drawn within their language, 100 replicates."""
+    d = read("documents").select("doc_id", "source", "lang").join(read("labels"), "doc_id")
+    stats = d.groupBy("lang", "source").agg(F.sum("quality").alias("hit"), F.count("*").alias("n"))
+    drawn = I.stratified_resample(stats, "lang", "source", 100, 37).groupBy("lang", "replicate").agg((F.sum("hit") / F.sum("n")).alias("ratio"))
+    return drawn.groupBy("lang").agg(r6(F.percentile("ratio", F.lit(0.025))).alias("low"), r6(F.percentile("ratio", F.lit(0.975))).alias("high"))

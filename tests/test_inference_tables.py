@@ -88,3 +88,13 @@ def test_epoch_blocks(spark):
     orders = [[r.id for r in rows if r.epoch == e] for e in (0, 1)]
     assert sorted(orders[0]) == sorted(orders[1]) == list(range(7)) and orders[0] != orders[1]
     assert S.epoch_blocks(df.filter("id > 9"), "id", "n", 250, 32, 1).count() == 0
+
+
+def test_stratified_resample(spark):
+    df = spark.createDataFrame([("a", f"g{i}", i) for i in range(6)] + [("b", "h", 9)], "s string, g string, v long")
+    rows = I.stratified_resample(df, "s", "g", 40, 2).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.s, r.replicate] = sizes.get((r.s, r.replicate), 0) + 1
+    assert len(sizes) == 80 and all(n == (6 if s == "a" else 1) for (s, _), n in sizes.items())
+    assert {r.v for r in rows if r.s == "a"} == set(range(6)) and len({tuple(sorted(r.v for r in rows if r.s == "a" and r.replicate == k)) for k in range(1, 41)}) > 20
