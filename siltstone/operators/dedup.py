@@ -9,6 +9,7 @@ feature.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -118,24 +119,30 @@ def near_matches(query: DataFrame, reference: DataFrame, shortest: int = 20, ham
     character n-grams are candidates, kept by length ratio, Hamming distance and finally the exact
     Jaccard similarity of the n-gram sets; ties go to the lowest shared band, then the ordinal.
     Bands lose pairs beyond distance 3 on purpose: that is the operator's definition.
+
+    Each distinct text is searched once, however many rows have it, and a band is joined with a
+    class of lengths: a step between classes is wider than the ratio, so texts that it allows are
+    in the same class or in neighbouring ones and no candidate is lost.
     """
     refs = reference.filter("compact <> ''")
     exact = query.filter("compact <> ''").join(refs.groupBy("compact").agg(F.min(F.struct("ordinal", "row_id")).alias("m")), "compact").select("row_id", F.col("m.row_id").alias("match_id"), F.lit(1.0).alias("score"), F.lit("compact_exact").alias("kind"))
-    # Fingerprints are written: both sides read them, and they are the costly part.
     sides = query.select("row_id", "compact", "ordinal", F.lit(True).alias("asks")).join(exact.select("row_id"), "row_id", "left_anti").unionByName(refs.select("row_id", "compact", "ordinal", F.lit(False).alias("asks")))
-    prints = written(fingerprints(sides.filter(F.length("compact") >= shortest), size), "fingerprints")
-    banded = prints.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: _band(F.col("fp"), b))).alias("band", "value"))
-    left = banded.filter("asks").drop("compact")
-    right = banded.filter("not asks").select(F.col("row_id").alias("match_id"), F.col("size").alias("size2"), F.col("fp").alias("fp2"), F.col("ordinal").alias("ordinal2"), "band", "value")
+    # Fingerprints are written: both sides read them, and they are the costly part.
+    prints = written(fingerprints(sides.filter(F.length("compact") >= shortest), size).withColumn("text", F.sha2("compact", 256)), "fingerprints")
+    step = math.log(1.01 / ratio)
+    distinct = prints.groupBy("asks", "text", "size", "fp").agg(F.min(F.struct("ordinal", "row_id")).alias("first")).withColumn("span", F.floor(F.log("size") / step))
+    banded = distinct.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: _band(F.col("fp"), b))).alias("band", "value"))
+    left = banded.filter("asks").drop("asks")
+    right = banded.filter("not asks").select(F.col("size").alias("size2"), F.col("fp").alias("fp2"), F.col("first").alias("first2"), F.explode(F.sequence(F.col("span") - 1, F.col("span") + 1)).alias("span"), "band", "value")
     short, long = F.least("size", "size2"), F.greatest("size", "size2")
-    pairs = left.join(right, ["band", "value"]).filter((short / long >= ratio) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= hamming))
-    first = pairs.groupBy("row_id", "match_id").agg(F.min("band").alias("band"), F.min("ordinal2").alias("ordinal2"))
+    pairs = left.join(right, ["band", "value", "span"]).filter((short / long >= ratio) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= hamming))
+    lowest = pairs.groupBy("text", F.col("first.row_id").alias("row_id"), F.col("first2.row_id").alias("match_id")).agg(F.min("band").alias("band"), F.min("first2.ordinal").alias("ordinal"))
     # Texts are joined in only for the pairs that are left.
-    grams = lambda asks, key, name: prints.filter(asks).select(F.col("row_id").alias(key), F.col("compact").alias(name))
-    texts = first.join(grams("asks", "row_id", "compact"), "row_id").join(grams("not asks", "match_id", "other"), "match_id")
-    scored = texts.withColumn("score", T.jaccard(T.character_grams(F.col("compact"), size), T.character_grams(F.col("other"), size))).filter(F.col("score") >= jaccard)
-    best = scored.groupBy("row_id").agg(F.min(F.struct(-F.col("score"), "band", "ordinal2", "match_id")).alias("m"))
-    near = best.select("row_id", F.col("m.match_id").alias("match_id"), (-F.col("m.col1")).alias("score"), F.lit("simhash_jaccard").alias("kind"))
+    side = lambda asks, key, name: prints.filter(asks).select(F.col("row_id").alias(key), F.col("compact").alias(name))
+    both = lowest.join(side("asks", "row_id", "compact"), "row_id").join(side("not asks", "match_id", "other"), "match_id")
+    scored = both.withColumn("score", T.jaccard(T.character_grams(F.col("compact"), size), T.character_grams(F.col("other"), size))).filter(F.col("score") >= jaccard)
+    best = scored.groupBy("text").agg(F.min(F.struct(-F.col("score"), "band", "ordinal", "match_id")).alias("m"))
+    near = prints.filter("asks").select("row_id", "text").join(best, "text").select("row_id", F.col("m.match_id").alias("match_id"), (-F.col("m.col1")).alias("score"), F.lit("simhash_jaccard").alias("kind"))
     return exact.unionByName(near)
 
 

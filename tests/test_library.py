@@ -363,3 +363,40 @@ def test_shifted_edits(spark):
     rows = [("a b c d", "a b c d", 0), ("c d a b", "a b c d", 1), ("x y", "a b c", 3), ("", "a", 1), ("b c d e a", "a b c d e", 1)]
     got = [r[0] for r in spark.createDataFrame(rows, "h string, r string, n long").select((F.get(M.shift_statistics("h", "r"), F.lit(0)) == F.col("n")).alias("ok")).collect()]
     assert got == [True] * 5
+
+
+def test_near_matches_by_brute_force(spark):
+    """Every row against every reference, with copies of both and lengths about the ratio."""
+    import random
+
+    draw = random.Random(5)
+    letters = "abcdefgh"
+    base = ["".join(draw.choices(letters, k=n)) for n in (20, 25, 40, 64, 80, 100, 125, 300, 1000)]
+    near = [t[:i] + "x" + t[i + 1 :] for t in base for i in (0, len(t) // 2)] + [t + t[: len(t) // 4] for t in base] + [t[: len(t) * 4 // 5] for t in base]
+    query = [(i, t, i) for i, t in enumerate(base * 2 + near * 2 + ["", "short", None])]
+    ref = [(1000 + i, t, 500 - i) for i, t in enumerate(near[::2] * 3 + base[::3] + ["", None])]
+    schema = "row_id long, compact string, ordinal long"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    got = {(r.row_id, r.match_id, round(r.score, 9), r.kind) for r in D.near_matches(frame(query), frame(ref), jaccard=0.5).collect()}
+    fp = {r.compact: r.fp for r in D.fingerprints(frame([q for q in query + ref if q[1]])).collect()}
+    grams = lambda t: {t[i : i + 4] for i in range(len(t) - 3)}
+    expected = set()
+    for i, t, _ in query:
+        same = [(o, r) for r, u, o in ref if u and u == t]
+        if same:
+            expected.add((i, min(same)[1], 1.0, "compact_exact"))
+            continue
+        found = []
+        for r, u, o in ref:
+            if not t or not u or min(len(t), len(u)) < 20 or min(len(t), len(u)) / max(len(t), len(u)) < 0.8:
+                continue
+            x = (fp[t] ^ fp[u]) & (1 << 64) - 1
+            bands = [b for b in range(4) if not x >> 16 * b & 0xFFFF]
+            score = len(grams(t) & grams(u)) / len(grams(t) | grams(u))
+            if bands and x.bit_count() <= 6 and score >= 0.5:
+                found.append((-score, bands[0], o, r))
+        if found:
+            best = min(found)
+            expected.add((i, best[3], round(-best[0], 9), "simhash_jaccard"))
+    assert got == expected
+    assert sum(k == "simhash_jaccard" for *_, k in got) > 10
