@@ -51,27 +51,40 @@ def apply_map(df: DataFrame, id_col: str, label: str, text: str, mapping: DataFr
 def dro_weights(df: DataFrame, group: str, loss: str, order: str, block: int = 500, eta: float = 0.01, mix: float = 0.1, ratio: float = 4.0) -> DataFrame:
     """(step, group, weight): multiplicative group weights, floored and renormalized after each batch.
 
-    Batches are blocks of the order column; their means combine before the shuffle. The update
-    itself is sequential over batches and takes one row a batch and group.
+    Batches are blocks of the order column; their means combine before the shuffle. The update itself is
+    sequential over batches: one task takes a row a batch and group, sorted on disk where they are many,
+    and keeps a weight for each group. Groups are a table of labels.
     """
     means = df.groupBy(F.floor(F.col(order) / block).alias("step"), F.col(group).alias("group")).agg(F.avg(loss).alias("loss"))
     names = sorted(r[0] for r in df.select(group).distinct().collect())
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        weights, rows = dict.fromkeys(names, 1 / len(names)), []
-        for step, part in pdf.sort_values("step").groupby("step"):
-            for name, value in zip(part["group"], part["loss"]):
-                weights[name] *= math.exp(eta * min(value, 20.0))
-            total = max(sum(weights.values()), 1e-9)
-            weights = {k: (1 - mix) * v / total + mix / len(names) for k, v in weights.items()}
-            mean = sum(weights.values()) / len(names)
-            weights = {k: min(max(v, mean / ratio), mean * ratio) for k, v in weights.items()}
-            total = max(sum(weights.values()), 1e-9)
-            weights = {k: v / total for k, v in weights.items()}
-            rows += [(int(step), k, v) for k, v in weights.items()]
-        return pd.DataFrame(rows, columns=["step", "group", "weight"])
-
-    return means.groupBy(F.lit(0).alias("run")).applyInPandas(run, "step long, group string, weight double")
+    def run(frames):
+        weights, step, losses = dict.fromkeys(names, 1 / max(len(names), 1)), None, {}
+
+        def advance() -> list:
+            nonlocal weights
+            grown = {k: w * math.exp(eta * min(losses.get(k, 0.0), 20.0)) for k, w in weights.items()}
+            total = max(sum(grown.values()), 1e-9)
+            mixed = {k: (1 - mix) * w / total + mix / len(names) for k, w in grown.items()}
+            mean = sum(mixed.values()) / len(names)
+            kept = {k: min(max(w, mean / ratio), mean * ratio) for k, w in mixed.items()}
+            total = max(sum(kept.values()), 1e-9)
+            weights = {k: w / total for k, w in kept.items()}
+            return [(step, k, w) for k, w in weights.items()]
+
+        for frame in frames:
+            rows = []
+            for at, name, value in zip(frame["step"], frame["group"], frame["loss"]):
+                if at != step and step is not None:
+                    rows += advance()
+                    losses = {}
+                step = int(at)
+                losses[name] = value
+            yield pd.DataFrame(rows, columns=["step", "group", "weight"])
+        if step is not None:
+            yield pd.DataFrame(advance(), columns=["step", "group", "weight"])
+
+    return means.repartition(1).sortWithinPartitions("step").mapInPandas(run, "step long, group string, weight double")
 
 
 def select_checkpoints(df: DataFrame, run: str, order: str, value: str, tie: str, tolerance: float = 0.0, lower_is_better: bool = True) -> DataFrame:

@@ -149,6 +149,7 @@ def calibration_error(read):
     return M.calibration_error(l, "conf", "ok").select(r6("ece").alias("ece"))
 
 
+UNIT_SQL = "((('0x' || substr(h, 1, 8))::UBIGINT::HUGEINT * 4294967296 + ('0x' || substr(h, 9, 8))::UBIGINT::HUGEINT)::DOUBLE / 18446744073709551616.0::DOUBLE)"
 SOFTMAX_SQL = "sm AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: exp((x - list_max(embedding[1:10]))::DOUBLE / {0})) AS e FROM embeddings WHERE embedding IS NOT NULL), so AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS p FROM sm)"
 
 
@@ -222,20 +223,27 @@ def text_distance(read):
     return dealt_pairs(read).groupBy("turn").agg(F.count("*").alias("n"), r6(F.sum(F.levenshtein(a, b)) / F.sum(F.length(b))).alias("text_distance"))
 
 
-@query()
+@query("""WITH g AS (SELECT lang, source, sum(quality) AS hit, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL),
+d AS (SELECT lang, r, hit, n, sha256('13' || chr(31) || CAST(r AS VARCHAR) || chr(31) || source) AS h FROM g, LATERAL (SELECT unnest(range(1, 201)) AS r)),
+w AS (SELECT *, len(list_filter(range(0, 7), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(-1) / factorial(i::INTEGER)::DOUBLE)) <= UNIT)) AS w FROM d),
+x AS (SELECT lang, r, sum(w * hit) / nullif(sum(w * n), 0) AS ratio FROM w GROUP BY ALL)
+SELECT lang, round(quantile_cont(ratio, 0.025), 6) AS low, round(quantile_cont(ratio, 0.975), 6) AS high FROM x GROUP BY lang""".replace("UNIT", UNIT_SQL))
 def bootstrap_interval(read):
     """Cluster bootstrap of accuracy by label, groups being sources: the draws are hashes."""
     d = read("documents").select("doc_id", "source", "lang").join(read("labels"), "doc_id")
     stats = d.groupBy("lang", "source").agg(F.sum("quality").alias("hit"), F.count("*").alias("n"))
-    return I.interval(I.cluster_bootstrap(stats, "source", "hit", "n", 200, 13, ["lang"]), "ratio", by=["lang"])
+    out = I.interval(I.cluster_bootstrap(stats, "source", "hit", "n", 200, 13, ["lang"]), "ratio", by=["lang"])
+    return out.select("lang", r6("low").alias("low"), r6("high").alias("high"))
 
 
-@query()
+@query("""WITH s AS (SELECT source, avg(quality) - avg(toxic) AS d FROM documents JOIN labels USING (doc_id) GROUP BY source), o AS (SELECT sum(d) AS o FROM s),
+x AS (SELECT r, sum(CASE WHEN substr(sha256('17' || chr(31) || CAST(r AS VARCHAR) || chr(31) || source), 1, 1) <= '7' THEN -d ELSE d END) AS x FROM s, LATERAL (SELECT unnest(range(1, 501)) AS r) GROUP BY r)
+SELECT round(o, 6) AS observed, round((count(*) FILTER (abs(x) >= abs(o) - 1e-12) + 1) / (count(*) + 1), 6) AS p_value FROM x, o GROUP BY o""")
 def randomization_test(read):
     """Paired randomization of quality against toxicity, whole sources being swapped."""
     d = read("documents").select("doc_id", "source").join(read("labels"), "doc_id")
     stats = d.groupBy("source").agg(F.avg("quality").alias("t"), F.avg("toxic").alias("c"))
-    return I.paired_randomization(stats, "source", "t", "c", 500, 17)
+    return I.paired_randomization(stats, "source", "t", "c", 500, 17).select(r6("observed").alias("observed"), r6("p_value").alias("p_value"))
 
 
 @query("""WITH p AS (SELECT p_brand, p_partkey, least(1.0, (p_partkey % 97) / 500.0::DOUBLE) AS p FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS m FROM p)
@@ -335,10 +343,15 @@ def tf_idf(read):
     return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("w") / F.sqrt(F.sum(F.col("w") * F.col("w"))), 5).alias("top"))
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT DISTINCT event_type AS g FROM events), l AS (SELECT event_id // 500 AS step, event_type AS g, avg(value) AS l FROM events GROUP BY ALL),
+f AS (SELECT step, row_number() OVER (ORDER BY step) AS i, list(exp(0.01 * least(coalesce(l, 0), 20)) ORDER BY g) AS f, list(g ORDER BY g) AS names FROM (SELECT DISTINCT step FROM l) CROSS JOIN g LEFT JOIN l USING (step, g) GROUP BY step),
+w(i, w) AS (SELECT 0::BIGINT, list_transform(names, lambda x: 1.0::DOUBLE / len(names)) FROM f WHERE i = 1 UNION ALL
+ SELECT f.i, list_transform(c, lambda x: x / list_sum(c)) FROM w JOIN f ON f.i = w.i + 1, LATERAL (SELECT list_transform(range(1, len(names) + 1), lambda k: w.w[k] * f.f[k]) AS a),
+ LATERAL (SELECT list_transform(a, lambda x: 0.9 * x / list_sum(a) + 0.1 / len(names)) AS b), LATERAL (SELECT list_transform(b, lambda x: least(greatest(x, list_avg(b) / 4), list_avg(b) * 4)) AS c))
+SELECT CAST(step AS BIGINT) AS step, unnest(names) AS "group", round(unnest(w), 6) AS weight FROM w JOIN f USING (i)""")
 def group_dro(read):
     """Group weights after each block of events in order; batch means are bounded by the operator, no event is left out."""
-    return R.dro_weights(read("events"), "event_type", "value", "event_id", block=500)
+    return R.dro_weights(read("events"), "event_type", "value", "event_id", block=500).withColumn("weight", r6("weight"))
 
 
 @query("""WITH d AS (SELECT doc_id, lang, CAST(substr(source, 4) AS INTEGER) % 3 = 0 AS made FROM documents), n AS (SELECT lang, count(*) FILTER (NOT made) AS r, count(*) FILTER (made) AS m, least(60, count(*)) AS t FROM d GROUP BY lang),
