@@ -163,6 +163,16 @@ def chrf_score(stats: Column, beta: float = 2.0) -> Column:
     return F.when((F.size(valid) > 0) & (p + r > 0), 100 * (1 + beta * beta) * p * r / (beta * beta * p + r)).otherwise(F.lit(0.0))
 
 
+def view_scores(df: DataFrame, run: list[str], label: str, views: dict[str, str], target: str) -> DataFrame:
+    """(run, view, n, macro_chrf, worst_chrf): chrF++ of several candidate columns against the target, by label
+    from summed statistics, then its mean and least over the labels of a run. One pass, a row a view."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("view"), F.col(c).alias("text")) for name, c in views.items()]))
+    rows = df.select(*run, F.col(label).alias("_label"), F.col(target).alias("_target"), each.alias("v")).select(*run, "_label", "_target", "v.*")
+    by_label = rows.withColumn("s", chrf_statistics("text", "_target")).groupBy(*run, "view", "_label").agg(F.count("*").alias("n"), vector_sum("s", 3 * (CHAR_ORDER + WORD_ORDER)).alias("s"))
+    scored = by_label.withColumn("chrf", chrf_score(F.col("s")))
+    return scored.groupBy(*run, "view").agg(F.sum("n").alias("n"), F.avg("chrf").alias("macro_chrf"), F.min("chrf").alias("worst_chrf"))
+
+
 BLEU_ORDER = 4
 
 

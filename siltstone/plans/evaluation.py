@@ -9,6 +9,7 @@ from siltstone.functions import keys as K
 from siltstone.functions import text as T
 from siltstone.operators import inference as I
 from siltstone.operators import metrics as M
+from siltstone.operators import records
 from siltstone.operators import rewrite as R
 from siltstone.operators import sampling as S
 
@@ -201,6 +202,21 @@ def chrf_by_source(read):
     return g.select("turn", "n", M.chrf_score(F.col("stats")).alias("chrf"))
 
 
+@query()
+def view_transfer(read):
+    """Three views of an answer by run (turn modulo 4): the question itself, its rewriting by learned replacements, and
+    the one of both that a fixed margin on their lengths selects; chrF++ against the answer over three labels, and
+    the share of rows where the first is selected."""
+    p = dealt_pairs(read).withColumn("run", F.col("turn").cast("long") % 4).withColumn("label", (F.col("conv_id") % 3).cast("string")).withColumn("id", F.struct("conv_id", "turn"))
+    mapping = R.learn(p, "label", "source", "target", 1, 0.5)
+    rewritten = R.apply_map(p, "id", "label", "source", mapping)
+    both = p.join(rewritten, "id").withColumnRenamed("source", "raw")
+    chosen = records.select_by_margin(both, (F.length("raw") - F.length("rewritten")).cast("double"), 0.0, "raw", "rewritten")
+    share = chosen.groupBy("run").agg(F.avg((F.col("choice") == "raw").cast("double")).alias("raw_share"))
+    scores = M.view_scores(chosen, ["run"], "label", {"raw": "raw", "rewrite": "rewritten", "fused": "chosen"}, "target")
+    return scores.join(share, "run").select("run", "view", "n", r6("macro_chrf").alias("macro_chrf"), r6("worst_chrf").alias("worst_chrf"), r6("raw_share").alias("raw_share"))
+
+
 @query()
 def edit_metrics(read):
     """CER, WER, BLEU and exact match of whole texts by turn."""

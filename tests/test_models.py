@@ -35,3 +35,16 @@ def test_text_classifiers(spark):
 
 def test_group_weights_of_empty_tables(spark):
     assert rewrite.dro_weights(spark.createDataFrame([], "i long, g string, v double"), "g", "v", "i").count() == 0
+
+
+def test_view_scores(spark):
+    from siltstone.operators import metrics as M
+
+    rows = [(1, "a", "one two", "one two", "x"), (1, "b", "three", "three four", "three four"), (2, "a", "p", "q", "p")]
+    df = spark.createDataFrame(rows, "run long, label string, target string, raw string, other string")
+    got = {(r.run, r["view"]): (r.n, r.macro_chrf, r.worst_chrf) for r in M.view_scores(df, ["run"], "label", {"raw": "raw", "other": "other"}, "target").collect()}
+    alone = lambda run, view, label: df.filter(f"run = {run} and label = '{label}'").select(M.chrf_statistics(view, "target").alias("s")).select(M.chrf_score(M.F.col("s"))).first()[0]
+    for run, view in got:
+        each = [alone(run, view, label) for label in ("a", "b") if run == 1 or label == "a"]
+        assert got[run, view] == (len(each), sum(each) / len(each), min(each))
+    assert got[1, "raw"][1] > got[1, "other"][1] and got[2, "other"][1] == 100
